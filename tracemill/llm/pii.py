@@ -74,7 +74,7 @@ _STREETS = (
 )
 _UK = r"[A-Z]{1,2}\d[A-Z\d]?[ ]\d[A-Z]{2}"
 _PLACE = rf"(?:\d{{4,5}}[ ]{_TOWN}|{_TOWN},?[ ]?\n?(?:[A-Z]{{2}}[ ])?(?:\d{{5}}(?:-\d{{4}})?|{_UK})(?!\w))"
-_ADDRESS = re.compile(rf"(?<![\w'-])(?:{'|'.join(_STREETS)}){_GAP}{_PLACE}")
+_ADDRESS = re.compile(rf"(?<![\w-])(?:{'|'.join(_STREETS)}){_GAP}{_PLACE}")
 
 #: Anchors. The first of each pair names the parser, the rest are in lower case.
 ANCHORS = {
