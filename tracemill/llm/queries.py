@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tracemill.llm import credentials, pii
+from tracemill.llm import conversations, credentials, pii, splitting
 
 LLM: dict = {
     "p1_found": (credentials.p1_found, None),
     "p1_redacted": (credentials.p1_redacted, None),
+    "p3_found": (splitting.p3_found, None),
+    "p3_pieces": (splitting.p3_pieces, None),
     "p5_found": (pii.p5_found, None),
     "p5_redacted": (pii.p5_redacted, None),
+    "p7_found": (conversations.p7_found, None),
+    "p7_conversations": (conversations.p7_conversations, None),
 }
