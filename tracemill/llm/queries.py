@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.llm import conversations, credentials, pii, splitting
+from tracemill.llm import conversations, credentials, leakage, pii, splitting
 
 LLM: dict = {
     "p1_found": (credentials.p1_found, None),
@@ -13,4 +13,6 @@ LLM: dict = {
     "p5_redacted": (pii.p5_redacted, None),
     "p7_found": (conversations.p7_found, None),
     "p7_conversations": (conversations.p7_conversations, None),
+    "p9_found": (leakage.p9_found, None),
+    "p9_report": (leakage.p9_report, None),
 }
