@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.llm import conversations, credentials, leakage, pii, splitting
+from tracemill.llm import conversations, credentials, leakage, pii, spans, splitting
 
 LLM: dict = {
     "p1_found": (credentials.p1_found, None),
@@ -15,4 +15,6 @@ LLM: dict = {
     "p7_conversations": (conversations.p7_conversations, None),
     "p9_found": (leakage.p9_found, None),
     "p9_report": (leakage.p9_report, None),
+    "p10_found": (spans.p10_found, None),
+    "p10_spans": (spans.p10_spans, None),
 }
