@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from tracemill.operators import timestamps
+from tracemill.operators import hierarchy, schema_drift, timestamps
 
 CORE: dict = {
+    "p2_found": (schema_drift.p2_found, None),
+    "p2_events": (schema_drift.p2_events, None),
+    "p2_fingerprints": (schema_drift.p2_fingerprints, None),
     "p4_found": (timestamps.p4_found, None),
     "p4_report": (timestamps.p4_report, None),
+    "p6_found": (hierarchy.p6_found, None),
+    "p6_tree": (hierarchy.p6_tree, None),
+    "p6_descendants": (hierarchy.p6_descendants, None),
 }
