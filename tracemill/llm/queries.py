@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.llm import conversations, credentials, leakage, pii, spans, splitting
+from tracemill.llm import conversations, credentials, leakage, packing, pii, spans, splitting
 
 LLM: dict = {
     "p1_found": (credentials.p1_found, None),
@@ -13,6 +13,7 @@ LLM: dict = {
     "p5_redacted": (pii.p5_redacted, None),
     "p7_found": (conversations.p7_found, None),
     "p7_conversations": (conversations.p7_conversations, None),
+    "p8_packed": (packing.p8_packed, None),
     "p9_found": (leakage.p9_found, None),
     "p9_report": (leakage.p9_report, None),
     "p10_found": (spans.p10_found, None),
