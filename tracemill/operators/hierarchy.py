@@ -1,8 +1,8 @@
 """Parent-child links of unknown depth to full hierarchies (problem 6).
 
 Bottom-up leaf peeling: each round takes off the nodes without children and sends their subtree sizes to their parents.
-As a chain would take a round per node, each round also splices out nodes with one child, picked by a coin per node and
-round so that no two neighbours go at once: the child then hangs on the grandparent by a longer link. So the rounds
+As a chain would take a round per node, each round also splices out nodes with one child left, picked by a coin per node
+and round so that no two neighbours go at once: the child then hangs on the grandparent by a longer link. So the rounds
 grow with the logarithm of the nodes. What can't be taken off at last are nodes that hang on themselves: each
 stands for a cycle. In reverse order of peeling every node gets root, depth and path from its parent; nodes
 that end in a cycle get none. All descendants of all nodes are the pairs of a path's nodes.
@@ -48,47 +48,70 @@ def stream_links(events: DataFrame) -> DataFrame:
     return joined.select(node(s, F.col("agent_id")).alias("node"), F.when(F.col("c").isNotNull(), node(s, F.col("c.caller"))).alias("parent"))
 
 
-def resolve(links: DataFrame, rounds: int = 120) -> DataFrame:
-    """(node, parent, root, depth, path, size, peeled) of every node of ``links`` (node, parent).
-
-    ``size`` is that of the node's subtree, itself included; ``peeled`` the round that took it off, null for
-    what is left of cycles. Nodes in and below cycles have root '', depth -1 and path and size null.
-    """
+def _rooted(links: DataFrame) -> DataFrame:
+    """(node, parent, n) with one row per node, parents that are no nodes nulled, and the number of children."""
     nodes = links.where("node is not null").groupBy("node").agg(F.max("parent").alias("parent"))
+    counts = nodes.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n"))
     known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
-    given = cut(nodes.join(known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("parent")))
-    # up: the node it now hangs on, the nodes between and itself, and the nodes that went into the link or hung on the node
-    left = given.select("node", F.col("parent").alias("up"), F.array("node").alias("seg"), F.lit(1).cast("long").alias("own"), F.lit(0).cast("long").alias("extra"))
+    rooted = nodes.join(known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("parent"))
+    return rooted.join(counts, "node", "left").select("node", "parent", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def peel(given: DataFrame, rounds: int = 200) -> tuple[list[DataFrame], DataFrame]:
+    """The nodes of each round, and what is left of cycles.
+
+    A node's row holds the node it hangs on by then (``up``), the nodes of that link with itself (``seg``), the number of nodes
+    gathered below it (``own``) and within the link (``extra``), and of its children the number left (``n``).
+    Every round is two exchanges of messages, up to the parents and down to the children of spliced nodes.
+    """
+    state = given.select("node", F.col("parent").alias("up"), F.array("node").alias("seg"), F.lit(1).cast("long").alias("own"), F.lit(0).cast("long").alias("extra"), "n")
+    keep = ("up", "seg", "own", "extra", "n")
+    only = lambda c: F.first(c, ignorenulls=True)  # of one row that has it
     off: list[DataFrame] = []
     for k in range(rounds):
-        children = left.where("up is not null").groupBy(F.col("up").alias("node")).agg(F.count("*").alias("n"), F.min(F.struct("node", "extra")).alias("c"))
-        deep = children.select(F.col("node").alias("child"), F.lit(True).alias("deep"))
-        state = left.join(children, "node", "left").select("node", "up", "seg", "own", "extra", F.coalesce("n", F.lit(0)).alias("n"), F.col("c.node").alias("child"), F.col("c.extra").alias("child_extra"))
         heads = lambda c: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(2)) == 0  # noqa: B023, E731
-        # out goes a leaf, or a node with one child, itself not a leaf, whose coin is heads while its parent's is tails
-        chained = (F.col("n") == 1) & F.col("up").isNotNull() & (F.col("up") != F.col("node")) & F.coalesce("deep", F.lit(False)) & heads("node") & ~heads("up")
-        state = cut(state.join(deep, "child", "left").withColumn("go", F.when(F.col("n") == 0, "leaf").when(chained, "chain")).drop("deep"))
-        off.append(state.where("go is not null").select("node", "up", "seg", "own", "extra", "go", "child", "child_extra", F.lit(k).alias("peeled")))
-        if state.where("go is null and (up is null or up <> node)").isEmpty():
-            break
-        leaf = state.where("go = 'leaf' and up is not null").groupBy(F.col("up").alias("node")).agg(F.sum(F.col("own") + F.col("extra")).alias("sent"))
-        chain = state.where("go = 'chain'").select(F.col("node").alias("up"), F.col("up").alias("over"), F.col("seg").alias("seg_up"), F.col("own").alias("own_up"), F.col("extra").alias("extra_up"))
-        left = (
-            state.where("go is null").drop("n", "child", "child_extra", "go").join(leaf, "node", "left").join(chain, "up", "left")
-            .select(
-                "node", F.coalesce("over", "up").alias("up"), F.when(F.col("over").isNotNull(), F.concat("seg_up", "seg")).otherwise(F.col("seg")).alias("seg"),
-                (F.col("own") + F.coalesce("sent", F.lit(0))).alias("own"), (F.col("extra") + F.coalesce(F.col("own_up") + F.col("extra_up"), F.lit(0))).alias("extra"),
-            )
+        leaf = F.col("n") == 0
+        sent = state.where("up is not null").select(
+            F.col("up").alias("node"), F.when(leaf, F.col("own") + F.col("extra")).alias("sent"), F.when(~leaf, F.col("node")).alias("child"), F.when(~leaf, F.col("extra")).alias("child_extra")
+        )
+        merged = state.select("node", F.struct(*keep).alias("s")).unionByName(sent, allowMissingColumns=True).groupBy("node").agg(
+            only("s").alias("s"), F.sum("sent").alias("sent"), F.count("sent").alias("leaves"), F.max("child").alias("child"), F.max("child_extra").alias("child_extra")
         )
-    else:
-        raise RuntimeError(f"the hierarchy did not peel in {rounds} rounds")
+        now = merged.select("node", "s.up", "s.seg", (F.col("s.own") + F.coalesce("sent", F.lit(0))).alias("own"), "s.extra", F.col("s.n").alias("before"), (F.col("s.n") - F.col("leaves")).alias("n"), "child", "child_extra")
+        # out goes a leaf, or a node with one child and that no leaf, whose coin is heads while its parent's is tails
+        chained = (F.col("before") == 1) & (F.col("n") == 1) & F.col("up").isNotNull() & (F.col("up") != F.col("node")) & heads("node") & ~heads("up")
+        now = now.withColumn("go", F.when(F.col("before") == 0, "leaf").when(chained, "chain"))
+        down = now.where("go = 'chain'").select(F.col("child").alias("node"), F.struct("up", "seg", (F.col("own") + F.col("extra")).alias("more")).alias("over"))
+        carried = now.select("node", F.struct(*keep, "go", "child", "child_extra").alias("s")).unionByName(down, allowMissingColumns=True)
+        state = carried.groupBy("node").agg(only("s").alias("s"), only("over").alias("o")).select(
+            "node", F.coalesce("o.up", "s.up").alias("up"), F.when(F.col("o").isNotNull(), F.concat("o.seg", "s.seg")).otherwise(F.col("s.seg")).alias("seg"),
+            "s.own", (F.col("s.extra") + F.coalesce("o.more", F.lit(0))).alias("extra"), "s.n", "s.go", "s.child", "s.child_extra", F.lit(k).alias("peeled"),
+        )
+        state = cut(state)
+        off.append(state.where("go is not null"))
+        state = state.where("go is null")
+        if state.where("up is null or up <> node").isEmpty():
+            return off, state
+    raise RuntimeError(f"the hierarchy did not peel in {rounds} rounds")
+
+
+def resolve(links: DataFrame, sizes: bool = True) -> DataFrame:
+    """(node, parent, root, depth, path, size, peeled) of every node of ``links`` (node, parent).
+
+    ``size`` is that of the node's subtree, itself included; ``peeled`` the round that took it off, null for
+    what is left of cycles. Nodes in and below cycles have root '', depth -1 and path and size null.
+    """
+    given = cut(_rooted(links))
+    off, rest = peel(given)
     none = F.lit(None)
-    done = state.where("go is null").select("node", F.lit("").alias("root"), F.lit(-1).alias("depth"), none.cast("array<string>").alias("path"), none.cast("long").alias("size"), none.cast("int").alias("peeled"))
-    for k in range(len(off) - 1, -1, -1):
-        above = done.select(F.col("node").alias("up"), "root", "depth", "path")
-        below = done.select(F.col("node").alias("child"), F.col("size").alias("child_size"))
-        now = off[k].join(above, "up", "left").join(below, "child", "left")
-        lost = F.col("depth") == -1
+    done = rest.select("node", F.lit("").alias("root"), F.lit(-1).alias("depth"), none.cast("array<string>").alias("path"), none.cast("long").alias("size"), none.cast("int").alias("peeled"))
+    lost = F.coalesce(F.col("depth") == -1, F.lit(False))
+    for gone in reversed(off):
+        now = gone.join(done.select(F.col("node").alias("up"), "root", "depth", "path"), "up", "left")
+        if sizes:
+            now = now.join(done.select(F.col("node").alias("child"), F.col("size").alias("child_size")), "child", "left")
+        else:
+            now = now.withColumn("child_size", none.cast("long"))
         fresh = now.select(
             "node",
             F.when(lost, "").when(F.col("up").isNull(), F.col("seg")[0]).otherwise(F.col("root")).alias("root"),
@@ -96,13 +119,12 @@ def resolve(links: DataFrame, rounds: int = 120) -> DataFrame:
             F.when(lost, none).when(F.col("up").isNull(), F.col("seg")).otherwise(F.concat("path", "seg")).alias("path"),
             F.when(lost, none).otherwise(F.col("own") + F.when(F.col("go") == "chain", F.col("child_extra") + F.col("child_size")).otherwise(0)).alias("size"), "peeled",
         )
-        done = done.unionByName(fresh)
-        done = cut(done) if k % 4 == 0 else done
-    return done.join(given, "node")
+        done = done.unionByName(cut(fresh))
+    return done.join(given.select("node", "parent"), "node")
 
 
-def hierarchy(sessions: DataFrame, events: DataFrame) -> DataFrame:
-    return resolve(session_links(sessions).unionByName(stream_links(events)))
+def hierarchy(sessions: DataFrame, events: DataFrame, sizes: bool = True) -> DataFrame:
+    return resolve(session_links(sessions).unionByName(stream_links(events)), sizes)
 
 
 def descendants(resolved: DataFrame) -> DataFrame:
@@ -111,8 +133,8 @@ def descendants(resolved: DataFrame) -> DataFrame:
     return up.where("ancestor <> node").select("ancestor", "node", (F.col("n") - 1 - F.col("at")).alias("distance"))
 
 
-def _of(spark: SparkSession, base: str) -> DataFrame:
-    return hierarchy(table(spark, base, "sessions"), table(spark, base, "session_events"))
+def _of(spark: SparkSession, base: str, sizes: bool = False) -> DataFrame:
+    return hierarchy(table(spark, base, "sessions"), table(spark, base, "session_events"), sizes)
 
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
@@ -121,7 +143,7 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
 
 def p6_tree(spark: SparkSession, base: str) -> DataFrame:
     """Every node with its full path, subtree size and parent."""
-    return _of(spark, base).select(F.col("node").alias("node_key"), F.col("parent").alias("parent_key"), F.col("root").alias("root_key"), F.col("depth").alias("tree_depth"), F.array_join("path", " > ").alias("full_path"), F.col("size").alias("subtree_size"))
+    return _of(spark, base, sizes=True).select(F.col("node").alias("node_key"), F.col("parent").alias("parent_key"), F.col("root").alias("root_key"), F.col("depth").alias("tree_depth"), F.array_join("path", " > ").alias("full_path"), F.col("size").alias("subtree_size"))
 
 
 def p6_descendants(spark: SparkSession, base: str) -> DataFrame:
