@@ -25,7 +25,7 @@ def codex(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _below(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    whole = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     lines = whole.select(F.regexp_replace("_metadata.file_path", r"^file:/+", "/").alias("source_path"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
     return lines.select("source_path", (F.col("at") + 1).alias("source_line"), "line")
 

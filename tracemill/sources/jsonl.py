@@ -13,7 +13,7 @@ def scan_lines(spark: SparkSession, *paths: str) -> DataFrame:
 
     A transcript is one session's and read whole by one task, which alone keeps true line numbers.
     """
-    whole = spark.read.option("wholetext", True).text(list(paths)).select(F.regexp_replace("_metadata.file_path", r"^file:/+", "/").alias("source_path"), "value")
+    whole = spark.read.text(list(paths), wholetext=True).select(F.regexp_replace("_metadata.file_path", r"^file:/+", "/").alias("source_path"), "value")
     lines = whole.select("source_path", F.posexplode(F.split("value", "\n")).alias("at", "line"))
     return lines.select("source_path", (F.col("at") + 1).alias("source_line"), "line")
 
@@ -36,7 +36,7 @@ def load_export(spark: SparkSession, *paths: str) -> DataFrame:
 
 def read_document(spark: SparkSession, *paths: str) -> DataFrame:
     """(source_path, doc): whole files of one JSON value each."""
-    return spark.read.option("wholetext", True).text(list(paths)).select(F.regexp_replace("_metadata.file_path", r"^file:/+", "/").alias("source_path"), F.parse_json("value").alias("doc"))
+    return spark.read.text(list(paths), wholetext=True).select(F.regexp_replace("_metadata.file_path", r"^file:/+", "/").alias("source_path"), F.parse_json("value").alias("doc"))
 
 
 def file_sizes(spark: SparkSession, glob: str, root: str, least: int = 1024) -> DataFrame:
