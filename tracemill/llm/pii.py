@@ -32,7 +32,7 @@ SERVICE_LOGINS = {"git", "svn", "hg", "ssh", "scm", "jenkins", "root", "www-data
 
 _L = r"[^\W\d_]"
 _EMAIL = re.compile(r"(?<![\w.+%-])([\w.+%-]*\w)@((?:[\w](?:[\w-]*\w)?\.)+[A-Za-z]{2,24})(?![\w-])")
-_SPELT = re.compile(r"(?<![\w.+%@-])([\w.+%-]*\w)(?: ?(?:\[at\]|\(at\)|\{at\}|<at>) ?([\w-]+(?:(?: ?(?:\[dot\]|\(dot\)|\{dot\}|<dot>) ?| dot |\.)[\w-]+)+)| at ([\w-]+(?: dot [\w-]+)+))(?![\w-])", re.I)
+_SPELT = re.compile(r"(?<![\w.+%@-])([\w.+%-]*\w)(?: ?(?:\[at\]|\(at\)|\{at\}|<at>) ?([\w-]+(?:(?: ?(?:\[dot\]|\(dot\)|\{dot\}|<dot>) ?| dot |\.)[\w-]+)+)| at ([\w-]+(?: dot [\w-]+)*? dot (?:com|org|net|edu|gov|int|info|biz|io|dev|app|ai|co|me|eu|us|uk|ca|au|de|fr|es|it|nl|be|ch|at|se|no|dk|fi|pl|pt|jp|cn|in|br|test|example|invalid|local|localhost)))(?![\w-])", re.I)
 
 _PHONE = re.compile(
     r"""(?<![\w.+/@-])(?:
@@ -63,7 +63,7 @@ _IDS = [
 ]
 
 _CAP = r"[A-ZÀ-ÖØ-ÞŁŚŻŽČĆĐŠÇİ][\w'’-]*"
-_TOWN = rf"(?:(?:Saint|St\.?|New|Old|Upper|Lower|North|South|East|West|Bad|Le|La|Los|Las|San|Santa|Port|Fort|Mount|Great|Little)[ ])?[A-ZÀ-ÖØ-ÞŁŚŻŽČĆĐŠÇİ](?:[\w-]|['’](?!s\b))*(?:['’]s[ ]{_CAP})?"
+_TOWN = rf"(?:(?:Saint|St\.?|New|Old|Upper|Lower|North|South|East|West|Bad|Le|La|Los|Las|San|Santa|Port|Fort|Mount|Great|Little)[ ])?[A-ZÀ-ÖØ-ÞŁŚŻŽČĆĐŠÇİ](?:[\w-]|['’](?=\w)(?!s\b))*(?:['’]s[ ]{_CAP})?"
 _GAP = r"(?:,[ ]?|,?[ ]?\r?\n[ \t]*|[ ])"
 _STREETS = (
     rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite)[ ]\d+\w?,?[ ])?\d{{1,5}}[A-Za-z]?[ ](?:{_CAP}[ ]){{1,3}}(?:Road|Rd|Street|St|Avenue|Ave|Lane|Ln|Close|Gardens|Terrace|Drive|Dr|Way|Court|Ct|Place|Pl|Square|Boulevard|Blvd|Crescent|Grove|Hill|Mews|Row|Walk|Parade|Rise|View|Quay)\.?(?:,?[ ](?:Apt|Apartment|Unit|Suite|Ste|Flat|\#)\.?[ ]?\w{{1,6}})?",
