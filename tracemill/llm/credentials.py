@@ -63,21 +63,22 @@ ISSUERS = (
 
 _Q = r"\\{0,3}[\"'`]"
 _VALUE = r"[^\s\"'`<>,;\\]{4,}"
-_NAME = r"[A-Za-z_][A-Za-z0-9_.-]{0,60}"
+#: A name with the stem of some secret in it; names without one are passed over, so that what stands behind them is still seen.
+_NAME = r"(?<![A-Za-z0-9_.-])(?=[A-Za-z_])[A-Za-z0-9_.-]{0,48}(?:pass|pwd|secret|token|key|credential|contrase|kennwort|senha|jwt|mot_?de_?passe)[A-Za-z0-9_ñ]{0,16}"
 _KEY_BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY((?: BLOCK)?)-----.{16,}?-----END \1PRIVATE KEY\2-----", re.S)
-_ISSUER = re.compile(r"(?<![A-Za-z0-9_/+=-])(" + "|".join(ISSUERS) + r")(?![A-Za-z0-9_+=-])")
+_ISSUER = re.compile(r"(?<![A-Za-z0-9_+-])(" + "|".join(ISSUERS) + r")(?![A-Za-z0-9_+=-])")
 _PATTERNS = [
     (kind, re.compile(pattern, re.I if kind not in ("flag_p",) else 0))
     for kind, pattern in (
         # name = value, name: value, "name": "value", name => 'value', NAME=value
         ("named_quoted", rf"(?P<name>{_NAME}){_Q}?\s{{0,3}}(?::=|=>|=|:)\s{{0,3}}[a-zA-Z]?(?P<q>{_Q})(?P<v>[^\"'`\r\n]{{4,}}?)(?P=q)"),
         ("named_bare", rf"(?P<name>{_NAME}){_Q}?\s{{0,3}}(?:=|:)[ \t]{{0,3}}(?P<v>{_VALUE})"),
-        ("named_query", rf"[?&;](?P<name>{_NAME})=(?P<v>[^\s\"'`<>&;\\]{{4,}})"),
+        ("named_query", rf"[?&;](?P<name>{_NAME}|sig|signature|code)=(?P<v>[^\s\"'`<>&;\\]{{4,}})"),
         ("named_arrow", rf"(?P<name>{_NAME}){_Q}?\s*(?:=>|->|:=)\s*(?P<v>{_VALUE})"),
         ("named_tag", rf"<(?P<name>{_NAME})>(?P<v>[^<>\s]{{4,}})</(?P=name)>"),
         ("named_pair", rf"{_Q}(?P<name>{_NAME}){_Q}\s*,\s*(?P<q>{_Q})(?P<v>[^\"'`\s]{{4,}}?)(?P=q)"),
-        ("named_call", rf"(?:with|set)(?P<name>{_NAME})\(\s*(?P<q>{_Q})(?P<v>[^\"'`\s]{{4,}}?)(?P=q)"),
-        ("named_flag", rf"--?(?P<name>[a-z][a-z-]{{2,40}})[ =]{_Q}?(?P<v>{_VALUE})"),
+        ("named_call", rf"(?:with|set)(?P<name>[A-Za-z]{{0,30}}(?:pass|pwd|secret|token|key|credential)[A-Za-z]{{0,16}})\(\s*(?P<q>{_Q})(?P<v>[^\"'`\s]{{4,}}?)(?P=q)"),
+        ("named_flag", rf"--?(?P<name>(?:[a-z]+-){{0,4}}(?:password|passwd|pass|passphrase|pwd|secret|token|key|api-?key|credentials?))[ =]{_Q}?(?P<v>{_VALUE})"),
         ("flag_p", rf"(?:login|mysql|psql|mysqldump|sshpass|curl|docker)\b[^\n]{{0,80}}? -p ?{_Q}?(?P<v>{_VALUE})"),
         ("flag_u", rf"\bcurl\b[^\n]{{0,120}}? (?:-u|--user)[ =]{_Q}?[\w.@-]+:(?P<v>{_VALUE})"),
         ("netrc", rf"\blogin\s+\S+\s+password\s+(?P<v>{_VALUE})"),
@@ -97,6 +98,8 @@ _PATTERNS = [
 
 #: Kinds whose value ends at a blank, so that punctuation of the sentence may follow.
 _OPEN_ENDED = {"prose", "typed", "named_bare", "named_arrow", "named_flag", "flag_p", "flag_u", "netrc"}
+#: The next parameter of a URL.
+_MORE = re.compile(r"&[A-Za-z_]\w*=")
 _HEX_ID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
 _NOT = re.compile(
     r"""[<\[{(%$*#]|\$\{|.*(?:\$\{|\{\{|<[^>]*>|\*{3,}|x{6,}|X{6,}|\.{3}|…|•{2,}|_{4,})|.*[()\[\]{}]  # references, calls, placeholders, masks
@@ -181,7 +184,7 @@ def secret_name(name: str) -> bool:
     flat = snake.replace("_", "")
     if snake.startswith(("max_", "min_", "num_", "n_", "total_")) or snake.endswith(("_tokens", "_url", "_uri", "_id", "_name", "_path", "_file", "_type", "_field", "_hash")):
         return False
-    return any(snake == s or snake.endswith("_" + s) or flat.endswith(s.replace("_", "")) and len(s) > 5 for s in SECRET_NAMES) or flat.endswith(("pwd", "password", "passwd"))
+    return any(snake == s or snake.endswith("_" + s) or flat.endswith(s.replace("_", "")) and len(s) > 4 for s in SECRET_NAMES) or flat.endswith(("pwd", "password", "passwd"))
 
 
 def usable(value: str, kind: str, name: str = "") -> bool:
@@ -221,7 +224,7 @@ def find_secrets(value: str, is_json: bool = False) -> list[tuple[int, int]]:
                 if kind.startswith("named") and not secret_name(name) and not (kind == "named_query" and name.lower() in ("sig", "signature", "key", "code")):
                     continue
                 x, y = m.span("v")
-                v = text[x:y].rstrip(".,;:?)]}") if kind in _OPEN_ENDED else text[x:y]
+                v = _MORE.split(text[x:y])[0].rstrip(".,;:?)]}") if kind in _OPEN_ENDED else text[x:y]
                 if usable(v, kind, name):
                     found.append((x, x + len(v)))
     spans: list[tuple[int, int]] = []
