@@ -131,22 +131,15 @@ def shared_stretches(docs: list[int], offsets: list[int], texts: list[str], span
     partner = np.empty(len(h), np.int64)
     partner[order] = np.where(doc[order] != doc[lowest], lowest, highest)
     flags = doc[partner] != doc
-    for i in np.flatnonzero(np.concatenate([[True], np.diff(which) > 0])):
-        n = len(hashes[which[i]])
-        p = partner[i : i + n]
-        here = flags[i : i + n]
-        # runs of windows whose partners are consecutive windows of one text: one comparison each
-        starts = np.flatnonzero(here & np.concatenate([[True], (np.diff(p) != 1) | (np.diff(which[p]) != 0) | ~here[:-1]]))
-        for s in starts:
-            e = s + 1
-            while e < n and here[e] and p[e] == p[e - 1] + 1 and which[p[e]] == which[p[s]]:
-                e += 1
-            other = codes[which[p[s]]]
-            q = place[p[s]]
-            if not np.array_equal(codes[which[i]][s : e - 1 + span], other[q : q + (e - s) - 1 + span]):
-                for x in range(s, e):
-                    if not np.array_equal(codes[which[i]][x : x + span], other[q + x - s : q + x - s + span]):
-                        flags[i + x] = False
+    # runs of windows whose partners are consecutive windows of one text: one comparison of characters each
+    goes_on = np.zeros(len(h) + 1, bool)
+    goes_on[1:-1] = flags[1:] & flags[:-1] & (np.diff(which) == 0) & (np.diff(partner) == 1) & (np.diff(which[partner]) == 0)
+    for s, e in zip(np.flatnonzero(flags & ~goes_on[:-1]).tolist(), np.flatnonzero(flags & ~goes_on[1:]).tolist()):
+        own, other = codes[which[s]], codes[which[partner[s]]]
+        i, q, n = place[s], place[partner[s]], e - s
+        if not np.array_equal(own[i : i + n + span], other[q : q + n + span]):
+            for x in range(n + 1):
+                flags[s + x] = np.array_equal(own[i + x : i + x + span], other[q + x : q + x + span])
     out, i = [], 0
     for d, o, x in zip(docs, offsets, hashes):
         out += [(d, o + a, o + b) for a, b in _runs(flags[i : i + len(x)], span)]
