@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.functions import text as T
-from tracemill.operators import cards, checks, clean, events as E, grouping, links, projection, report
+from tracemill.operators import cards, checks, clean, events as E, grouping, links, projection, report, summaries
 from tracemill.runtime import clean_kind, table
 
 TARGET = 6000
@@ -230,6 +230,15 @@ def summary_coverage(spark: SparkSession, base: str) -> DataFrame:
     return links.coverage(chunks, summaries).select("session_id", "chunk_id", "covered")
 
 
+@query
+def merged_steps(spark: SparkSession, base: str) -> DataFrame:
+    """The chunks as report steps: stand-in summaries where there is one, else a fallback for every third, else a stub."""
+    chunks = table(spark, base, "chunks").select("session_id", "chunk_id", "sha256", "event_count")
+    told = chunks.where("event_count % 2 = 0 and sha256 is not null").select("session_id", "chunk_id", F.substring("sha256", 1, 8).alias("prefix"), F.concat(F.lit("told "), "chunk_id").alias("narrative"))
+    spare = chunks.where("event_count % 3 = 0").select("session_id", "chunk_id", F.concat(F.lit("counted "), "event_count").alias("narrative"))
+    return summaries.merge(chunks, told, spare)
+
+
 # --- links ------------------------------------------------------------------
 
 

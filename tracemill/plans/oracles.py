@@ -129,6 +129,9 @@ SQL: dict[str, str] = {
         AND CASE WHEN regexp_full_match(timestamp_raw, '\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d\\.\\d{{3}}Z') THEN coalesce(TRY_CAST(replace(replace(timestamp_raw, 'T', ' '), 'Z', '') AS TIMESTAMP) >= TIMESTAMP '2026-03-01', true) ELSE true END""",
     "provider_counts": f"WITH {LATEST} SELECT provider, count(*) AS n_sessions, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(sum(line_count) AS BIGINT) AS lines FROM latest GROUP BY 1",
     "summary_coverage": "SELECT session_id, chunk_id, event_count % 2 = 0 AND sha256 IS NOT NULL AS covered FROM chunks",
+    "merged_steps": """SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY chunk_id) AS step_no, chunk_id,
+        CASE WHEN event_count % 2 = 0 AND sha256 IS NOT NULL THEN 'summary' WHEN event_count % 3 = 0 THEN 'fallback' ELSE 'stub' END AS source,
+        CASE WHEN event_count % 2 = 0 AND sha256 IS NOT NULL THEN 'told ' || chunk_id WHEN event_count % 3 = 0 THEN 'counted ' || event_count ELSE '' END AS narrative FROM chunks""",
     "subagent_link_explicit": f"""WITH {EV}, s AS (SELECT session_id, agent_id, arg_max(parent_call_id, seq) AS call_id FROM ev WHERE agent_id IS NOT NULL AND parent_call_id IS NOT NULL GROUP BY 1, 2),
         c AS (SELECT session_id, tool.call_id AS call_id, arg_min(coalesce(agent_id, ''), seq) AS parent_agent FROM ev WHERE kind = 'tool_use' AND tool.call_id <> '' GROUP BY 1, 2) SELECT * FROM s JOIN c USING (session_id, call_id)""",
     "subagent_link_single": f"""WITH {EV}, s AS (SELECT session_id, agent_id FROM ev WHERE agent_id IS NOT NULL GROUP BY 1, 2 HAVING max(parent_call_id) IS NULL),
@@ -214,5 +217,11 @@ SQL: dict[str, str] = {
     "capture_skip": """WITH c AS (SELECT event_id, command.exit_code + 399 AS status, provider, text FROM session_events WHERE kind IS NOT NULL), r AS (SELECT event_id, CASE WHEN status >= 400 THEN 'http_status_' || status WHEN provider = 'codex' THEN 'json_response'
         WHEN starts_with(regexp_replace(left(trim(coalesce(text, '')), 2000), '\\s+', '', 'g'), '{') AND contains(text, '"status":500') AND contains(text, '"unhandled":true') THEN 'error_payload' END AS reason FROM c) SELECT * FROM r WHERE reason IS NOT NULL""",
     "svg_safety": """SELECT doc_id, CASE WHEN doc_id % 3 IN (0, 1) THEN CAST(0 AS BIGINT) ELSE CAST(length('<svg>' || left(text, 40) || '</svg>') AS BIGINT) END AS n_chars FROM documents WHERE text IS NOT NULL""",
+    "sha_tokens": r"""WITH m AS (SELECT event_id, regexp_extract_all(text, '\b[0-9a-f]{7,40}\b') AS x FROM session_events WHERE regexp_matches(lower(text), 'git|commit')) SELECT event_id, array_to_string(list_transform(list_filter(range(1, len(x) + 1), lambda i: list_position(x, x[i]) = i), lambda i: x[i]), ',') AS shas FROM m WHERE len(x) > 0""",
+    "route_tokens": r"""WITH m AS (SELECT event_id, list_filter(regexp_split_to_array(lower(split_part(file_change.path, '?', 1)), '[/:._-]+'), lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '\d+') AND w NOT IN ('the', 'and', 'for', 'with', 'page', 'view', 'app')) AS x FROM session_events WHERE file_change.path IS NOT NULL)
+        SELECT event_id, array_to_string(list_transform(list_filter(range(1, len(x) + 1), lambda i: list_position(x, x[i]) = i), lambda i: x[i]), ',') AS tokens FROM m""",
+    "teaser": f"""WITH {STEPS}, s AS (SELECT doc_id, coalesce(nullif({strip("regexp_replace(body, '" + SPACE + "+', ' ', 'g')")}, ''), nullif({strip("regexp_replace(title, '" + SPACE + "+', ' ', 'g')")}, ''), '') AS s FROM steps),
+        h AS (SELECT *, left(s, 181) AS h FROM s), b AS (SELECT *, CASE WHEN contains(h, ' ') THEN length(h) - position(' ' IN reverse(h)) ELSE -1 END AS b FROM h)
+        SELECT doc_id, CASE WHEN length(s) <= 180 THEN s ELSE regexp_replace(left(s, CASE WHEN b < 117 THEN 180 ELSE b END), '[ .,;:]+$', '') || '...' END AS teaser FROM b""",
     "kinds_seen": "SELECT kind AS spelling, lower(trim(kind)) AS kind, count(*) AS n FROM session_events GROUP BY 1, 2",
 }
