@@ -166,8 +166,11 @@ def shared_spans(documents: DataFrame, span: int = SPAN, hot: int = HOT) -> Data
 
     keys = map_batches(texts, chunk, "key long, doc_id long")
     groups = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least <> most")
-    member = keys.join(groups.select("key", F.when(F.col("n") <= hot, F.col("least")).alias("gid")), "key")
-    marked = member.groupBy("doc_id").agg(F.collect_list(F.struct("key", "gid")).alias("marks"))
+
+    def marked(chosen: DataFrame) -> DataFrame:
+        """The texts that hold some of the chosen digests, with those. A document has no more of them than characters."""
+        member = keys.join(chosen, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "gid")).alias("marks"))
+        return texts.join(member, "doc_id")
 
     def around(text: str, marks: list[dict]) -> list[tuple[int | None, int, int]]:
         gid_of = {m["key"]: m["gid"] for m in marks}
@@ -186,14 +189,15 @@ def shared_spans(documents: DataFrame, span: int = SPAN, hot: int = HOT) -> Data
         rows = [(g, d, lo, t[lo:hi]) for d, t, m in zip(*(c.to_pylist() for c in batch.columns)) for g, lo, hi in around(t, m)]
         return _table("gid doc_id start part", rows, (i64, i64, i32, pa.string()))
 
-    parts = map_batches(texts.join(marked, "doc_id"), carve, "gid long, doc_id long, start int, part string")
+    def parts(chosen: DataFrame) -> DataFrame:
+        return map_batches(marked(chosen), carve, "gid long, doc_id long, start int, part string")
 
     def compare(group: pa.Table) -> pa.Table:
         docs, starts, pieces = (group.column(c).to_pylist() for c in ("doc_id", "start", "part"))
         rows = shared_stretches(docs, starts, pieces, span) if len(set(docs)) > 1 else []
         return pa.Table.from_batches([_table("doc_id start end", rows, (i64, i32, i32))])
 
-    usual = parts.where("gid is not null").groupBy("gid").applyInArrow(compare, "doc_id long, start int, end int")
+    usual = parts(groups.where(F.col("n") <= hot).select("key", F.col("least").alias("gid"))).groupBy("gid").applyInArrow(compare, "doc_id long, start int, end int")
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list[np.ndarray]] = [[], [], [], []]
@@ -204,7 +208,7 @@ def shared_spans(documents: DataFrame, span: int = SPAN, hot: int = HOT) -> Data
                 c.append(x)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["h", "g", "doc_id", "at"])
 
-    every = map_batches(parts.where("gid is null"), windows, "h long, g long, doc_id long, at int")
+    every = map_batches(parts(groups.where(F.col("n") > hot).select("key", F.lit(None).cast("long").alias("gid"))), windows, "h long, g long, doc_id long, at int")
     common = every.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("h", "g")
     crowded = every.join(common, ["h", "g"]).select("doc_id", F.col("at").alias("start"), (F.col("at") + span).alias("end"))
     return merge(usual.unionByName(crowded))
