@@ -4,7 +4,8 @@ Karmarkar-Karp multiway differencing: the items of a window begin as partial par
 largest imbalance are merged again and again, the large parts of one on the small parts of the other, until one
 near-equal partition into as many containers as the items need at least is left. Where a container still exceeds
 the capacity, it is differenced anew together with one that has room (the fullest of all ways to fill one
-of the two from the few items of both), and only if that doesn't help, the number of containers rises by one.
+of the two from the few items of both), and only if that doesn't help, the number of containers rises by one. At last
+the roomiest container fills the others, so that room gathers in few.
 
 Items are spread over windows of about ``WINDOW`` by a hash, so windows are packed in parallel and only sizes travel.
 As room gathers in few containers of a window, the items of those that are filled less than ``CLOSED`` are packed
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tracemill.runtime import cut, map_batches, table
 
-CAPACITY, WINDOW, CLOSED = 2048, 256, 0.97
+CAPACITY, WINDOW, CLOSED = 2048, 256, 0.985
 #: Ranks of a byte-level BPE, one base64 token and its rank a line, at the same path on every executor.
 TOKENIZER = os.environ.get("TRACEMILL_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: how that tokenizer cuts texts into words.
@@ -80,6 +81,16 @@ def _part(sizes: list[int], capacity: int) -> int:
     return int(np.argmax(np.where(fits, sums, -1))) if fits.any() else 0
 
 
+def _refill(sets: list[list[int]], sums: list[int], sizes: list[int], capacity: int, full: int, rest: int) -> bool:
+    """Difference two sets anew: one is filled best from the items of both, the other keeps the rest."""
+    pool = sets[full] + sets[rest]
+    chosen = _part([sizes[i] for i in pool], capacity)
+    if chosen:
+        sets[full], sets[rest] = [x for i, x in enumerate(pool) if chosen >> i & 1], [x for i, x in enumerate(pool) if not chosen >> i & 1]
+        sums[full], sums[rest] = (sum(sizes[i] for i in sets[x]) for x in (full, rest))
+    return bool(chosen)
+
+
 def _repair(sets: list[list[int]], sizes: list[int], capacity: int) -> bool:
     """Difference each set that exceeds the capacity anew together with one that has room, the roomiest first.
 
@@ -87,38 +98,41 @@ def _repair(sets: list[list[int]], sizes: list[int], capacity: int) -> bool:
     """
     sums = [sum(sizes[i] for i in s) for s in sets]
     tight: set[int] = set()
-
-    def refill(full: int, rest: int) -> bool:
-        pool = sets[full] + sets[rest]
-        chosen = _part([sizes[i] for i in pool], capacity)
-        if chosen:
-            sets[full], sets[rest] = [x for i, x in enumerate(pool) if chosen >> i & 1], [x for i, x in enumerate(pool) if not chosen >> i & 1]
-            sums[full], sums[rest] = (sum(sizes[i] for i in sets[x]) for x in (full, rest))
-        return bool(chosen)
-
     while True:
         order = sorted(range(len(sets)), key=sums.__getitem__)
         over = order[-1]
         if sums[over] <= capacity:
             return True
-        if any(refill(over, under) for under in order if sums[under] + sums[over] <= 2 * capacity):
+        if any(_refill(sets, sums, sizes, capacity, over, under) for under in order if sums[under] + sums[over] <= 2 * capacity):
             tight.add(over)
             continue
         giver = order[0]
         taker = next((x for x in order[1:] if sums[x] < capacity and x not in tight), None)
         if taker is None:
             return False
-        refill(taker, giver)
+        _refill(sets, sums, sizes, capacity, taker, giver)
         tight.add(taker)
 
 
+def _gather(sets: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Let the roomiest set fill all others best, so that room gathers in few sets and some become empty."""
+    sums = [sum(sizes[i] for i in s) for s in sets]
+    giver = min(range(len(sets)), key=sums.__getitem__)
+    for taker in sorted(range(len(sets)), key=sums.__getitem__, reverse=True):
+        if taker != giver and sums[taker] < capacity:
+            _refill(sets, sums, sizes, capacity, taker, giver)
+            if not sets[giver]:
+                giver = min((x for x in range(len(sets)) if sets[x]), key=sums.__getitem__)
+    return [s for s in sets if s]
+
+
 def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     """Sets of indexes, each within the capacity; no size may exceed it."""
     k = -(-sum(sizes) // capacity)
     while sizes:
         sets = difference(sizes, k)
         if _repair(sets, sizes, capacity):
-            return [s for s in sets if s]
+            return _gather(sets, sizes, capacity)
         k += 1
     return []
 
@@ -152,7 +166,9 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, window: int = WIN
         return pd.DataFrame([(key[0], *([c[x] for x in s] for c in columns)) for s in sets], columns=names)
 
     total = F.aggregate("item_tokens", F.lit(0), lambda a, x: a + x)
-    first = cut(items.groupBy("window").applyInPandas(fill, shape).withColumn("tokens", total))
+    # the packing is work that the few bytes of sizes don't show, so the number of tasks is given
+    tasks = max(1, min(windows, max(documents.sparkSession.sparkContext.defaultParallelism, windows // 16)))
+    first = cut(items.repartition(tasks, "window").groupBy("window").applyInPandas(fill, shape).withColumn("tokens", total))
     rooms = first.where(F.col("tokens") < CLOSED * capacity)
     again = max(1, -(-rooms.select(F.sum(F.size("doc_ids"))).first()[0] // window)) if windows > 1 and not rooms.isEmpty() else 0
     packed = first
