@@ -104,7 +104,7 @@ _HEX_ID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{
 _NOT = re.compile(
     r"""[<\[{(%$*#]|\$\{|.*(?:\$\{|\{\{|<[^>]*>|\*{3,}|x{6,}|X{6,}|\.{3}|…|•{2,}|_{4,})|.*[()\[\]{}]  # references, calls, placeholders, masks
     |(?:your|my|the|an?|some|change|insert|replace|enter|redacted|masked|hidden|removed|example|placeholder|dummy|todo|fixme|none|null|nil|undefined|true|false|empty|unset|required|optional|string|str|bytes|int|bool|env|os|process|vault|secrets?|config|settings|self|this|await|getenv)(?:[-_.\s|].*)?$
-    |(?:https?|file|arn|env|vault|ssm|op|keychain|secret|secrets|aws-sm|gcp-sm):.*|/|\./|~/|sha\d{1,3}[:-]|md5[:-]|\d{1,9}$|\d{4}-\d\d-\d\d""",
+    |(?:https?|file|arn|env|vault|ssm|op|keychain|secret|secrets|aws-sm|gcp-sm):.*|\./|~/|sha\d{1,3}[:-]|md5[:-]|\d{1,9}$|\d{4}-\d\d-\d\d""",
     re.I | re.X,
 )
 _PASSWORDISH = re.compile(r"pass|pwd|contrase|kennwort|senha", re.I)
@@ -196,8 +196,12 @@ def usable(value: str, kind: str, name: str = "") -> bool:
     digit, upper, lower = any(c.isdigit() for c in value), any(c.isupper() for c in value), any(c.islower() for c in value)
     other = any(not c.isalnum() for c in value)
     mixed = bool(re.search(r"[a-z][A-Z]|[A-Z]{2}[a-z]", value)) and len(value) >= 10
+    if value[0] == "/":  # a path, unless it looks like base64
+        return digit and upper and lower and bool(re.fullmatch(r"[A-Za-z0-9+/]{20,}={0,2}", value))
+    if kind == "issuer":
+        return digit or mixed or value.startswith(("AKIA", "ASIA"))
     if kind in ("url", "netrc", "flag_p", "flag_u", "sql"):
-        return digit or mixed or (upper and other) or len(value) >= 12
+        return digit or upper and lower or (upper and other) or len(value) >= 12
     if kind.startswith("named") and _PASSWORDISH.search(name):
         return digit or mixed or (upper and other)
     if kind == "typed":
