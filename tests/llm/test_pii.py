@@ -12,7 +12,7 @@ FOUND = [
     ("SSN 974 22 4679 in", "id_number", "974 22 4679"), ("soc. sec. no. 926 75 4636", "id_number", "926 75 4636"), ("ssn: 939-84-4397 x", "id_number", "939-84-4397"), ("NI number QQ 74 74 65 C is", "id_number", "QQ 74 74 65 C"), ("passport no. J28236610 in", "id_number", "J28236610"),
     ("documento 89730407-R in", "id_number", "89730407-R"), ("Steuer-ID 92 416 134 803 is", "id_number", "92 416 134 803"), ("Home address: 138 Rookery Road Apt 24B\nRavenshaw, 56644 A", "address", "138 Rookery Road Apt 24B\nRavenshaw, 56644"),
     ("to 67 Pewter Ave, Dunwick 36998. The", "address", "67 Pewter Ave, Dunwick 36998"), ("on 'Emberstraße 39, 19932 Marshgate' as", "address", "Emberstraße 39, 19932 Marshgate"), ("to Flat 2, 71 Vesper Terrace, Fallbrook QX6 6ZZ.", "address", "Flat 2, 71 Vesper Terrace, Fallbrook QX6 6ZZ"),
-    ("164 rue Alder, 98431 Calder's Reach is", "address", "164 rue Alder, 98431 Calder's Reach"), ("Calle Osprey 94, 8º C, 96865 Pellworth", "address", "Calle Osprey 94, 8º C, 96865 Pellworth"), ("reviewer: edda wickworth", "person_name", "edda wickworth"),
+    ("on '58 rue Beacon, 42378 Calder's Reach' as", "address", "58 rue Beacon, 42378 Calder's Reach"), ("164 rue Alder, 98431 Calder's Reach is", "address", "164 rue Alder, 98431 Calder's Reach"), ("Calle Osprey 94, 8º C, 96865 Pellworth", "address", "Calle Osprey 94, 8º C, 96865 Pellworth"), ("reviewer: edda wickworth", "person_name", "edda wickworth"),
     ("Approved by Holmmond, Zoë after the", "person_name", "Holmmond, Zoë"), ("thx to B. Brackmond for", "person_name", "B. Brackmond"), ("Bao Wickmond asked for the", "person_name", "Bao Wickmond"), ("TODO(Zoë Holmworth): drop", "person_name", "Zoë Holmworth"),
 ]
 NONE = ["", "remote is git@code.internal.test:a/b.git", "dev@buildbox:~$ make", "npm install @harborline/experiment@2.6.2", "https://app:pw1234@db.test:99/x", "schematic rev 915-33-1517 is obsolete", "epoch 1234567890 in services", "listening on 10.120.100.200", "Step 34 Parser Road Map, milestone 35010", "@pytest.fixture", "Bao and Zoë met", "look at the dot on the map"]

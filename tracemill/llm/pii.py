@@ -62,7 +62,7 @@ _IDS = [
     )
 ]
 
-_CAP = r"[A-ZÀ-ÖØ-ÞŁŚŻŽČĆĐŠÇİ][\w'’-]*"
+_CAP = r"[A-ZÀ-ÖØ-ÞŁŚŻŽČĆĐŠÇİ](?:[\w-]|['’](?=\w))*"
 _TOWN = rf"(?:(?:Saint|St\.?|New|Old|Upper|Lower|North|South|East|West|Bad|Le|La|Los|Las|San|Santa|Port|Fort|Mount|Great|Little)[ ])?[A-ZÀ-ÖØ-ÞŁŚŻŽČĆĐŠÇİ](?:[\w-]|['’](?=\w)(?!s\b))*(?:['’]s[ ]{_CAP})?"
 _GAP = r"(?:,[ ]?|,?[ ]?\r?\n[ \t]*|[ ])"
 _STREETS = (
