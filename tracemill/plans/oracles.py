@@ -63,6 +63,16 @@ CHUNKED = "cl AS (SELECT ev.*, c.chunk_id FROM ev JOIN chunks c ON c.session_id
 PATHS = r"(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_-]+\.[a-z]{1,5}"
 
 SQL: dict[str, str] = {
+    "p6_found": r"""WITH RECURSIVE s AS (SELECT session_id, arg_max(struct_pack(p := parent_session_id), (discovered_at, session_row)).p AS p FROM sessions GROUP BY 1),
+        k AS (SELECT session_id, trim(regexp_replace(lower(trim(session_id)), '^opencode://session/', '')) AS ref, trim(regexp_replace(lower(trim(p)), '^opencode://session/', '')) AS want FROM s),
+        a AS (SELECT session_id, agent_id, max(parent_call_id) AS call FROM session_events WHERE agent_id IS NOT NULL GROUP BY 1, 2),
+        c AS (SELECT session_id, tool.call_id AS call, min(coalesce(agent_id, '')) AS caller FROM session_events WHERE lower(trim(kind)) = 'tool_use' AND tool.call_id IS NOT NULL GROUP BY 1, 2),
+        l AS (SELECT x.session_id AS node, y.session_id AS parent FROM k x LEFT JOIN k y ON x.want = y.ref
+            UNION ALL SELECT a.session_id || '::agent:' || a.agent_id, CASE WHEN c.caller = '' THEN a.session_id WHEN c.caller IS NOT NULL THEN a.session_id || '::agent:' || c.caller END FROM a LEFT JOIN c ON c.session_id = a.session_id AND c.call = a.call),
+        n AS (SELECT l.node, CASE WHEN l.parent IN (SELECT node FROM l) THEN l.parent END AS parent FROM l),
+        u AS (SELECT node, node AS above FROM n UNION SELECT u.node, n.parent FROM u JOIN n ON n.node = u.above WHERE n.parent IS NOT NULL),
+        t AS (SELECT u.node, max(CASE WHEN n.parent IS NULL THEN u.above END) AS root, count(*) - 1 AS depth FROM u JOIN n ON n.node = u.above GROUP BY 1)
+        SELECT node AS node_key, coalesce(root, '') AS root_key, CAST(CASE WHEN root IS NULL THEN -1 ELSE depth END AS INTEGER) AS tree_depth FROM t""",
     "turn_index": f"WITH {EV} SELECT event_id, CAST(sum(CASE WHEN kind = 'user_message' AND text IS NOT NULL AND trim(text) <> '' THEN 1 ELSE 0 END) OVER ({STREAM}) AS BIGINT) AS turn FROM ev",
     "turn_regressions": f"WITH {EV}, f AS (SELECT session_id, turn_index < lag(turn_index) OVER ({STREAM}) AS fell FROM ev) SELECT session_id, count(*) AS n_regressions FROM f WHERE fell GROUP BY 1",
     "seq_reseq": f"""WITH {EV}, o AS (SELECT session_id, coalesce(min(nullif(ts, '')), '9999-12-31T23:59:59Z') AS t, min(source_path) AS p FROM ev GROUP BY 1)
