@@ -29,6 +29,7 @@ def test_found_and_redacted(text, secret):
     assert [text[a:b] for a, b in C.find_secrets(text)] == [secret]
     masked = C.redact(text)
     assert len(masked) == len(text) and secret not in masked and masked.startswith(text[: text.index(secret)]) and masked.endswith(text[text.index(secret) + len(secret) :])
+    assert C.find_secrets(masked) == []
     padded = "word " * 20_000 + text + " word" * 20_000
     assert [padded[a:b] for a, b in C.find_secrets(padded)] == [secret]
 

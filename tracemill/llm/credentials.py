@@ -65,7 +65,7 @@ _Q = r"\\{0,3}[\"'`]"
 _VALUE = r"[^\s\"'`<>,;\\]{4,}"
 #: A name with the stem of some secret in it; names without one are passed over, so that what stands behind them is still seen.
 _NAME = r"(?<![A-Za-z0-9_.-])(?=[A-Za-z_])[A-Za-z0-9_.-]{0,48}(?:pass|pwd|secret|token|key|credential|contrase|kennwort|senha|jwt|mot_?de_?passe)[A-Za-z0-9_ñ]{0,16}"
-_KEY_BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY((?: BLOCK)?)-----.{16,}?-----END \1PRIVATE KEY\2-----", re.S)
+_KEY_BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY((?: BLOCK)?)-----(?P<body>.{16,}?)-----END \1PRIVATE KEY\2-----", re.S)
 _ISSUER = re.compile(r"(?<![A-Za-z0-9_+-])(" + "|".join(ISSUERS) + r")(?![A-Za-z0-9_+=-])")
 _PATTERNS = [
     (kind, re.compile(pattern, re.I if kind not in ("flag_p",) else 0))
@@ -107,6 +107,8 @@ _NOT = re.compile(
     |(?:https?|file|arn|env|vault|ssm|op|keychain|secret|secrets|aws-sm|gcp-sm):.*|\./|~/|sha\d{1,3}[:-]|md5[:-]|\d{1,9}$|\d{4}-\d\d-\d\d""",
     re.I | re.X,
 )
+#: What ``mask`` leaves of a secret.
+_MASKED = re.compile(r"[Xx0\W_]+")
 _PASSWORDISH = re.compile(r"pass|pwd|contrase|kennwort|senha", re.I)
 _ESCAPE = re.compile(r"\\(?:u[0-9a-fA-F]{4}|[\"\\/bfnrt])")
 _PLAIN = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
@@ -191,7 +193,7 @@ def usable(value: str, kind: str, name: str = "") -> bool:
     """Structure that a real secret has: no placeholder, reference or plain word, enough variety for its length."""
     if len(value) < 6 or _NOT.match(value) or _HEX_ID.fullmatch(value):
         return False
-    if len(set(value)) < 5:
+    if len(set(value)) < 5 or _MASKED.fullmatch(value):
         return False
     digit, upper, lower = any(c.isdigit() for c in value), any(c.isupper() for c in value), any(c.islower() for c in value)
     other = any(not c.isalnum() for c in value)
@@ -218,7 +220,7 @@ def find_secrets(value: str, is_json: bool = False) -> list[tuple[int, int]]:
     text, at = unescape(value) if is_json else (value, None)
     if at:
         windows = cue_windows(text)
-    found = [m.span() for m in _KEY_BLOCK.finditer(text)] if "PRIVATE KEY" in text else []
+    found = [m.span() for m in _KEY_BLOCK.finditer(text) if not _MASKED.fullmatch(m.group("body"))] if "PRIVATE KEY" in text else []
     blocks = list(found)
     for a, b in windows:
         found += [m.span(1) for m in _ISSUER.finditer(text, a, b) if usable(m.group(1), "issuer")]
