@@ -47,3 +47,9 @@ def test_glossary_and_links(spark):
     modes = spark.createDataFrame([("both",), ("journey",), ("end-state",), (None,)], "mode string")
     assert D.visible(modes, "journey").count() == 3 and D.visible(modes, "end-state").count() == 3
     assert [r[0] for r in spark.createDataFrame([("a/b.py",), ("a/b",), ("Makefile",)], "p string").select(D.link_target("p")).collect()] == ["blob", "tree", "blob"]
+
+
+def test_routes(spark):
+    steps = spark.createDataFrame([(1, "sets up the base", "src/a", ""), (2, "adds the signin page", "src/auth.py", "make"), (3, "pays", "", "git show abc1234")], "step_no int, narrative string, files string, commands string")
+    routes = spark.createDataFrame([("/", []), ("/login?x=1", []), ("/zzz", ["abc1234"]), ("/qqq", [None, ""]), ("/base", [])], "route string, commits array<string>")
+    assert {r.route: r.step_no for r in D.match_routes(routes, steps).collect()} == {"/": 1, "/login?x=1": 2, "/zzz": 3, "/qqq": 3, "/base": 1}

@@ -43,6 +43,15 @@ def test_text_functions(spark):
     assert [one(T.coerce_int("x"), v) for v in (" -12 ", "1.5", "", None, "+7")] == [-12, None, None, None, 7]
 
 
+def test_links_and_dates(spark):
+    from datetime import datetime
+
+    one = lambda e, v=None: spark.createDataFrame([(v,)], "x string").select(e).first()[0]
+    assert one(T.editor_link("x"), "/a b/c+d.py") == "vscode://file//a%20b/c%2Bd.py" and one(T.editor_link("x"), "") == "" and one(T.script_json("x"), "</script>&") == "\\u003c/script\\u003e\\u0026"
+    now = datetime(2026, 3, 8)
+    assert one(T.since("7d", now).cast("string")) == "2026-03-01 00:00:00" and one(T.since("2026-03-01", now).cast("string")) == "2026-03-01 00:00:00" and one(T.since("2026-03-01T02:00:00+02:00", now).cast("string")) == "2026-03-01 00:00:00"
+
+
 def test_streaming(spark, tmp_path):
     schema = "session_id string, agent_id string, seq long, kind string, text string, ingested_at timestamp"
     batches = [[("s", None, 1, "USER_MESSAGE ", "q", "2026-01-01 00:00:00"), ("s", None, 2, "assistant_message", "a", "2026-01-01 00:00:01"), ("s", "x", 3, "meta", None, "2026-01-01 00:00:01")], [("s", None, 4, "user_message", "q", "2026-01-01 00:30:00"), ("s", None, 4, "user_message", "q", "2026-01-01 00:31:00"), ("s", None, 5, "tool_use", None, "2026-01-01 05:00:00")]]

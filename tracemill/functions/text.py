@@ -84,7 +84,12 @@ def sha_tokens(x) -> Column:
     return F.when(F.lower(s).rlike("git|commit"), F.array_distinct(F.regexp_extract_all(s, F.lit(r"\b([0-9a-f]{7,40})\b"), 1))).otherwise(F.array().cast("array<string>"))
 
 
-def route_tokens(x, stop: tuple[str, ...] = ("the", "and", "for", "with", "page", "view", "app")) -> Column:
+#: Parts of addresses that say nothing about a route.
+ROUTE_STOP = ("http", "https", "localhost", "127", "0", "www")
+
+
+def route_tokens(x, stop: tuple[str, ...] = ROUTE_STOP) -> Column:
+    """The distinct telling words of a route, in order."""
     words = F.split(F.lower(F.substring_index(_c(x), "?", 1)), r"[/:._-]+")
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.rlike(r"^\d+$") & ~w.isin(*stop)))
 
@@ -109,3 +114,27 @@ def first_seen(items: Column, cap: int | None = None) -> Column:
     """Distinct items in order of first sight, at most ``cap``."""
     kept = F.array_distinct(items)
     return F.slice(kept, 1, cap) if cap else kept
+
+
+def editor_link(path, scheme: str = "vscode") -> Column:
+    """A link that opens a file: the path percent-encoded but for its slashes; '' for none."""
+    encoded = F.replace(F.replace(F.url_encode(_c(path)), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+    return F.when(F.coalesce(_c(path), F.lit("")) == "", "").otherwise(F.concat(F.lit(f"{scheme}://file/"), encoded))
+
+
+def script_json(x) -> Column:
+    """JSON that may stand within a script element."""
+    s = _c(x)
+    for a, b in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026")):
+        s = F.replace(s, F.lit(a), F.lit(b))
+    return s
+
+
+def since(text: str, now) -> Column:
+    """``7d`` before ``now``, or a time as ISO has it, without zone in UTC."""
+    import re
+
+    days = re.fullmatch(r"(\d+)d", text.strip())
+    if days:
+        return F.lit(now) - F.make_interval(days=F.lit(int(days.group(1))))
+    return F.to_timestamp(F.lit(text if re.search(r"(?:Z|[+-]\d\d:?\d\d)$", text) else text + ("Z" if "T" in text else "T00:00:00Z")))

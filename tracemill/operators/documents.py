@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import base_name, slug, strip
+from tracemill.functions.text import base_name, route_tokens, slug, strip
 from tracemill.operators.links import first_last_roles
 
 GLOSSARY_CHARS, GLOSSARY_ENTRIES = 300, 50
+#: Words of routes and words that mean as much in a step.
+SYNONYMS = {
+    "login": ("auth", "signin", "sign", "in"), "signin": ("login", "auth"), "auth": ("login", "signin", "signup"), "register": ("registration", "signup", "wizard"), "registration": ("register", "signup", "wizard"),
+    "signup": ("register", "registration"), "dashboard": ("home", "analytics"), "checkout": ("payment", "pay"), "payment": ("checkout", "pay"),
+}
 
 
 def one_line(c: Column) -> Column:
@@ -52,6 +57,35 @@ def bridge_screenshots(shots: DataFrame) -> DataFrame:
     return shots.select("step_id", "idx", ident.alias("media_id"), F.lit("screenshot").alias("type"), caption.alias("caption"), F.coalesce("source_ref", F.get(F.col("source_refs"), 0)).alias("source_ref"))
 
 
+def route_score(route: str, narrative: str, files: str, commands: str, everything: str) -> Column:
+    """How well a step fits a route: 5 for the route itself, and for each of its words 3 in the narrative, 2 in files, 1 in
+    commands, a point less (but one at least) for each word that means as much."""
+    meaning = F.create_map(*(x for k, v in SYNONYMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    holds = lambda c, w, points: F.when(F.contains(F.col(c), w), points).otherwise(0)
+    in_step = lambda w, points: holds(narrative, w, points[0]) + holds(files, w, points[1]) + holds(commands, w, points[2])
+    add = lambda points: lambda total, w: total + in_step(w, points)
+    own = F.aggregate(route_tokens(route), F.lit(0), add((3, 2, 1)))
+    like = F.flatten(F.transform(route_tokens(route), lambda w: F.coalesce(F.try_element_at(meaning, w), F.array().cast("array<string>"))))
+    return F.when(F.contains(F.col(everything), F.lower(route)), 5).otherwise(0) + own + F.aggregate(like, F.lit(0), add((2, 1, 1)))
+
+
+def match_routes(routes: DataFrame, steps: DataFrame, limit: int = 10_000) -> DataFrame:
+    """(route, step_no): the step that fits a route best, ties to the first; else the one that names its commits; else the
+    last; the root goes to the first. ``routes``: route, commits; ``steps``: step_no, narrative, files, commands, all in lower case.
+
+    A report's routes are few, more than ``limit`` are refused; there is no key to join them by.
+    """
+    if routes.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} routes")
+    steps = steps.withColumn("everything", F.concat_ws(" ", "narrative", "files", "commands"))
+    pairs = steps.join(F.broadcast(routes)).withColumn("fit", route_score("route", "narrative", "files", "commands", "everything"))
+    named = F.aggregate(F.coalesce("commits", F.array().cast("array<string>")), F.lit(0), lambda n, c: n + F.when((c != "") & F.contains(F.col("everything"), F.lower(c)), 10).otherwise(0))
+    best = lambda score: F.max_by("step_no", F.struct(score, -F.col("step_no")))
+    found = pairs.withColumn("names", named).groupBy("route").agg(F.max("fit").alias("fit"), best(F.col("fit")).alias("a"), F.max("names").alias("names"), best(F.col("names")).alias("b"), F.max("step_no").alias("last"), F.min("step_no").alias("first"))
+    root = F.trim("route").isin("", "/")
+    return found.select("route", F.when(root, F.col("first")).when(F.col("fit") > 0, F.col("a")).when(F.col("names") > 0, F.col("b")).otherwise(F.col("last")).alias("step_no"))
+
+
 def attach_captures(shots: DataFrame, matched: DataFrame, media: DataFrame) -> DataFrame:
     """Captures as media of the steps their routes match; those whose path the step has already, or had before, are left out.
 

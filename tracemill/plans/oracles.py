@@ -228,7 +228,7 @@ SQL: dict[str, str] = {
         WHEN starts_with(regexp_replace(left(trim(coalesce(text, '')), 2000), '\\s+', '', 'g'), '{') AND contains(text, '"status":500') AND contains(text, '"unhandled":true') THEN 'error_payload' END AS reason FROM c) SELECT * FROM r WHERE reason IS NOT NULL""",
     "svg_safety": """SELECT doc_id, CASE WHEN doc_id % 3 IN (0, 1) THEN CAST(0 AS BIGINT) ELSE CAST(length('<svg>' || left(text, 40) || '</svg>') AS BIGINT) END AS n_chars FROM documents WHERE text IS NOT NULL""",
     "sha_tokens": r"""WITH m AS (SELECT event_id, regexp_extract_all(text, '\b[0-9a-f]{7,40}\b') AS x FROM session_events WHERE regexp_matches(lower(text), 'git|commit')) SELECT event_id, array_to_string(list_transform(list_filter(range(1, len(x) + 1), lambda i: list_position(x, x[i]) = i), lambda i: x[i]), ',') AS shas FROM m WHERE len(x) > 0""",
-    "route_tokens": r"""WITH m AS (SELECT event_id, list_filter(regexp_split_to_array(lower(split_part(file_change.path, '?', 1)), '[/:._-]+'), lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '\d+') AND w NOT IN ('the', 'and', 'for', 'with', 'page', 'view', 'app')) AS x FROM session_events WHERE file_change.path IS NOT NULL)
+    "route_tokens": r"""WITH m AS (SELECT event_id, list_filter(regexp_split_to_array(lower(split_part(file_change.path, '?', 1)), '[/:._-]+'), lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '\d+') AND w NOT IN ('http', 'https', 'localhost', 'www')) AS x FROM session_events WHERE file_change.path IS NOT NULL)
         SELECT event_id, array_to_string(list_transform(list_filter(range(1, len(x) + 1), lambda i: list_position(x, x[i]) = i), lambda i: x[i]), ',') AS tokens FROM m""",
     "teaser": f"""WITH {STEPS}, s AS (SELECT doc_id, coalesce(nullif({strip("regexp_replace(body, '" + SPACE + "+', ' ', 'g')")}, ''), nullif({strip("regexp_replace(title, '" + SPACE + "+', ' ', 'g')")}, ''), '') AS s FROM steps),
         h AS (SELECT *, left(s, 181) AS h FROM s), b AS (SELECT *, CASE WHEN contains(h, ' ') THEN length(h) - position(' ' IN reverse(h)) ELSE -1 END AS b FROM h)
