@@ -88,3 +88,26 @@ def test_entry(spark):
     frame = e.entry(spark)
     assert frame.columns == ["src_table", "row_key", "utc_micros"] and frame.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_scans_do_not_depend_on_blocks(spark, monkeypatch, block):
+    from tracemill.operators import events
+
+    monkeypatch.setattr(events, "BLOCK", block)
+    rng = random.Random(6)
+    data = [(i, f"s{rng.randrange(3)}", q, rng.choice(["user_message", "meta"]), rng.choice([None, "a"]), rng.choice(["t", " ", None]), rng.choice(["", None, f"2026-01-0{q % 9 + 1}"]), f"/p{rng.randrange(2)}") for i, q in enumerate(rng.sample(range(200), 80))]
+    frame = spark.createDataFrame(data, "event_id long, session_id string, seq long, kind string, agent_id string, text string, ts string, source_path string")
+    turns, last, first, want_ts, want = {}, {}, {}, {}, {}
+    for e, s, q, k, a, t, ts, _ in sorted(data, key=lambda r: (r[1], r[2])):
+        turns[s, a] = turns.get((s, a), 0) + (k == "user_message" and t == "t")
+        want[e] = turns[s, a]
+        last[s, a] = ts or last.get((s, a))
+        first.setdefault((s, a), None)
+        first[s, a] = first[s, a] or ts
+        want_ts[e] = (last[s, a], (s, a))
+    assert {r.event_id: r.turn for r in events.turn_index(frame).collect()} == want
+    assert {r.event_id: r.carried_ts for r in events.carry_ts(frame).collect()} == {e: v or first[k] or "" for e, (v, k) in want_ts.items()}
+    begin = {s: (min((r[6] for r in data if r[1] == s and r[6]), default="9999"), min(r[7] for r in data if r[1] == s), s) for s in {r[1] for r in data}}
+    order = [r[0] for r in sorted(data, key=lambda r: (begin[r[1]], r[2]))]
+    assert {r.event_id: r.global_seq for r in events.resequence(frame).collect()} == {e: i for i, e in enumerate(order, 1)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,14 +12,14 @@ VISIBLE = "kind = 'user_message' and text is not null and trim(text) <> ''"
 FAR = "9999-12-31T23:59:59Z"
 
 
-def once(events: DataFrame) -> DataFrame:
-    """Each event once, of repeated deliveries the one with the lowest event_id; kinds without case and blanks.
+#: Seqs of a block. Streams are scanned block by block with what earlier blocks carry on, so that one long session is many tasks.
+BLOCK = 4096
 
-    The window is by session, as those of the operators that follow, so they need no further exchange.
-    """
-    order = W.partitionBy("session_id").orderBy("seq", "event_id")
-    rows = events.withColumn("kind", clean_kind()).withColumn("_before", F.lag("seq").over(order))
-    return rows.where("_before is null or _before <> seq").drop("_before")
+
+def once(events: DataFrame) -> DataFrame:
+    """Each event once, of repeated deliveries the one with the lowest event_id; kinds without case and blanks."""
+    rank = F.row_number().over(W.partitionBy("session_id", "seq").orderBy("event_id"))
+    return events.withColumn("kind", clean_kind()).withColumn("_n", rank).where("_n = 1").drop("_n")
 
 
 def load(spark: SparkSession, base: str, *columns: str) -> DataFrame:
@@ -34,9 +34,29 @@ def stream_window():
     return W.partitionBy("session_id", F.coalesce(F.col("agent_id"), F.lit(""))).orderBy("seq")
 
 
+def _blocked(events: DataFrame, *key: Column) -> tuple[DataFrame, list[str]]:
+    """The events with the columns that name their key (_k0, ...) and block (_blk), and those columns."""
+    names = [f"_k{i}" for i in range(len(key))]
+    rows = events.withColumns({n: c for n, c in zip(names, key)} | {"_blk": F.floor(F.col("seq") / BLOCK)})
+    return rows, [*names, "_blk"]
+
+
+def _stream_key() -> tuple[Column, Column]:
+    return F.col("session_id"), F.coalesce(F.col("agent_id"), F.lit(""))
+
+
+def running_sum(events: DataFrame, value: Column, name: str, *key: Column) -> DataFrame:
+    """The sum of ``value`` up to each event of its key in order of seq: within blocks, plus the sums of earlier blocks."""
+    rows, by = _blocked(events.withColumn("_v", value.cast("long")), *key)
+    sums = rows.groupBy(*by).agg(F.sum("_v").alias("_s"))
+    before = W.partitionBy(*by[:-1]).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
+    carried = sums.select(*by, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_c"))
+    return rows.withColumn("_w", F.sum("_v").over(W.partitionBy(*by).orderBy("seq"))).join(carried, by).withColumn(name, F.col("_w") + F.col("_c")).drop(*by, "_v", "_w", "_c")
+
+
 def turn_index(events: DataFrame) -> DataFrame:
     """Number the turns of each stream: one more at each visible user message."""
-    return events.withColumn("turn", F.sum(F.expr(f"cast({VISIBLE} as int)")).over(stream_window()))
+    return running_sum(events, F.coalesce(F.expr(VISIBLE), F.lit(False)).cast("int"), "turn", *_stream_key())
 
 
 def turn_regressions(events: DataFrame) -> DataFrame:
@@ -48,23 +68,33 @@ def turn_regressions(events: DataFrame) -> DataFrame:
 def resequence(events: DataFrame) -> DataFrame:
     """Concatenate all sessions, ordered by first timestamp, then path, and number the events from 1.
 
-    Only sessions are ordered globally; events get their session's offset, so no task sorts all events.
+    Only sessions are ordered globally, in the ranges that the first characters of their timestamps make, and the ranges by
+    their sums; events get their session's offset. No task sorts all events or all sessions.
     """
     stamp = F.nullif(F.col("ts"), F.lit(""))
-    per = events.groupBy("session_id").agg(F.min(stamp).alias("first_ts"), F.min("source_path").alias("path"), F.count("*").alias("n"))
-    order = W.orderBy(F.coalesce("first_ts", F.lit(FAR)), "path", "session_id")
-    offsets = per.select("session_id", (F.sum("n").over(order) - F.col("n")).alias("offset"))
-    ranked = events.withColumn("rank", F.row_number().over(W.partitionBy("session_id").orderBy("seq")))
+    per = events.groupBy("session_id").agg(F.coalesce(F.min(stamp), F.lit(FAR)).alias("first_ts"), F.min("source_path").alias("path"), F.count("*").alias("n"))
+    per = per.withColumns({"_a": F.substring("first_ts", 1, 4), "_b": F.substring("first_ts", 1, 10)})
+    upto = lambda n, order: F.sum(n).over(order) - F.col(n)
+    days = per.groupBy("_a", "_b").agg(F.sum("n").alias("_n"))
+    years = days.groupBy("_a").agg(F.sum("_n").alias("_y"))
+    years = years.select("_a", upto("_y", W.orderBy("_a")).alias("_before_a"))
+    days = days.select("_a", "_b", upto("_n", W.partitionBy("_a").orderBy("_b")).alias("_before_b")).join(years, "_a")
+    inside = per.select("session_id", "_a", "_b", upto("n", W.partitionBy("_a", "_b").orderBy("first_ts", "path", "session_id")).alias("_before"))
+    offsets = inside.join(days, ["_a", "_b"]).select("session_id", (F.col("_before") + F.col("_before_b") + F.col("_before_a")).alias("offset"))
+    ranked = running_sum(events, F.lit(1), "rank", F.col("session_id"))
     return ranked.join(offsets, "session_id").withColumn("global_seq", F.col("offset") + F.col("rank")).drop("rank", "offset")
 
 
 def carry_ts(events: DataFrame) -> DataFrame:
     """Blank timestamps get the stream's last one, leading blanks its first."""
-    stamp = F.nullif(F.col("ts"), F.lit(""))
-    order = stream_window()
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    carried = F.coalesce(F.last(stamp, ignorenulls=True).over(order), F.first(stamp, ignorenulls=True).over(whole), F.lit(""))
-    return events.withColumn("carried_ts", carried)
+    rows, by = _blocked(events.withColumn("_t", F.nullif(F.col("ts"), F.lit(""))), *_stream_key())
+    ends = rows.groupBy(*by).agg(F.max_by("_t", F.when(F.col("_t").isNotNull(), F.col("seq"))).alias("_l"), F.min_by("_t", F.when(F.col("_t").isNotNull(), F.col("seq"))).alias("_f"))
+    order = W.partitionBy(*by[:-1]).orderBy("_blk")
+    carried = ends.select(
+        *by, F.last("_l", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_c"), F.first("_f", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_first")
+    )
+    within = F.last("_t", ignorenulls=True).over(W.partitionBy(*by).orderBy("seq"))
+    return rows.withColumn("_w", within).join(carried, by).withColumn("carried_ts", F.coalesce("_w", "_c", "_first", F.lit(""))).drop(*by, "_t", "_w", "_c", "_first")
 
 
 def from_expected(events: DataFrame, expected: DataFrame) -> DataFrame:

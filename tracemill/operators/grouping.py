@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,11 +92,28 @@ def next_fit(sizes: Column, target: int) -> Column:
 
 
 def pack_chunks(grouped: DataFrame, target: int) -> DataFrame:
-    """(session_id, leader, size, chunk): next-fit packing of each session's groups in order of their leaders."""
-    sizes = grouped.groupBy("session_id", "leader").agg(F.sum(F.length(line())).alias("size"))
-    lists = sizes.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("leader", "size"))).alias("g"))
-    numbered = lists.withColumn("c", next_fit(F.transform("g", lambda x: x["size"]), target))
-    return numbered.select("session_id", F.inline(F.arrays_zip("g", "c"))).select("session_id", "g.leader", "g.size", F.col("c").alias("chunk"))
+    """(session_id, leader, size, chunk): next-fit packing of each session's groups in order of their leaders.
+
+    Where a chunk ends depends on all groups before. The sorted groups run through the tasks batch by batch with
+    the state of the last one, so that memory stays bounded however long a session is.
+    """
+    sizes = grouped.groupBy("session_id", "leader").agg(F.sum(F.length(line())).cast("long").alias("size"))
+    ordered = sizes.repartition("session_id").sortWithinPartitions("session_id", "leader")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, used, chunk = None, 0, -1
+        for batch in batches:
+            chunks = []
+            for s, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if s != session:
+                    session, used, chunk = s, 0, -1
+                fresh = size >= target or used == 0 or used + size > target
+                chunk += fresh
+                used = 0 if size >= target else size if fresh else used + size
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunks, pa.int32())], names=["session_id", "leader", "size", "chunk"])
+
+    return ordered.mapInArrow(run, "session_id string, leader long, size long, chunk int")
 
 
 def chunk_rows(grouped: DataFrame, target: int) -> DataFrame:
