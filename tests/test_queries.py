@@ -62,6 +62,14 @@ def test_fold_keeps_streams_apart():
     assert grouping.fold_groups([use, ("user_message", "m", ""), ("tool_use", "m", "e")]) == [0, 0, 2]
 
 
+def test_one_after_the_other_like_the_fold():
+    rng = random.Random(8)
+    for _ in range(3000):
+        rows = [(rng.choice(["tool_use", "tool_result", "file_change", "command", "user_message"]), rng.choice("mno"), rng.choice(["a", "b", ""])) for _ in range(rng.randrange(1, 14))]
+        groups = grouping.Groups()
+        assert [groups.leader(i, *r) for i, r in enumerate(rows)] == grouping.fold_groups(rows)
+
+
 def test_next_fit(spark):
     got = spark.sql("select array(40L, 50L, 120L, 30L, 30L, 60L) as s").select(grouping.next_fit(grouping.F.col("s"), 100)).first()[0]
     assert got == [0, 0, 1, 2, 2, 3]

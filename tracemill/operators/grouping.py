@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -64,17 +63,48 @@ def fold_groups(rows: list[tuple]) -> list[int]:
     return leader
 
 
-def interleaved_groups(events: DataFrame) -> DataFrame:
-    """(session_id, seq, leader) by the sequential fold, a session at a time."""
+class Groups:
+    """The same one event after the other; what is kept is one open group per stream."""
+
+    def __init__(self):
+        self.open: dict[str, list] = {}
+
+    def leader(self, at: int, kind: str, stream: str, call: str) -> int:
+        group, taken = self.open.get(stream), None
+        if group and kind != "tool_use":
+            if not group[2]:
+                taken = group[0]
+                group[2] = kind == "tool_result" and call == group[1]
+            elif kind in TRAILING:
+                taken = group[0]
+            else:
+                del self.open[stream]
+        # an event that no earlier group took ends the trailing runs of the other streams
+        for other in [s for s, g in self.open.items() if g[2] and s != stream and (taken is None or taken > g[0])]:
+            del self.open[other]
+        if kind == "tool_use":
+            self.open.pop(stream, None)
+            if call:
+                self.open[stream] = [at, call, False]
+        return at if taken is None else taken
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        rows = list(zip(frame["kind"], frame["stream"], frame["call"]))
-        seqs = frame["seq"].tolist()
-        return frame.assign(leader=[seqs[i] for i in fold_groups(rows)])[["session_id", "seq", "leader"]]
 
+def interleaved_groups(events: DataFrame) -> DataFrame:
+    """(session_id, seq, leader) for streams that are interleaved: sorted sessions run through the tasks batch by batch."""
     slim = events.select("session_id", "seq", "kind", F.coalesce("agent_id", F.lit("")).alias("stream"), F.coalesce("tool.call_id", F.lit("")).alias("call"))
-    return slim.groupBy("session_id").applyInPandas(run, "session_id string, seq long, leader long")
+    ordered = slim.repartition("session_id").sortWithinPartitions("session_id", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, groups = None, Groups()
+        for batch in batches:
+            leaders = []
+            for s, q, kind, stream, call in zip(*(c.to_pylist() for c in batch.columns)):
+                if s != session:
+                    session, groups = s, Groups()
+                leaders.append(groups.leader(q, kind, stream, call))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaders, pa.int64())], names=["session_id", "seq", "leader"])
+
+    return ordered.mapInArrow(run, "session_id string, seq long, leader long")
 
 
 def next_fit(sizes: Column, target: int) -> Column:
