@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.functions import text as T
-from tracemill.operators import cards, checks, clean, events as E, grouping, links, projection, report, summaries
+from tracemill.operators import cards, checks, clean, documents as D, events as E, grouping, links, projection, report, summaries
 from tracemill.runtime import clean_kind, table
 
 TARGET = 6000
@@ -542,6 +542,34 @@ def svg_safety(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("doc_id", F.length(report.safe_svg("svg")).cast("long").alias("n_chars"))
 
 
+@query
+def link_map_match(spark: SparkSession, base: str) -> DataFrame:
+    """Changed paths, as a link map, among the words of the documents."""
+    paths = E.load(spark, base, "file_change").where("file_change.path <> ''").select(F.col("file_change.path").alias("token")).distinct()
+    found = D.link_tokens(_texts(spark, base).withColumnRenamed("doc_id", "text_id"), paths)
+    return found.groupBy("token").agg(F.count("*").alias("n_places"), F.count_distinct("text_id").alias("n_docs"))
+
+
+@query
+def glossary_faults(spark: SparkSession, base: str) -> DataFrame:
+    """The roster as a glossary of all documents: given names are terms, teams definitions, handles aliases."""
+    people = table(spark, base, "contributors").select(F.lit("all").alias("report"), F.col("person_id").cast("int").alias("pos"), F.col("given_name").alias("term"), F.col("team").alias("definition"), F.lit(None).cast("string").alias("expanded"), F.array("handle").alias("aliases"))
+    return D.glossary_faults(people, _texts(spark, base).select(F.lit("all").alias("report"), "text"))
+
+
+@query
+def undeclared_refs(spark: SparkSession, base: str) -> DataFrame:
+    """Transcripts that events cite and that no session of their provider declares, by path or last part."""
+    cited = E.load(spark, base, "provider", "source_path").select(F.col("provider").alias("report"), F.col("source_path").alias("path")).distinct()
+    return D.undeclared(cited, latest_sessions(spark, base).where("session_row % 3 <> 0").select(F.col("provider").alias("report"), F.col("source_path").alias("path")))
+
+
+@query
+def visible_items(spark: SparkSession, base: str) -> DataFrame:
+    rows = table(spark, base, "documents").withColumn("mode", F.when(F.col("doc_kind") == "plan", " Journey").when(F.col("doc_kind") == "readme", "end-state").when(F.col("doc_kind") == "tool_log", ""))
+    return D.visible(rows, "journey").groupBy("doc_kind").agg(F.count("*").alias("n"))
+
+
 @query
 def json_tree_strip(spark: SparkSession, base: str) -> DataFrame:
     """Strings deep in tool inputs stripped; inputs that aren't JSON pass unchanged."""

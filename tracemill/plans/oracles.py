@@ -233,5 +233,16 @@ SQL: dict[str, str] = {
     "teaser": f"""WITH {STEPS}, s AS (SELECT doc_id, coalesce(nullif({strip("regexp_replace(body, '" + SPACE + "+', ' ', 'g')")}, ''), nullif({strip("regexp_replace(title, '" + SPACE + "+', ' ', 'g')")}, ''), '') AS s FROM steps),
         h AS (SELECT *, left(s, 181) AS h FROM s), b AS (SELECT *, CASE WHEN contains(h, ' ') THEN length(h) - position(' ' IN reverse(h)) ELSE -1 END AS b FROM h)
         SELECT doc_id, CASE WHEN length(s) <= 180 THEN s ELSE regexp_replace(left(s, CASE WHEN b < 117 THEN 180 ELSE b END), '[ .,;:]+$', '') || '...' END AS teaser FROM b""",
+    "link_map_match": f"""WITH {EV}, t AS (SELECT DISTINCT file_change.path AS token FROM ev WHERE file_change.path <> ''), w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9_./-]+')) AS token FROM documents WHERE text IS NOT NULL)
+        SELECT token, count(*) AS n_places, count(DISTINCT doc_id) AS n_docs FROM w JOIN t USING (token) GROUP BY 1""",
+    "glossary_faults": """WITH e AS (SELECT trim(given_name) AS term, team, handle, row_number() OVER (PARTITION BY lower(trim(given_name)) ORDER BY person_id) AS n FROM contributors WHERE coalesce(team, '') <> ''),
+        w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS word FROM documents WHERE text IS NOT NULL),
+        c AS (SELECT e.*, list_filter(regexp_split_to_array(lower(term), '[^a-z0-9_]+'), lambda x: x <> '') AS parts FROM e),
+        d AS (SELECT ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> ''), ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL AND len(text) > 0)
+        SELECT 'all' AS report, given_name AS term, 'incomplete' AS fault FROM contributors WHERE coalesce(team, '') = '' UNION ALL SELECT 'all', term, 'duplicate' FROM e WHERE n > 1
+        UNION ALL SELECT 'all', term, 'dead' FROM c WHERE n = 1 AND lower(handle) NOT IN (SELECT word FROM w) AND (len(parts) = 0 OR CASE WHEN len(parts) = 1 THEN parts[1] NOT IN (SELECT word FROM w) ELSE NOT EXISTS (SELECT 1 FROM d WHERE contains(d.t, ' ' || array_to_string(parts, ' ') || ' ')) END)""",
+    "undeclared_refs": f"""WITH {EV}, {LATEST}, n AS (SELECT provider, unnest([source_path, regexp_replace(source_path, '^.*/', '')]) AS name FROM latest WHERE session_row % 3 <> 0 AND source_path <> '')
+        SELECT DISTINCT provider AS report, source_path AS path FROM ev WHERE provider IN (SELECT provider FROM n) AND (provider, source_path) NOT IN (SELECT (provider, name) FROM n) AND (provider, regexp_replace(source_path, '^.*/', '')) NOT IN (SELECT (provider, name) FROM n)""",
+    "visible_items": "SELECT doc_kind, count(*) AS n FROM documents WHERE doc_kind IS NULL OR doc_kind <> 'readme' GROUP BY 1",
     "kinds_seen": "SELECT kind AS spelling, lower(trim(kind)) AS kind, count(*) AS n FROM session_events GROUP BY 1, 2",
 }
