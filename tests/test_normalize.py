@@ -102,3 +102,8 @@ def test_opencode(spark):
     assert rows[3].command.status == "pass" and rows[3].command.output_lines == 2 and rows[5].media.data_b64 == "QUJD"
     assert [(r.file_change.path, r.file_change.kind) for r in rows if r.kind == "file_change"] == [("a", "create"), ("z", "modify"), ("b", "delete")]
     assert {r.session_id for r in rows} == {"ses"} and rows[11].tool.is_error is True and rows[12].text == "Assistant error: bad"
+
+
+def test_vendors_in_one_table(spark):
+    rows = N.normalize_all(claude=recs(spark, s1=[user("hi")]), codex=recs(spark, r=[{"type": "session_meta", "payload": {"id": "x"}}])).collect()
+    assert {(r.provider, r.session_id, r.kind) for r in rows} == {("claude", "s1", "user_message"), ("codex", "x", "meta")}

@@ -46,3 +46,14 @@ def test_sinks(spark, tmp_path):
     assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "o")).collect()] == [{"seq": 1, "k": "a", "n": "x"}, {"seq": 2, "k": "b"}]
     jsonl.write_chunks(spark.createDataFrame([("c1", 2, "y"), ("c1", 1, "x"), ("c2", 1, "z")], "chunk_id string, place int, line string"), str(tmp_path / "c"))
     assert [r.value for r in spark.read.text(str(tmp_path / "c/chunk_id=c1")).collect()] == ["x", "y"]
+
+
+def test_strict_export_and_manifest(spark, tmp_path):
+    import pytest
+
+    good, bad = write(tmp_path / "g.jsonl", {"type": "session", "info": {"id": "s"}}, ""), write(tmp_path / "b.jsonl", "{broken")
+    assert jsonl.load_export(spark, good).count() == 1
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        jsonl.load_export(spark, bad).collect()
+    jsonl.write_manifest(spark.createDataFrame([("chunk-002", 5), ("chunk-001", 7)], "chunk_id string, byte_size int"), str(tmp_path / "m"))
+    assert [json.loads(r.value)["chunk_id"] for r in spark.read.text(str(tmp_path / "m")).collect()] == ["chunk-001", "chunk-002"]

@@ -68,3 +68,14 @@ def test_streaming(spark, tmp_path):
     stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
     assert {(r.agent_id, r.seq, r.turn) for r in run(turns.running_turns(turns.deduplicated(stream())), "turns")} == {("", 1, 1), ("", 2, 1), ("x", 3, 0), ("", 4, 2), ("", 5, 2)}
     assert {(r.kind, r.n) for r in run(turns.kind_counts(stream()), "counts")} == {("user_message", 3), ("assistant_message", 1), ("meta", 1)}
+
+
+def test_times_in_utc_whatever_the_session(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Asia/Tokyo", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            rows = [r[0] for r in spark.createDataFrame([("1760000000000",), ("1760000001500",), ("x",)], "x string").select(T.epoch_ms_iso("x")).collect()]
+            assert rows == ["2025-10-09T08:53:20Z", "2025-10-09T08:53:21.500000Z", ""]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -105,17 +105,10 @@ def epoch_ms_iso(x) -> Column:
     """Milliseconds since 1970 as ISO time in UTC, with six digits only where there is a fraction; '' if not a number."""
     ms = _c(x).try_cast("long")
     at = F.to_utc_timestamp(F.timestamp_millis(ms), F.current_timezone())
-    at = F.from_utc_timestamp(at, F.current_timezone())
     shape = F.when(ms % 1000 == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
     return F.when(ms.isNull(), "").otherwise(shape)
 
 
-def first_seen(items: Column, cap: int | None = None) -> Column:
-    """Distinct items in order of first sight, at most ``cap``."""
-    kept = F.array_distinct(items)
-    return F.slice(kept, 1, cap) if cap else kept
-
-
 def editor_link(path, scheme: str = "vscode") -> Column:
     """A link that opens a file: the path percent-encoded but for its slashes; '' for none."""
     encoded = F.replace(F.replace(F.url_encode(_c(path)), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))

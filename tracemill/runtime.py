@@ -10,9 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only while its files are below this many bytes.
-BROADCAST_LIMIT = 8 << 20
-
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
     """A session for tests and benches on one machine; clusters bring their own."""
@@ -66,8 +63,3 @@ def clean_kind(col: str = "kind"):
     """The event kind without the letter case and blanks that deliveries vary."""
     return F.lower(F.trim(F.col(col)))
 
-
-def is_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
-    """Whether the files behind ``df`` prove it small enough to broadcast; unknown sizes count as large."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    return size <= limit
