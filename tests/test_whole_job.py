@@ -1,0 +1,32 @@
+"""Queries that take the whole of their tables, against counts and SQL of their own."""
+
+import os
+
+import pytest
+
+from tracemill.plans import event_queries as Q
+
+BASE = "/root/testdata/sf0.001"
+EV = "ev AS (SELECT * EXCLUDE (kind, rn), lower(trim(kind)) AS kind FROM (SELECT *, row_number() OVER (PARTITION BY session_id, seq ORDER BY event_id) AS rn FROM session_events) WHERE rn = 1)"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(BASE):
+        con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{BASE}/{f}'")
+    return con
+
+
+def test_chunk_checks_count_subagents_too(spark):
+    bad = {r.check: r.n_bad for r in Q.chunk_checks(spark, BASE).collect()}
+    assert bad["no_rows"] == 0 and bad["wrong_count"] == 0 and bad["bad_range"] == 0
+
+
+def test_split_pairs_see_subagents(spark, duck):
+    want = duck.sql(f"""WITH {EV}, cl AS (SELECT ev.*, c.chunk_id FROM ev JOIN chunks c ON c.session_id = ev.session_id WHERE source_line BETWEEN line_start AND line_end)
+        SELECT DISTINCT session_id, chunk_id, tool.call_id FROM cl a WHERE kind = 'tool_result' AND tool.call_id <> ''
+        AND NOT EXISTS (SELECT 1 FROM cl b WHERE b.kind = 'tool_use' AND b.session_id = a.session_id AND b.chunk_id = a.chunk_id AND b.tool.call_id = a.tool.call_id)""").fetchall()
+    assert {(r.session_id, r.chunk_id, r.call_id) for r in Q.split_pairs(spark, BASE).collect()} == set(want)

@@ -132,8 +132,8 @@ def tool_pair_orphans(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _chunk_lines(spark: SparkSession, base: str) -> DataFrame:
-    """Events of main streams with the listed chunk whose lines hold them."""
-    rows = E.load(spark, base, "tool", "source_line", "agent_id").where("agent_id is null")
+    """Events of all streams with the listed chunk whose lines hold them."""
+    rows = E.load(spark, base, "tool", "source_line")
     return rows.join(table(spark, base, "chunks"), "session_id").where("source_line between line_start and line_end")
 
 
