@@ -4,6 +4,8 @@ import os
 
 import pytest
 
+from tracemill.operators import events as E
+from tracemill.operators import grouping
 from tracemill.plans import event_queries as Q
 
 BASE = "/root/testdata/sf0.001"
@@ -30,3 +32,42 @@ def test_split_pairs_see_subagents(spark, duck):
         SELECT DISTINCT session_id, chunk_id, tool.call_id FROM cl a WHERE kind = 'tool_result' AND tool.call_id <> ''
         AND NOT EXISTS (SELECT 1 FROM cl b WHERE b.kind = 'tool_use' AND b.session_id = a.session_id AND b.chunk_id = a.chunk_id AND b.tool.call_id = a.tool.call_id)""").fetchall()
     assert {(r.session_id, r.chunk_id, r.call_id) for r in Q.split_pairs(spark, BASE).collect()} == set(want)
+
+
+def test_chunks_hold_all_streams_like_one_fold(spark):
+    import hashlib
+
+    text = lambda e: f"{e.seq}|{e.kind}|{e.text or ''}|{e.tool and e.tool.input or ''}|{e.tool and e.tool.output or ''}\n"
+    sessions = {}
+    for e in E.load(spark, BASE, "agent_id", "text", "tool", "source_line").orderBy("session_id", "seq").collect():
+        sessions.setdefault(e.session_id, []).append(e)
+    assert any(e.agent_id for events in sessions.values() for e in events)
+    leaders, packed, halves, hashes = {}, {}, {}, set()
+    for s, events in sessions.items():
+        lead = grouping.fold_groups([(e.kind, e.agent_id or "", e.tool and e.tool.call_id or "") for e in events])
+        groups = {}
+        for i, e in enumerate(events):
+            leaders[e.event_id] = events[lead[i]].seq
+            groups.setdefault(lead[i], []).append(e)
+        used, chunk, rows = 0, -1, {}
+        for i in sorted(groups):
+            size = sum(len(text(e)) for e in groups[i])
+            if size >= Q.TARGET or not used or used + size > Q.TARGET:
+                chunk, used = chunk + 1, 0
+            used = 0 if size >= Q.TARGET else used + size
+            packed[s, events[i].seq] = (size, chunk)
+            rows.setdefault(chunk, []).extend(groups[i])
+        for chunk, held in rows.items():
+            split, running, whole = len(held), 0, sum(len(text(e)) for e in held)
+            for place, e in enumerate(held, 1):
+                running += len(text(e))
+                if whole > Q.TARGET and e.kind == "user_message" and 1 < place < len(held) and running <= Q.TARGET:
+                    split = place
+            for half, part in enumerate((held[:split], held[split:])):
+                if part:
+                    halves[s, chunk, half] = len(part)
+                    hashes.add((s, len(part), min(e.source_line for e in part), max(e.source_line for e in part), hashlib.sha256("".join(map(text, part)).encode()).hexdigest()))
+    assert {r.event_id: r.leader for r in Q.atomic_groups(spark, BASE).collect()} == leaders
+    assert {(r.session_id, r.leader): (r.size, r.chunk) for r in Q.chunk_pack(spark, BASE).collect()} == packed
+    assert {(r.session_id, r.chunk, r.half): r.n for r in Q.chunk_refine(spark, BASE).collect()} == halves
+    assert {(r.session_id, r.event_count, r.line_start, r.line_end, r.sha256) for r in Q.chunk_manifest(spark, BASE).collect()} == hashes

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 TRAILING = ("file_change", "command")
 
@@ -22,7 +23,7 @@ def atomic_groups(events: DataFrame) -> DataFrame:
 
     A tool_use with a call id leads all of its stream up to the next tool_use, or to its result, and the file changes and
     commands right behind that; everything else leads itself. Exact where a session's streams are not interleaved;
-    see ``interleaved_groups`` for those that are.
+    see ``with_leaders`` for those that are.
     """
     stream = W.partitionBy("session_id", F.coalesce(F.col("agent_id"), F.lit("")))
     order, call = stream.orderBy("seq"), F.nullif(F.col("tool.call_id"), F.lit(""))
@@ -89,22 +90,28 @@ class Groups:
         return at if taken is None else taken
 
 
-def interleaved_groups(events: DataFrame) -> DataFrame:
-    """(session_id, seq, leader) for streams that are interleaved: sorted sessions run through the tasks batch by batch."""
-    slim = events.select("session_id", "seq", "kind", F.coalesce("agent_id", F.lit("")).alias("stream"), F.coalesce("tool.call_id", F.lit("")).alias("call"))
-    ordered = slim.repartition("session_id").sortWithinPartitions("session_id", "seq")
+def with_leaders(events: DataFrame) -> DataFrame:
+    """The events with ``leader``, for streams that are interleaved: sorted sessions run through the tasks batch by batch."""
+    keys = [F.coalesce("agent_id", F.lit("")).alias("_stream"), F.coalesce("tool.call_id", F.lit("")).alias("_call")]
+    ordered = events.select("*", *keys).repartition("session_id").sortWithinPartitions("session_id", "seq")
+    names = events.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         session, groups = None, Groups()
         for batch in batches:
             leaders = []
-            for s, q, kind, stream, call in zip(*(c.to_pylist() for c in batch.columns)):
+            for s, q, kind, stream, call in zip(*(batch.column(c).to_pylist() for c in ("session_id", "seq", "kind", "_stream", "_call"))):
                 if s != session:
                     session, groups = s, Groups()
                 leaders.append(groups.leader(q, kind, stream, call))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaders, pa.int64())], names=["session_id", "seq", "leader"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(leaders, pa.int64())], names=[*names, "leader"])
+
+    return ordered.mapInArrow(run, StructType([*events.schema.fields, StructField("leader", LongType())]))
 
-    return ordered.mapInArrow(run, "session_id string, seq long, leader long")
+
+def interleaved_groups(events: DataFrame) -> DataFrame:
+    """(session_id, seq, leader) alone."""
+    return with_leaders(events.select("session_id", "seq", "kind", "agent_id", F.struct("tool.call_id").alias("tool"))).select("session_id", "seq", "leader")
 
 
 def next_fit(sizes: Column, target: int) -> Column:

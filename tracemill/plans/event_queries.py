@@ -97,13 +97,13 @@ def projection_stats(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _grouped(spark: SparkSession, base: str) -> DataFrame:
-    """Main streams, which are contiguous."""
-    return grouping.atomic_groups(E.load(spark, base, "agent_id", "text", "tool", "ts", "source_line").where("agent_id is null"))
+    """All streams of a session in one order, main and subagents interleaved."""
+    return grouping.with_leaders(E.load(spark, base, "agent_id", "text", "tool", "ts", "source_line"))
 
 
 @query
 def atomic_groups(spark: SparkSession, base: str) -> DataFrame:
-    return grouping.atomic_groups(E.load(spark, base, "agent_id", "tool").where("agent_id is null")).select("event_id", "leader")
+    return grouping.with_leaders(E.load(spark, base, "agent_id", "tool")).select("event_id", "leader")
 
 
 @query
