@@ -71,3 +71,11 @@ def test_chunks_hold_all_streams_like_one_fold(spark):
     assert {(r.session_id, r.leader): (r.size, r.chunk) for r in Q.chunk_pack(spark, BASE).collect()} == packed
     assert {(r.session_id, r.chunk, r.half): r.n for r in Q.chunk_refine(spark, BASE).collect()} == halves
     assert {(r.session_id, r.event_count, r.line_start, r.line_end, r.sha256) for r in Q.chunk_manifest(spark, BASE).collect()} == hashes
+
+
+def test_undeclared_refs_take_every_descriptor(spark, tmp_path):
+    events = [(i, f"s{i}", 1, "meta", p, f"/t/{f}.jsonl") for i, (p, f) in enumerate([("claude", "a"), ("claude", "b"), ("claude", "c"), ("claude", "missing"), ("codex", "d")])]
+    spark.createDataFrame(events, "event_id long, session_id string, seq long, kind string, provider string, source_path string").write.parquet(f"{tmp_path}/session_events.parquet")
+    listed = [(1, "s0", "claude", "/t/a.jsonl"), (2, "s1", "claude", "b.jsonl"), (3, "s2", "claude", "/t/c.jsonl")]
+    spark.createDataFrame(listed, "session_row long, session_id string, provider string, source_path string").selectExpr("*", "timestamp '2026-01-01' AS discovered_at").write.parquet(f"{tmp_path}/sessions.parquet")
+    assert [tuple(r) for r in Q.undeclared_refs(spark, str(tmp_path)).collect()] == [("claude", "/t/missing.jsonl")]

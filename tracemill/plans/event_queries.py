@@ -561,7 +561,7 @@ def glossary_faults(spark: SparkSession, base: str) -> DataFrame:
 def undeclared_refs(spark: SparkSession, base: str) -> DataFrame:
     """Transcripts that events cite and that no session of their provider declares, by path or last part."""
     cited = E.load(spark, base, "provider", "source_path").select(F.col("provider").alias("report"), F.col("source_path").alias("path")).distinct()
-    return D.undeclared(cited, latest_sessions(spark, base).where("session_row % 3 <> 0").select(F.col("provider").alias("report"), F.col("source_path").alias("path")))
+    return D.undeclared(cited, latest_sessions(spark, base).select(F.col("provider").alias("report"), F.col("source_path").alias("path")))
 
 
 @query
