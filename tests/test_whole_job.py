@@ -79,3 +79,9 @@ def test_undeclared_refs_take_every_descriptor(spark, tmp_path):
     listed = [(1, "s0", "claude", "/t/a.jsonl"), (2, "s1", "claude", "b.jsonl"), (3, "s2", "claude", "/t/c.jsonl")]
     spark.createDataFrame(listed, "session_row long, session_id string, provider string, source_path string").selectExpr("*", "timestamp '2026-01-01' AS discovered_at").write.parquet(f"{tmp_path}/sessions.parquet")
     assert [tuple(r) for r in Q.undeclared_refs(spark, str(tmp_path)).collect()] == [("claude", "/t/missing.jsonl")]
+
+
+def test_svg_safety_searches_the_whole_text(spark, tmp_path):
+    texts = [(2, "x" * 60), (5, "x" * 60 + "<script>"), (8, "short"), (11, "x" * 50 + " onload = y"), (3, "x" * 60), (14, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in Q.svg_safety(spark, str(tmp_path)).collect()} == {(2, 71), (5, 0), (8, 16), (11, 0), (3, 0)}

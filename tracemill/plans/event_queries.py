@@ -538,7 +538,7 @@ def capture_skip(spark: SparkSession, base: str) -> DataFrame:
 @query
 def svg_safety(spark: SparkSession, base: str) -> DataFrame:
     """Over texts dressed as SVG."""
-    rows = _texts(spark, base).withColumn("svg", F.concat(F.lit('<?xml version="1.0"?>\n<svg>'), F.when(F.col("doc_id") % 3 == 0, "<script>").when(F.col("doc_id") % 3 == 1, "<g onload = x>").otherwise(""), F.substring("text", 1, 40), F.lit("</svg>")))
+    rows = _texts(spark, base).withColumn("svg", F.concat(F.lit('<?xml version="1.0"?>\n<svg>'), F.when(F.col("doc_id") % 3 == 0, "<script>").when(F.col("doc_id") % 3 == 1, "<g onload = x>").otherwise(""), F.col("text"), F.lit("</svg>")))
     return rows.select("doc_id", F.length(report.safe_svg("svg")).cast("long").alias("n_chars"))
 
 
