@@ -85,3 +85,29 @@ def test_svg_safety_searches_the_whole_text(spark, tmp_path):
     texts = [(2, "x" * 60), (5, "x" * 60 + "<script>"), (8, "short"), (11, "x" * 50 + " onload = y"), (3, "x" * 60), (14, None)]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {tuple(r) for r in Q.svg_safety(spark, str(tmp_path)).collect()} == {(2, 71), (5, 0), (8, 16), (11, 0), (3, 0)}
+
+
+def test_consistent_table_follows_the_release(spark):
+    import json
+
+    from tracemill.operators import schema_drift as D
+
+    use = lambda **tool: {"kind": "tool_use", "tool": {"name": "x", **tool}}
+    files = {
+        "/d/a.jsonl": [{"meta": {"cli_version": "1.0.0"}}, {"text": "t", "speed": 1}, use()],
+        "/d/b.jsonl": [{"meta": {"cli_version": "1.1.0"}}, {"prose": "u", "velocity": 2}, use()],
+        "/d/c.jsonl": [{"meta": {"cli_version": "1.10.0"}}, {"prose": "v", "velocity": 2, "lang": "de", "locale": "fr"}, use(is_error=True, retries=2), use()],
+        "/e/n.jsonl": [use()],
+    }
+    # text is renamed to prose, as the only ones of their type in the container are these; speed to velocity needs a release of its own
+    files["/d/b.jsonl"][1].pop("velocity"), files["/d/b.jsonl"][1].update(speed=1)
+    rows = [(i, path, n, json.dumps(r)) for i, (path, n, r) in enumerate((p, n, r) for p, recs in files.items() for n, r in enumerate(recs, 1))]
+    got = {(r.source_path[3], r.source_line): r for r in D.consistent(spark.createDataFrame(rows, "line_key long, source_path string, source_line int, line_text string")).collect()}
+    assert len(got) == 11
+    defaults = lambda r: (r.is_error, r.truncated, r.retries)
+    assert defaults(got["a", 3]) == defaults(got["b", 3]) == (False, False, 0)
+    assert defaults(got["c", 3]) == (True, False, 2) and defaults(got["c", 4]) == (None, False, None) and defaults(got["n", 1]) == (None, None, None)
+    assert got["b", 2].text == "u" and "prose" in got["b", 2].changed and got["c", 2].text == "v" and got["c", 2].release == "1.10.0" and got["n", 1].release is None
+    assert got["a", 2].extra == {"speed": "1"} and got["c", 2].lang == "de" and got["c", 2].extra["locale"] == '"fr"'
+    assert D.routes_of([("1", ["a", "text"]), ("2", ["b", "text"]), ("3", ["c", "a"])], {"2": {"b": "a"}, "3": {"c": "b"}})["3"]["names"] == {}
+    assert D.routes_of([("1", ["a"]), ("2", ["b"]), ("3", ["text"])], {"2": {"b": "a"}, "3": {"text": "b"}})["1"]["columns"] == {"a": "text"}

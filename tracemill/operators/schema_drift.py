@@ -3,7 +3,8 @@
 Each record is flattened to its leaves with their JSON types. Per directory and release the leaves that hold a value are
 the release's fingerprint; fingerprints of consecutive releases are compared path by path. The migrations are explicit:
 ``FIELDS`` lists, for every column of the consistent table, the paths it had in the course of time and the
-type it gets; what a release calls a field decides the chain of rename, default and cast that its records take.
+type it gets. The release of a record's file decides the chain of rename, default and cast that the record takes: names
+outside ``FIELDS`` follow the renames that the fingerprints show, and only columns that the release lacks get a default.
 
 Defined results
 * Blank lines and lines that are no JSON object hold no record. Files without a readable version belong to no release
@@ -14,6 +15,9 @@ Defined results
   ``FIELDS``, or the same words in another case style; or, for names that ``FIELDS`` doesn't know, if they
   are the only ones left over in the container and of one type. What is left is removed and added.
 * A value that a cast can't take becomes null, and the line is listed in ``failed``.
+* A value without a column, or whose column another name of the record holds already (names of ``FIELDS`` go first), is kept
+  in ``extra`` as JSON, under the earliest name that the renames of its directory lead back to.
+* Records of no release get no default: what their release lacks isn't known.
 """
 
 from __future__ import annotations
@@ -115,12 +119,22 @@ def cast(value, kind: str):
     return int(value) if isinstance(value, (int, str)) and "." not in str(value) and "e" not in str(value).lower() else int(number)
 
 
-def migrate(rec: dict) -> tuple[dict, list[str], list[str]]:
-    """The record's columns; the paths that were renamed or cast on the way; the paths that failed."""
-    row, changed, failed = {}, [], []
-    for path, value in leaves(rec):
-        column = COLUMN_OF.get(path)
+def as_json(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+
+
+def migrate(rec: dict, route: dict) -> tuple[dict, list[str], list[str], dict[str, str]]:
+    """The record's columns; the paths that were renamed or cast on the way; the paths that failed; what has no column."""
+    row, changed, failed, extra = {}, [], [], {}
+    for path, value in sorted(leaves(rec), key=lambda x: x[0] not in COLUMN_OF):
+        column = COLUMN_OF.get(path) or route["columns"].get(path)
         if column is None or column in row:
+            key = path if column else route["names"].get(path, path)
+            if key != path:
+                changed.append(path)
+            while key in extra:
+                key += "+"
+            extra[key] = as_json(value)
             continue
         kind, paths = FIELDS[column]
         try:
@@ -130,7 +144,41 @@ def migrate(rec: dict) -> tuple[dict, list[str], list[str]]:
         except (ValueError, TypeError, KeyError, OverflowError):
             row[column] = None
             failed.append(path)
-    return row, changed, failed
+    if isinstance(rec.get("tool"), dict):
+        row |= {c: DEFAULTS[c] for c in route["lacks"] if c not in row}
+    return row, changed, failed, extra
+
+
+#: The route of files without a release.
+STRAIGHT = {"columns": {}, "names": {}, "lacks": []}
+
+
+def routes_of(releases: list[tuple[str, list[str]]], renames: dict[str, dict[str, str]]) -> dict[str, dict]:
+    """The route of each of a directory's releases, given in order as (version, paths); ``renames`` has new to old names by version.
+
+    A route has the columns of names that ``FIELDS`` doesn't list, the earliest names of those without column, and the
+    columns of ``DEFAULTS`` that the release lacks.
+    """
+    columns: list[dict] = []
+    names: list[dict] = []
+    for version, paths in releases:
+        old = renames.get(version, {})
+        before, called = (columns[-1], names[-1]) if columns else ({}, {})
+        columns.append({p: COLUMN_OF.get(p) or before.get(old.get(p, p)) for p in paths})
+        names.append({p: called.get(old.get(p, p), p) for p in paths})
+    for i in range(len(releases) - 2, -1, -1):
+        new = {o: n for n, o in renames.get(releases[i + 1][0], {}).items()}
+        columns[i] = {p: c or columns[i + 1].get(new.get(p, p)) for p, c in columns[i].items()}
+    out = {}
+    for (version, paths), column, name in zip(releases, columns, names):
+        taken = set(paths)
+        earliest = {}
+        for p in sorted(paths):
+            if column[p] is None and name[p] not in taken:
+                earliest[p] = name[p]
+                taken.add(name[p])
+        out[version] = {"columns": {p: c for p, c in column.items() if c and p not in COLUMN_OF}, "names": earliest, "lacks": [c for c in DEFAULTS if c not in column.values()]}
+    return out
 
 
 def _directory(col: str):
@@ -163,10 +211,15 @@ def observed(lines: DataFrame) -> DataFrame:
     return map_batches(lines.select("source_path", "line_text").where("source_path is not null and line_text is not null"), scan, "source_path string, path string, type string, n long, version string")
 
 
+def _releases(seen: DataFrame) -> DataFrame:
+    """(source_path, release) of the files with a readable version."""
+    return seen.groupBy("source_path").agg(_number(F.max("version")).alias("release")).where("release is not null")
+
+
 def fingerprints(lines: DataFrame) -> DataFrame:
     """(source_dir, release, fields) with fields an array of (path, type, meaning), one row per release of a directory."""
     seen = observed(lines).groupBy("source_path", "path", "type").agg(F.sum("n").alias("n"), F.max("version").alias("version"))
-    release = seen.groupBy("source_path").agg(_number(F.max("version")).alias("release")).where("release is not null")
+    release = _releases(seen)
     typed = (
         seen.join(release, "source_path").groupBy(_directory("source_path").alias("source_dir"), "release", "path", "type").agg(F.sum("n").alias("n"))
         .groupBy("source_dir", "release", "path").agg(F.min_by("type", F.struct(-F.col("n"), F.col("type"))).alias("type"))
@@ -209,23 +262,46 @@ def changes(prints: DataFrame) -> DataFrame:
     return step.select("source_dir", F.concat_ws(".", "release.a", "release.b", "release.c").alias("cli_version"), F.inline(rows))
 
 
-def consistent(lines: DataFrame) -> DataFrame:
-    """Every record as a row of FIELDS' columns, with its line, the paths that a rule changed and those that failed."""
-    names = ["line_key", "source_path", "source_line", *FIELDS, "changed", "failed"]
-    schema = ", ".join(["line_key long, source_path string, source_line int", *(f"{c} {t}" for c, (t, _) in FIELDS.items()), "changed array<string>, failed array<string>"])
-    types = [pa.int64(), pa.string(), pa.int32(), *(ARROW[t] for t, _ in FIELDS.values()), pa.list_(pa.string()), pa.list_(pa.string())]
+def routes(lines: DataFrame) -> DataFrame:
+    """(source_path, release, route) of every file with a release, the route as JSON; a directory's releases go into it together."""
+    prints = fingerprints(lines)
+    dotted = F.concat_ws(".", "release.a", "release.b", "release.c")
+    per = prints.groupBy("source_dir").agg(F.array_sort(F.collect_list(F.struct("release", dotted.alias("version"), F.col("fields.path").alias("paths")))).alias("releases"))
+    renamed = changes(prints).where("change_type = 'renamed'").groupBy("source_dir").agg(F.collect_list(F.struct("cli_version", "field_path", "old_field_path")).alias("renames"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for key, source, at, line in zip(*(c.to_pylist() for c in batch.columns)):
+        for directory, releases, pairs in zip(*(c.to_pylist() for c in batch.columns)):
+            old: dict[str, dict[str, str]] = {}
+            for x in pairs or []:
+                old.setdefault(x["cli_version"], {})[x["field_path"]] = x["old_field_path"]
+            rows += [(directory, v, as_json(r)) for v, r in routes_of([(x["version"], x["paths"]) for x in releases], old).items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [[]] * 3)], names=["source_dir", "release", "route"])
+
+    known = map_batches(per.join(renamed, "source_dir", "left"), run, "source_dir string, release string, route string")
+    files = _releases(observed(lines)).select("source_path", _directory("source_path").alias("source_dir"), dotted.alias("release"))
+    return files.join(known, ["source_dir", "release"]).drop("source_dir")
+
+
+def consistent(lines: DataFrame) -> DataFrame:
+    """Every record as a row of FIELDS' columns, with its line and release, the paths that a rule changed, those that failed, and what has no column."""
+    names = ["line_key", "source_path", "source_line", "release", *FIELDS, "changed", "failed", "extra"]
+    schema = ", ".join(["line_key long, source_path string, source_line int, release string", *(f"{c} {t}" for c, (t, _) in FIELDS.items()), "changed array<string>, failed array<string>, extra map<string,string>"])
+    types = [pa.int64(), pa.string(), pa.int32(), pa.string(), *(ARROW[t] for t, _ in FIELDS.values()), pa.list_(pa.string()), pa.list_(pa.string()), pa.map_(pa.string(), pa.string())]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, parsed = [], {None: STRAIGHT}
+        for key, source, at, line, release, route in zip(*(c.to_pylist() for c in batch.columns)):
             rec = record(line)
             if rec is not None:
-                row, changed, failed = migrate(rec)
-                is_tool = isinstance(rec.get("tool"), dict)
-                rows.append((key, source, at, *(row.get(c, DEFAULTS.get(c) if is_tool else None) for c in FIELDS), changed, failed))
+                if route not in parsed:
+                    parsed[route] = json.loads(route)
+                row, changed, failed, extra = migrate(rec, parsed[route])
+                rows.append((key, source, at, release, *(row.get(c) for c in FIELDS), changed, failed, list(extra.items())))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names=names)
 
-    return map_batches(lines.select("line_key", "source_path", "source_line", "line_text").where("line_text is not null"), run, schema)
+    routed = lines.where("line_text is not null").join(routes(lines), "source_path", "left")
+    return map_batches(routed.select("line_key", "source_path", "source_line", "line_text", "release", "route"), run, schema)
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
@@ -239,8 +315,7 @@ def p2_fingerprints(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p2_events(spark: SparkSession, base: str) -> DataFrame:
-    """The consistent table; ``release`` is that of the record's file."""
-    lines = table(spark, base, "artifact_lines")
-    events = consistent(lines)
-    release = events.where("cli_version is not null").groupBy("source_path").agg(F.regexp_extract(F.max("cli_version"), VERSION, 0).alias("release"))
-    return events.join(release, "source_path", "left").drop("changed").withColumn("failed", F.array_join("failed", ","))
+    """The consistent table; ``release`` is that of the record's file, ``extra`` a JSON object, empty if all has a column."""
+    events = consistent(table(spark, base, "artifact_lines"))
+    joined = {c: F.array_join(c, ",") for c in ("changed", "failed")}
+    return events.withColumns(joined | {"extra": F.to_json("extra")})
