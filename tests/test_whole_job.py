@@ -111,3 +111,15 @@ def test_consistent_table_follows_the_release(spark):
     assert got["a", 2].extra == {"speed": "1"} and got["c", 2].lang == "de" and got["c", 2].extra["locale"] == '"fr"'
     assert D.routes_of([("1", ["a", "text"]), ("2", ["b", "text"]), ("3", ["c", "a"])], {"2": {"b": "a"}, "3": {"c": "b"}})["3"]["names"] == {}
     assert D.routes_of([("1", ["a"]), ("2", ["b"]), ("3", ["text"])], {"2": {"b": "a"}, "3": {"text": "b"}})["1"]["columns"] == {"a": "text"}
+
+
+def test_pieces_of_huge_turns_are_numbered_through_and_are_the_text(spark, monkeypatch):
+    from tracemill.llm import splitting as S
+
+    monkeypatch.setattr(S, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(S, "BLOCK_SEQS", 8)
+    texts = [f"event {i} " + "word " * 300 for i in range(24)]
+    events = spark.createDataFrame([(i, "s", None, 1, i, t) for i, t in enumerate(texts)], "event_id long, session_id string, agent_id string, turn_index int, seq long, text string")
+    rows = S.split_turns(events).orderBy("piece").collect()
+    assert [r.piece for r in rows] == list(range(len(rows))) and {r.n_pieces for r in rows} == {len(rows)} and all(r.piece_bytes <= 12_000 for r in rows)
+    assert "".join(r.piece_text.encode()[r.overlap_bytes :].decode() for r in rows) == "\n\n".join(texts)

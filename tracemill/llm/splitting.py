@@ -10,7 +10,7 @@ Defined results
 * Repeated deliveries (same session, stream and seq) count once: the lowest event_id.
 * Turns are the texts of their events in order of seq, joined by a blank line, which is also the first place to
   cut. A turn beyond ``BLOCK_BYTES`` is packed in runs of ``BLOCK_SEQS`` seqs, so no task holds an unbounded turn;
-  overlap is carried across runs.
+  overlap and the joint are carried across runs, and pieces are numbered through the turn.
 """
 
 from __future__ import annotations
@@ -142,25 +142,33 @@ def split_turns(events: DataFrame, limit: int = TURN_LIMIT, overlap: int = OVERL
         .withColumn("blk", F.when(F.col("total") > BLOCK_BYTES, F.floor(F.col("seq") / BLOCK_SEQS)).otherwise(0))
     )
     ends = kept.where(F.col("total") > BLOCK_BYTES).groupBy(*turn, "blk").agg(F.max_by(F.right("text", F.lit(overlap)), "seq").alias("tail"))
-    carried = ends.select(*turn, "blk", F.lag("tail").over(W.partitionBy(*turn).orderBy("blk")).alias("before"))
-    rows = kept.join(carried, [*turn, "blk"], "left").select(*turn, "blk", "seq", "text", "before")
+    order = W.partitionBy(*turn).orderBy("blk")
+    carried = ends.select(*turn, "blk", F.lag("tail").over(order).alias("before"), (F.row_number().over(order) > 1).alias("later"))
+    rows = kept.join(carried, [*turn, "blk"], "left").select(*turn, "blk", "seq", "text", "before", F.coalesce("later", F.lit(False)).alias("later"))
 
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("seq")
         texts, seqs = frame["text"].tolist(), frame["seq"].tolist()
         before = next((x for x in frame["before"] if isinstance(x, str)), "")
-        whole, starts = JOINT.join(texts), []
+        joint = JOINT if frame["later"].any() else ""
+        whole, starts = joint + JOINT.join(texts), []
         for t in texts:
-            starts.append((starts[-1] + len(texts[len(starts) - 1]) + len(JOINT)) if starts else 0)
+            starts.append((starts[-1] + len(texts[len(starts) - 1]) + len(JOINT)) if starts else len(joint))
         lead = before[_tail(before, 0, len(before), overlap) :] if before else ""
         out, pieces = [], split(whole, limit, overlap, lead)
         for i, (o, a, b) in enumerate(pieces):
             first = max((q for q, s in zip(seqs, starts) if s <= a), default=seqs[0])
             body = (lead if i == 0 else "") + whole[o:b]
-            out.append((*key[:3], first, i, len(pieces), _size(body) - _size(whole[a:b]), _size(body), body))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in _OUT.split(", ")])
-
-    return rows.groupBy(*turn, "blk").applyInPandas(pack, _OUT)
+            out.append((*key[:3], first, i, len(pieces), _size(body) - _size(whole[a:b]), _size(body), body, key[3]))
+        return pd.DataFrame(out, columns=[*(x.split()[0] for x in _OUT.split(", ")), "blk"])
+
+    packed = rows.groupBy(*turn, "blk").applyInPandas(pack, f"{_OUT}, blk long")
+    # the first piece of each run brings the run's count, so that numbers go through the turn
+    count, turns = F.when(F.col("piece") == 0, F.col("n_pieces")).otherwise(0), W.partitionBy(*turn)
+    earlier = F.coalesce(F.sum(count).over(turns.orderBy("blk").rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbered = packed.withColumns({"_skip": earlier, "_total": F.sum(count).over(turns)})
+    numbered = numbered.withColumns({"piece": (F.col("piece") + F.col("_skip")).cast("int"), "n_pieces": F.col("_total").cast("int")})
+    return numbered.select(*(x.split()[0] for x in _OUT.split(", ")))
 
 
 def p3_pieces(spark: SparkSession, base: str) -> DataFrame:
