@@ -123,3 +123,11 @@ def test_pieces_of_huge_turns_are_numbered_through_and_are_the_text(spark, monke
     rows = S.split_turns(events).orderBy("piece").collect()
     assert [r.piece for r in rows] == list(range(len(rows))) and {r.n_pieces for r in rows} == {len(rows)} and all(r.piece_bytes <= 12_000 for r in rows)
     assert "".join(r.piece_text.encode()[r.overlap_bytes :].decode() for r in rows) == "\n\n".join(texts)
+
+
+def test_round_robin_counts_what_is_left(spark):
+    from tracemill.operators import links
+
+    items = spark.createDataFrame([(k, i) for k, n in (("a", 4), ("b", 1), (None, 2), ("z", 3)) for i in range(n)], "k string, i long")
+    dealt, left = links.round_robin(items, "k", "i", 5).collect(), {r.k: r.n_left for r in links.round_robin_left(items, "k", "i", 5).collect()}
+    assert left == {"a": 3, "b": 0, None: 0, "z": 2} and len(dealt) + sum(left.values()) == 10

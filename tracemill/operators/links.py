@@ -81,7 +81,7 @@ def first_last_roles(shots: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def round_robin(items: DataFrame, key: str, order: str, cap: int) -> DataFrame:
-    """Item 1 of each key, then item 2 of each, and so on; the first ``cap`` and how many are left over.
+    """Item 1 of each key, then item 2 of each, and so on; the first ``cap``. ``round_robin_left`` counts how many are left over.
 
     The ranks of the items of a key are dealt out before the cut, and no task sorts more than ``cap`` of each rank.
     """
@@ -89,6 +89,13 @@ def round_robin(items: DataFrame, key: str, order: str, cap: int) -> DataFrame:
     return dealt.orderBy("round", key).limit(cap)
 
 
+def round_robin_left(items: DataFrame, key: str, order: str, cap: int) -> DataFrame:
+    """(key, n_left): how many items of each key ``round_robin`` leaves over, keys of none with 0."""
+    counts = lambda rows, name: rows.groupBy(key).agg(F.count("*").alias(name)).withColumnRenamed(key, "_key")
+    both = counts(items, "n").join(counts(round_robin(items, key, order, cap), "dealt").withColumnRenamed("_key", "_dealt"), F.col("_key").eqNullSafe(F.col("_dealt")), "left")
+    return both.select(F.col("_key").alias(key), (F.col("n") - F.coalesce("dealt", F.lit(0))).alias("n_left"))
+
+
 def word_matches(texts: DataFrame, terms: DataFrame, limit: int = 100_000) -> DataFrame:
     """(term, n_texts): in how many texts a term of one word occurs, without letter case; terms of none have 0.
 

@@ -419,6 +419,12 @@ def round_robin_index(spark: SparkSession, base: str) -> DataFrame:
     return dealt.select("report", "doc_id", F.col("round").cast("long").alias("round"))
 
 
+@query
+def round_robin_overflow(spark: SparkSession, base: str) -> DataFrame:
+    """How many steps of each report the index leaves over."""
+    return links.round_robin_left(steps(spark, base), "report", "step_no", 40)
+
+
 @query
 def view_mode(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "documents").withColumn("item", F.when(F.col("doc_kind") == "plan", "Journey ").when(F.col("doc_kind") == "readme", "end-state").otherwise(F.col("doc_kind")))
