@@ -131,3 +131,11 @@ def test_round_robin_counts_what_is_left(spark):
     items = spark.createDataFrame([(k, i) for k, n in (("a", 4), ("b", 1), (None, 2), ("z", 3)) for i in range(n)], "k string, i long")
     dealt, left = links.round_robin(items, "k", "i", 5).collect(), {r.k: r.n_left for r in links.round_robin_left(items, "k", "i", 5).collect()}
     assert left == {"a": 3, "b": 0, None: 0, "z": 2} and len(dealt) + sum(left.values()) == 10
+
+
+@pytest.mark.parametrize("address", ["12 Pewter Hill, Dunwick 36998", "7 Holm Mews, Dunwick 36998", "7 Holm View, Dunwick 36998", "3 boulevard Voltaire, 75011 Paris", "9 quai Voltaire, 75007 Paris", "4 chemin Vert, 69001 Lyon", "Kurfürstendamm 21, 10719 Berlin", "Schiffbauerufer 3, 10117 Berlin"])
+def test_every_street_word_anchors_addresses(address):
+    from tracemill.llm import pii
+
+    text = f"it went to {address}. Thanks"
+    assert [text[a:b] for a, b, kind in pii.Finder(pii.Roster([])).find(text) if kind == "address"] == [address]

@@ -81,7 +81,8 @@ ANCHORS = {
     "email": ("@", "(at)", "[at]", "{at}", "<at>", " dot "),
     "phone": ("+", "(0)", "tel", "phone", "call me", "contact", "t:", "number", "hotline", "support line", "mobile", "fax", "555", "7946", "ring ", "reach", "whatsapp", "sms", ") "),
     "id": ("ssn", "social", "soc.", "sec", "nino", "ni number", "national", "passport", "reisepass", "dni", "nif", "nie", "documento", "identity", "id card", "ausweis", "tax", "steuer", "tin", "utr", "codice"),
-    "address": ("road", " rd", "street", " st", "ave", "lane", "close", "gardens", "terrace", "drive", "court", "square", "blvd", "crescent", "straße", "strasse", "str.", "weg ", "platz", "allee", "gasse", "rue ", "calle ", "avenida", "plaza", "paseo", "flat ", " way", "place", "grove", "via "),
+    "address": ("road", " rd", "street", " st", "ave", "lane", "close", "gardens", "terrace", "drive", "court", "square", "blvd", "crescent", "straße", "strasse", "str.", "weg ", "platz", "allee", "gasse", "rue ", "calle ", "avenida", "plaza", "paseo", "flat ", " way", "place", "grove", "via ",
+                " ln", " dr", " ct", " pl", "boulevard", " hill", " mews", " row", " walk", " parade", " rise", " view", " quay", "ufer", "ring ", "damm", "chemin", "impasse", "quai", "allée", "c/", "avda", "camino", "viale", "rua "),
     "name": ("reported-by", "reviewed-by", "signed-off-by", "co-authored-by", "acked-by", "tested-by", "reviewer", "approved by", "per ", "todo(", "thx to", "thanks to", "paired with", "asked for", "author", "assignee", "--\n"),
 }
 
