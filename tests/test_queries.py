@@ -6,7 +6,7 @@ import random
 import pytest
 
 from tracemill.operators import grouping, links, report
-from tracemill.operators.clean import strip_tree
+from tracemill.operators.clean import LONG, Stripper, strip_json
 from tracemill.plans.queries import CORE
 
 BASE = "/root/testdata/sf0.001"
@@ -81,10 +81,25 @@ def test_time_links_all_or_none(spark):
     assert {(r.agent_id, r.call_id) for r in links.timed_links(streams, calls).collect()} == {("a2", "c1"), ("a1", "c2")}
 
 
-def test_strip_tree_and_svg(spark):
+def test_stripped_trees(spark):
+    import json
+
     image = {"type": "image", "source": {"media_type": "image/png", "data": "A" * 2000}}
-    assert strip_tree({"a": ["A" * 2000, image]}, "p:1", 5000)["a"][0] == "[BASE64: 2000 bytes, source: p:1]"
-    assert strip_tree({"a": image}, "p:1", 5000, keep_images=True) == {"a": image} and strip_tree("xy z", "p:1", 2) == "xy... [TRUNCATED at 2 bytes, source: p:1]"
+    file = {"type": "file", "mime": "image/png", "url": "data:image/png;base64," + "B" * 2000}
+    strip = lambda doc, **more: Stripper("p:1", **more).run(json.loads(json.dumps(doc)))
+    assert strip({"a": ["A" * 2000, image]}, most=5000)["a"][0] == "[BASE64: 2000 bytes, source: p:1]"
+    assert strip({"a": image, "f": [file]}, most=50, keep_images=True) == {"a": image, "f": [file]} and strip(image)["source"]["data"].startswith("[BASE64: 2000")
+    assert strip("xy z", most=2) == "xy... [TRUNCATED at 4 bytes, source: p:1]" and strip([1, None, {"k": True}]) == [1, None, {"k": True}]
+    deep = json.loads("[" * 400 + '"' + "é" * 9 + '"' + "]" * 400)
+    assert json.dumps(strip(deep, most=5)).count("TRUNCATED at 9 bytes") == 1
+    # a base64 string beyond LONG gives way although the line is shorter than the cap, as only the string's length counts
+    rows = [(1, json.dumps({"a": "A" * (LONG + 1)}), "p", 1), (2, json.dumps({"a": "A" * LONG}), "p", 2), (3, "{broken " + "A" * 2000, "p", 3), (4, None, "p", 4), (5, "", None, None)]
+    got = {r.event_id: r for r in strip_json(spark.createDataFrame(rows, "event_id long, json string, source_path string, source_line int")).collect()}
+    assert json.loads(got[1].json) == {"a": f"[BASE64: {LONG + 1} bytes, source: p:1]"} and len(got[1].markers) == 1
+    assert {i: got[i].json for i in (2, 3, 4, 5)} == {i: rows[i - 1][1] for i in (2, 3, 4, 5)} and not any(got[i].markers for i in (2, 3, 4, 5))
+
+
+def test_svg(spark):
     texts = ["<?xml v?> <svg/>", "<svg><script>", "<svg onload = 1>", "<svg><a href=' javascript:x'>", "<b>", None]
     out = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "s string").select(report.safe_svg("s")).collect()]
     assert out[:5] == ["<svg/>", "", "", "", ""]

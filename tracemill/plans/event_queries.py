@@ -578,9 +578,10 @@ def visible_items(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def json_tree_strip(spark: SparkSession, base: str) -> DataFrame:
-    """Strings deep in tool inputs stripped; inputs that aren't JSON pass unchanged."""
+    """Strings deep in tool inputs that gave way, in order of each document; inputs that aren't JSON pass unchanged."""
     rows = table(spark, base, "session_events").where("tool.input is not null")
-    return clean.strip_json(rows.select("event_id", F.col("tool.input").alias("json"), "source_path", "source_line"), 200).select("event_id", F.col("json").alias("stripped"))
+    stripped = clean.strip_json(rows.select("event_id", F.col("tool.input").alias("json"), "source_path", "source_line"), 200)
+    return stripped.where("size(markers) > 0").select("event_id", F.size("markers").cast("long").alias("n_markers"), F.array_join("markers", "\n").alias("markers"))
 
 
 @query

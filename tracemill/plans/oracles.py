@@ -23,14 +23,16 @@ def sentence(x: str, cap: int) -> str:
         WHEN contains({x}, '?') THEN left({x}, position('?' IN {x})) ELSE left({x}, {cap}) || CASE WHEN length({x}) > {cap} THEN '...' ELSE '' END END"""
 
 
-GROUPS = f"""
-    b AS (SELECT *, coalesce(nullif(tool.call_id, ''), '') AS call FROM ev WHERE agent_id IS NULL),
-    l AS (SELECT *, max(CASE WHEN kind = 'tool_use' THEN seq END) OVER (PARTITION BY session_id ORDER BY seq) AS lead_seq FROM b),
-    c AS (SELECT l.*, u.call AS lead_call FROM l LEFT JOIN (SELECT session_id, seq, call FROM b WHERE kind = 'tool_use') u ON u.session_id = l.session_id AND u.seq = l.lead_seq),
-    d AS (SELECT *, min(CASE WHEN kind = 'tool_result' AND call = lead_call THEN seq END) OVER (PARTITION BY session_id, lead_seq) AS closed FROM c),
-    e AS (SELECT *, min(CASE WHEN seq > closed AND kind NOT IN ('file_change', 'command') THEN seq END) OVER (PARTITION BY session_id, lead_seq) AS stop FROM d),
-    g AS (SELECT *, CASE WHEN lead_seq IS NULL THEN seq WHEN seq = lead_seq THEN seq WHEN lead_call = '' THEN seq WHEN closed IS NULL OR seq <= closed THEN lead_seq
-        WHEN kind IN ('file_change', 'command') AND (stop IS NULL OR seq < stop) THEN lead_seq ELSE seq END AS leader FROM e)"""
+#: All streams of a session in one order: an open group for each stream, as the state of a recursion from event to event.
+GROUPS = """
+    o AS (SELECT *, coalesce(agent_id, '') AS stream, coalesce(tool.call_id, '') AS call, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS i FROM ev),
+    f AS (SELECT session_id, i, seq AS leader, CASE WHEN kind = 'tool_use' AND call <> '' THEN [{'s': stream, 'l': seq, 'c': call, 'd': false}] ELSE [] END AS open FROM o WHERE i = 1
+        UNION ALL SELECT session_id, i, coalesce(took, seq), list_concat(
+            list_transform(list_filter(open, lambda x: CASE WHEN x.s = stream THEN took IS NOT NULL ELSE NOT x.d OR coalesce(took < x.l, false) END), lambda x: {'s': x.s, 'l': x.l, 'c': x.c, 'd': x.d OR (x.s = stream AND kind = 'tool_result' AND call = x.c)}),
+            CASE WHEN kind = 'tool_use' AND call <> '' THEN [{'s': stream, 'l': seq, 'c': call, 'd': false}] ELSE [] END)
+        FROM (SELECT o.session_id, o.i, o.seq, o.kind, o.stream, o.call, f.open, CASE WHEN o.kind <> 'tool_use' THEN list_filter(f.open, lambda x: x.s = o.stream AND (NOT x.d OR o.kind IN ('file_change', 'command')))[1].l END AS took
+            FROM f JOIN o ON o.session_id = f.session_id AND o.i = f.i + 1)),
+    g AS (SELECT o.*, f.leader FROM o JOIN f ON f.session_id = o.session_id AND f.i = o.i)"""
 
 PACK = f"""{GROUPS},
     s AS (SELECT session_id, leader, sum(length({LINE})) AS size FROM g GROUP BY ALL),
@@ -59,11 +61,10 @@ NAMED = """idx AS (SELECT tool.call_id AS call_id, arg_max(tool.name, (session_i
     res AS (SELECT ev.*, coalesce(ev.tool.call_id, '') AS call_id, coalesce(idx.tool_name, '') AS tool_name FROM ev LEFT JOIN idx ON idx.call_id = coalesce(ev.tool.call_id, '') WHERE kind = 'tool_result')"""
 
 CHANGED = "ch AS (SELECT event_id, file_change.path AS path, coalesce(repo_root, '') AS root FROM session_events WHERE file_change.path IS NOT NULL)"
-CHUNKED = "cl AS (SELECT ev.*, c.chunk_id FROM ev JOIN chunks c ON c.session_id = ev.session_id WHERE ev.agent_id IS NULL AND source_line BETWEEN line_start AND line_end)"
+CHUNKED = "cl AS (SELECT ev.*, c.chunk_id FROM ev JOIN chunks c ON c.session_id = ev.session_id WHERE source_line BETWEEN line_start AND line_end)"
 PATHS = r"(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_-]+\.[a-z]{1,5}"
 
-SQL: dict[str, str] = {
-    "p6_found": r"""WITH RECURSIVE s AS (SELECT session_id, arg_max(struct_pack(p := parent_session_id), (discovered_at, session_row)).p AS p FROM sessions GROUP BY 1),
+TREE = r"""WITH RECURSIVE s AS (SELECT session_id, arg_max(struct_pack(p := parent_session_id), (discovered_at, session_row)).p AS p FROM sessions GROUP BY 1),
         k AS (SELECT session_id, trim(regexp_replace(lower(trim(session_id)), '^opencode://session/', '')) AS ref, trim(regexp_replace(lower(trim(p)), '^opencode://session/', '')) AS want FROM s),
         a AS (SELECT session_id, agent_id, max(parent_call_id) AS call FROM session_events WHERE agent_id IS NOT NULL GROUP BY 1, 2),
         c AS (SELECT session_id, tool.call_id AS call, min(coalesce(agent_id, '')) AS caller FROM session_events WHERE lower(trim(kind)) = 'tool_use' AND tool.call_id IS NOT NULL GROUP BY 1, 2),
@@ -71,8 +72,16 @@ SQL: dict[str, str] = {
             UNION ALL SELECT a.session_id || '::agent:' || a.agent_id, CASE WHEN c.caller = '' THEN a.session_id WHEN c.caller IS NOT NULL THEN a.session_id || '::agent:' || c.caller END FROM a LEFT JOIN c ON c.session_id = a.session_id AND c.call = a.call),
         n AS (SELECT l.node, CASE WHEN l.parent IN (SELECT node FROM l) THEN l.parent END AS parent FROM l),
         u AS (SELECT node, node AS above FROM n UNION SELECT u.node, n.parent FROM u JOIN n ON n.node = u.above WHERE n.parent IS NOT NULL),
-        t AS (SELECT u.node, max(CASE WHEN n.parent IS NULL THEN u.above END) AS root, count(*) - 1 AS depth FROM u JOIN n ON n.node = u.above GROUP BY 1)
+        t AS (SELECT u.node, max(CASE WHEN n.parent IS NULL THEN u.above END) AS root, count(*) - 1 AS depth FROM u JOIN n ON n.node = u.above GROUP BY 1)"""
+
+SQL: dict[str, str] = {
+    "p6_found": f"""{TREE}
         SELECT node AS node_key, coalesce(root, '') AS root_key, CAST(CASE WHEN root IS NULL THEN -1 ELSE depth END AS INTEGER) AS tree_depth FROM t""",
+    "p6_tree": f"""{TREE}, g AS (SELECT t.node, string_agg(u.above, ' > ' ORDER BY a.depth) AS path FROM t JOIN u USING (node) JOIN t a ON a.node = u.above WHERE t.root IS NOT NULL GROUP BY 1),
+        z AS (SELECT u.above AS node, count(*) AS size FROM u GROUP BY 1)
+        SELECT t.node AS node_key, n.parent AS parent_key, coalesce(t.root, '') AS root_key, CAST(CASE WHEN t.root IS NULL THEN -1 ELSE t.depth END AS INTEGER) AS tree_depth, g.path AS full_path, CASE WHEN t.root IS NOT NULL THEN z.size END AS subtree_size
+        FROM t JOIN n USING (node) LEFT JOIN g USING (node) LEFT JOIN z USING (node)""",
+    "p6_descendants": f"""{TREE} SELECT u.above AS ancestor, u.node, CAST(t.depth - a.depth AS INTEGER) AS distance FROM u JOIN t USING (node) JOIN t a ON a.node = u.above WHERE t.root IS NOT NULL AND u.above <> u.node""",
     "turn_index": f"WITH {EV} SELECT event_id, CAST(sum(CASE WHEN kind = 'user_message' AND text IS NOT NULL AND trim(text) <> '' THEN 1 ELSE 0 END) OVER ({STREAM}) AS BIGINT) AS turn FROM ev",
     "turn_regressions": f"WITH {EV}, f AS (SELECT session_id, turn_index < lag(turn_index) OVER ({STREAM}) AS fell FROM ev) SELECT session_id, count(*) AS n_regressions FROM f WHERE fell GROUP BY 1",
     "seq_reseq": f"""WITH {EV}, o AS (SELECT session_id, coalesce(min(nullif(ts, '')), '9999-12-31T23:59:59Z') AS t, min(source_path) AS p FROM ev GROUP BY 1)
@@ -94,7 +103,8 @@ SQL: dict[str, str] = {
         60 + strlen(coalesce(text, '')) + strlen(coalesce(tool.input, '')) + strlen(coalesce(tool.output, '')) AS size, least(strlen(coalesce(tool.output, '')), 200) AS head FROM ev),
         y AS (SELECT count(*) FILTER (gone) AS n_dropped, count(*) FILTER (small AND NOT gone) AS n_compressed, count(*) FILTER (NOT gone AND NOT small) AS n_kept, CAST(sum(size) AS BIGINT) AS bytes_in,
         CAST(sum(CASE WHEN gone THEN 0 WHEN small THEN 60 + head ELSE size END) AS BIGINT) AS bytes_out FROM z) SELECT *, CAST(round_even((1 - bytes_out / bytes_in) * 100, 0) AS BIGINT) AS reduction_percent FROM y""",
-    "atomic_groups": f"WITH {EV}, {GROUPS} SELECT event_id, leader FROM g",
+    "atomic_groups": f"WITH RECURSIVE {EV}, {GROUPS} SELECT event_id, leader FROM g",
+    "interleaved_groups": f"WITH RECURSIVE {EV}, {GROUPS} SELECT session_id, seq, leader FROM g",
     "chunk_pack": f"WITH RECURSIVE {EV}, {PACK} SELECT session_id, leader, CAST(size AS BIGINT) AS size, chunk FROM r",
     "chunk_refine": f"WITH RECURSIVE {EV}, {REFINE} SELECT session_id, chunk, half, count(*) AS n FROM h GROUP BY ALL",
     "chunk_manifest": f"""WITH RECURSIVE {EV}, {REFINE} SELECT session_id, min(source_line) AS line_start, max(source_line) AS line_end, CAST(sum(strlen({LINE})) AS BIGINT) AS byte_size, count(*) AS event_count,
@@ -172,7 +182,11 @@ SQL: dict[str, str] = {
         c("check", n_bad) AS (SELECT 'missing_hash', count(*) FILTER (sha256 IS NULL) FROM b UNION ALL SELECT 'bad_range', count(*) FILTER (line_start > line_end) FROM b UNION ALL SELECT 'no_rows', count(*) FILTER (n IS NULL) FROM b
         UNION ALL SELECT 'wrong_count', count(*) FILTER (n <> event_count) FROM b) SELECT "check", n_bad, n_bad = 0 AS passed FROM c""",
     "strip_text": """SELECT event_id, CASE WHEN length(text) > 1000 AND regexp_full_match(text, '[A-Za-z0-9+/=\\n\\r]+') THEN '[BASE64: ' || length(text) || ' bytes, source: ' || source_path || ':' || source_line || ']'
-        WHEN length(text) > 4000 THEN left(text, 4000) || '... [TRUNCATED at 4000 bytes, source: ' || source_path || ':' || source_line || ']' ELSE text END AS text FROM session_events WHERE text IS NOT NULL""",
+        WHEN length(text) > 4000 THEN left(text, 4000) || '... [TRUNCATED at ' || length(text) || ' bytes, source: ' || source_path || ':' || source_line || ']' ELSE text END AS text FROM session_events WHERE text IS NOT NULL""",
+    "json_tree_strip": """WITH t AS (SELECT e.event_id, j.id, json_extract_string(j.atom, '$') AS v, ' bytes, source: ' || e.source_path || ':' || e.source_line || ']' AS tail
+            FROM (SELECT * FROM session_events WHERE json_valid(tool.input)) e, json_tree(e.tool.input) j WHERE j.type = 'VARCHAR'),
+        m AS (SELECT event_id, id, CASE WHEN length(v) > 1000 AND regexp_full_match(v, '[A-Za-z0-9+/=\\n\\r]+') THEN '[BASE64: ' || length(v) || tail ELSE left(v, 200) || '... [TRUNCATED at ' || length(v) || tail END AS marker FROM t WHERE length(v) > 200)
+        SELECT event_id, count(*) AS n_markers, string_agg(marker, chr(10) ORDER BY id) AS markers FROM m GROUP BY 1""",
     "first_sentence_card": f"WITH d AS (SELECT doc_id, {strip('text')} AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, {sentence('s', 120)} AS sentence FROM d",
     "first_sentence_merge": f"SELECT doc_id, {sentence('text', 80)} AS sentence FROM documents WHERE text IS NOT NULL",
     "first_meaningful_line": f"""SELECT doc_id, coalesce({lines('text')}[1], '') AS line, CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' THEN 0 ELSE 1 END AS BIGINT) AS n_lines FROM documents WHERE text IS NOT NULL""",
@@ -226,7 +240,8 @@ SQL: dict[str, str] = {
         a AS (SELECT report, string_agg(step_no || '. ' || title || CASE WHEN takeaway <> '' THEN ' - ' || takeaway ELSE '' END, chr(10) ORDER BY step_no) AS slice FROM t GROUP BY 1) SELECT report, md5(slice) AS slice_md5, CAST(length(slice) AS BIGINT) AS n_chars FROM a""",
     "capture_skip": """WITH c AS (SELECT event_id, command.exit_code + 399 AS status, provider, text FROM session_events WHERE kind IS NOT NULL), r AS (SELECT event_id, CASE WHEN status >= 400 THEN 'http_status_' || status WHEN provider = 'codex' THEN 'json_response'
         WHEN starts_with(regexp_replace(left(trim(coalesce(text, '')), 2000), '\\s+', '', 'g'), '{') AND contains(text, '"status":500') AND contains(text, '"unhandled":true') THEN 'error_payload' END AS reason FROM c) SELECT * FROM r WHERE reason IS NOT NULL""",
-    "svg_safety": """SELECT doc_id, CASE WHEN doc_id % 3 IN (0, 1) THEN CAST(0 AS BIGINT) ELSE CAST(length('<svg>' || left(text, 40) || '</svg>') AS BIGINT) END AS n_chars FROM documents WHERE text IS NOT NULL""",
+    "svg_safety": r"""WITH d AS (SELECT doc_id, '<svg>' || CASE doc_id % 3 WHEN 0 THEN '<script>' WHEN 1 THEN '<g onload = x>' ELSE '' END || text || '</svg>' AS s FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, CAST(CASE WHEN regexp_matches(s, '<\s*script\b|\son\w+\s*=|(href|xlink:href)\s*=\s*[''"]\s*javascript:', 'i') THEN 0 ELSE length(s) END AS BIGINT) AS n_chars FROM d""",
     "sha_tokens": r"""WITH m AS (SELECT event_id, regexp_extract_all(text, '\b[0-9a-f]{7,40}\b') AS x FROM session_events WHERE regexp_matches(lower(text), 'git|commit')) SELECT event_id, array_to_string(list_transform(list_filter(range(1, len(x) + 1), lambda i: list_position(x, x[i]) = i), lambda i: x[i]), ',') AS shas FROM m WHERE len(x) > 0""",
     "route_tokens": r"""WITH m AS (SELECT event_id, list_filter(regexp_split_to_array(lower(split_part(file_change.path, '?', 1)), '[/:._-]+'), lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '\d+') AND w NOT IN ('http', 'https', 'localhost', 'www')) AS x FROM session_events WHERE file_change.path IS NOT NULL)
         SELECT event_id, array_to_string(list_transform(list_filter(range(1, len(x) + 1), lambda i: list_position(x, x[i]) = i), lambda i: x[i]), ',') AS tokens FROM m""",
@@ -241,7 +256,7 @@ SQL: dict[str, str] = {
         d AS (SELECT ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> ''), ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL AND len(text) > 0)
         SELECT 'all' AS report, given_name AS term, 'incomplete' AS fault FROM contributors WHERE coalesce(team, '') = '' UNION ALL SELECT 'all', term, 'duplicate' FROM e WHERE n > 1
         UNION ALL SELECT 'all', term, 'dead' FROM c WHERE n = 1 AND lower(handle) NOT IN (SELECT word FROM w) AND (len(parts) = 0 OR CASE WHEN len(parts) = 1 THEN parts[1] NOT IN (SELECT word FROM w) ELSE NOT EXISTS (SELECT 1 FROM d WHERE contains(d.t, ' ' || array_to_string(parts, ' ') || ' ')) END)""",
-    "undeclared_refs": f"""WITH {EV}, {LATEST}, n AS (SELECT provider, unnest([source_path, regexp_replace(source_path, '^.*/', '')]) AS name FROM latest WHERE session_row % 3 <> 0 AND source_path <> '')
+    "undeclared_refs": f"""WITH {EV}, {LATEST}, n AS (SELECT provider, unnest([source_path, regexp_replace(source_path, '^.*/', '')]) AS name FROM latest WHERE source_path <> '')
         SELECT DISTINCT provider AS report, source_path AS path FROM ev WHERE provider IN (SELECT provider FROM n) AND (provider, source_path) NOT IN (SELECT (provider, name) FROM n) AND (provider, regexp_replace(source_path, '^.*/', '')) NOT IN (SELECT (provider, name) FROM n)""",
     "visible_items": "SELECT doc_kind, count(*) AS n FROM documents WHERE doc_kind IS NULL OR doc_kind <> 'readme' GROUP BY 1",
     "kinds_seen": "SELECT kind AS spelling, lower(trim(kind)) AS kind, count(*) AS n FROM session_events GROUP BY 1, 2",
