@@ -3,23 +3,26 @@
 Karmarkar-Karp multiway differencing: the items of a window begin as partial partitions of their own; the two with the
 largest imbalance are merged again and again, the large parts of one on the small parts of the other, until one
 near-equal partition into as many containers as the items need at least is left. Where a container still exceeds
-the capacity, it is differenced anew together with one that has room (the fullest of all ways to fill one
-of the two from the few items of both), and only if that doesn't help, the number of containers rises by one. At last
-the roomiest container fills the others, so that room gathers in few.
+the capacity, it is differenced anew together with one that has room (an exact subset sum fills one of them best), and only
+if that doesn't help, the number of containers rises by one - at most to what filling one container after the other takes, each best
+around the largest item left, or best fit if that takes fewer. At last the roomiest container fills the others, so that room gathers in few.
 
-Items are spread over windows of about ``WINDOW`` by a hash, so windows are packed in parallel and only sizes travel.
-As room gathers in few containers of a window, the items of those that are filled less than ``CLOSED`` are packed
-once more, many windows together. A text beyond the capacity, and no other, is cut
-into full containers and a rest that is packed with the other items.
+Items are spread over windows of about ``WINDOW`` by a hash of what they are, so windows are packed in parallel, only sizes
+travel, and the containers don't depend on how the table is partitioned or in which order its rows come. As room gathers
+in few containers of a window, the items of those that are filled less than ``CLOSED`` are packed once more, many windows
+together. A text beyond the capacity, and no other, is cut into full containers and a rest that is packed with the other items.
 
 Defined results
-* Null and empty texts have no tokens and are in no container. Rows with equal doc_id are items of their own.
+* Null and empty texts have no tokens and are in no container. Rows with equal doc_id are items of their own; rows
+  that are equal altogether are told apart by a number, so which of them is which doesn't matter.
 * Containers list doc_ids in ascending order, with the first token and the number of tokens of each item.
+* A container is named after its least item: doc_id, first token, digest of the text, number among equal rows.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import heapq
 import os
 from functools import lru_cache
@@ -27,6 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,116 +73,159 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return heap[0][3] if heap else []
 
 
-def _part(sizes: list[int], capacity: int) -> int:
-    """Which of a few items (as bits) fill a container best, so that the rest fits another; 0 if there is no way."""
-    n, total = len(sizes), sum(sizes)
-    if n > 18 or total > 2 * capacity:
-        return 0
-    sums = np.zeros(1, np.int64)
+def fullest(sizes: list[int], capacity: int) -> list[int]:
+    """Indexes of the items whose sum is the largest within the capacity: the sums that can be reached are the bits of a number."""
+    reach, mask = [1], (1 << capacity + 1) - 1
     for s in sizes:
-        sums = np.concatenate([sums, sums + s])
-    fits = (sums <= capacity) & (total - sums <= capacity)
-    return int(np.argmax(np.where(fits, sums, -1))) if fits.any() else 0
-
-
-def _refill(sets: list[list[int]], sums: list[int], sizes: list[int], capacity: int, full: int, rest: int) -> bool:
-    """Difference two sets anew: one is filled best from the items of both, the other keeps the rest."""
-    pool = sets[full] + sets[rest]
-    chosen = _part([sizes[i] for i in pool], capacity)
-    if chosen:
-        sets[full], sets[rest] = [x for i, x in enumerate(pool) if chosen >> i & 1], [x for i, x in enumerate(pool) if not chosen >> i & 1]
-        sums[full], sums[rest] = (sum(sizes[i] for i in sets[x]) for x in (full, rest))
-    return bool(chosen)
-
-
-def _repair(sets: list[list[int]], sizes: list[int], capacity: int) -> bool:
-    """Difference each set that exceeds the capacity anew together with one that has room, the roomiest first.
-
-    Where no room is large enough, the roomiest set first gives to others what fills them, so that room gathers in it.
-    """
-    sums = [sum(sizes[i] for i in s) for s in sets]
-    tight: set[int] = set()
-    while True:
-        order = sorted(range(len(sets)), key=sums.__getitem__)
-        over = order[-1]
-        if sums[over] <= capacity:
-            return True
-        if any(_refill(sets, sums, sizes, capacity, over, under) for under in order if sums[under] + sums[over] <= 2 * capacity):
-            tight.add(over)
-            continue
-        giver = order[0]
-        taker = next((x for x in order[1:] if sums[x] < capacity and x not in tight), None)
-        if taker is None:
+        reach.append((reach[-1] | reach[-1] << s) & mask)
+    left, chosen = reach[-1].bit_length() - 1, []
+    for i in range(len(sizes) - 1, -1, -1):
+        if not reach[i] >> left & 1:
+            chosen.append(i)
+            left -= sizes[i]
+    return chosen
+
+
+def one_by_one(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Sets filled one after the other, each best around the largest item left."""
+    left, out = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), []
+    while left:
+        rest = left[1:]
+        out.append([left[0], *(rest[x] for x in fullest([sizes[i] for i in rest], capacity - sizes[left[0]]))])
+        taken = set(out[-1])
+        left = [i for i in rest if i not in taken]
+    return out
+
+
+def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Sets made by putting each item, the largest first, where it leaves the least room."""
+    sets: list[list[int]] = []
+    rooms: list[tuple[int, int]] = []  # (room, set), sorted
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        at = bisect.bisect_left(rooms, (sizes[i], -1))
+        room, x = rooms.pop(at) if at < len(rooms) else (capacity, len(sets))
+        if x == len(sets):
+            sets.append([])
+        sets[x].append(i)
+        bisect.insort(rooms, (room - sizes[i], x))
+    return sets
+
+
+class _Sets:
+    """Sets of items with their sums, some of which may exceed the capacity."""
+
+    def __init__(self, sets: list[list[int]], sizes: list[int], capacity: int):
+        self.sets, self.sizes, self.capacity = sets, sizes, capacity
+        self.sums = [sum(sizes[i] for i in s) for s in sets]
+
+    def again(self, full: int, rest: int) -> bool:
+        """Difference two sets anew: one is filled best from the items of both, the other keeps the rest; False if that exceeds the capacity.
+
+        Large items come first, so of equal sums the one of larger items is taken.
+        """
+        if self.sums[full] + self.sums[rest] > 2 * self.capacity:
             return False
-        _refill(sets, sums, sizes, capacity, taker, giver)
-        tight.add(taker)
-
-
-def _gather(sets: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Let the roomiest set fill all others best, so that room gathers in few sets and some become empty."""
-    sums = [sum(sizes[i] for i in s) for s in sets]
-    giver = min(range(len(sets)), key=sums.__getitem__)
-    for taker in sorted(range(len(sets)), key=sums.__getitem__, reverse=True):
-        if taker != giver and sums[taker] < capacity:
-            _refill(sets, sums, sizes, capacity, taker, giver)
-            if not sets[giver]:
-                giver = min((x for x in range(len(sets)) if sets[x]), key=sums.__getitem__)
-    return [s for s in sets if s]
+        pool = sorted(self.sets[full] + self.sets[rest], key=lambda i: (self.sizes[i], i))
+        chosen = {pool[x] for x in fullest([self.sizes[i] for i in pool], self.capacity)}
+        parts = [i for i in pool if i in chosen], [i for i in pool if i not in chosen]
+        sums = [sum(self.sizes[i] for i in part) for part in parts]
+        if sums[1] > self.capacity:
+            return False
+        self.sets[full], self.sets[rest] = parts
+        self.sums[full], self.sums[rest] = sums
+        return True
+
+    def settle(self) -> bool:
+        """Bring every set within the capacity, each that exceeds it together with one that has room.
+
+        Where that fails, the roomiest set gives what fills another best, so that room gathers in it, and it is tried again.
+        """
+        tight: set[int] = set()
+        while True:
+            order = sorted(range(len(self.sets)), key=lambda x: (self.sums[x], x))
+            over = order[-1]
+            if self.sums[over] <= self.capacity:
+                return True
+            if any(self.again(over, x) for x in order[:-1]):
+                tight.add(over)
+                continue
+            taker = next((x for x in order[1:] if self.sums[x] < self.capacity and x not in tight), None)
+            if taker is None:
+                return False
+            self.again(taker, order[0])
+            tight.add(taker)
+
+    def gather(self) -> list[list[int]]:
+        """Let the roomiest set fill all others best, so that room gathers in few sets and some become empty."""
+        giver = min(range(len(self.sets)), key=lambda x: (self.sums[x], x))
+        for taker in sorted(range(len(self.sets)), key=lambda x: (-self.sums[x], x)):
+            if taker != giver and self.sums[taker] < self.capacity:
+                self.again(taker, giver)
+                if not self.sets[giver]:
+                    giver = min((x for x in range(len(self.sets)) if self.sets[x]), key=lambda x: (self.sums[x], x))
+        return [s for s in self.sets if s]
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     """Sets of indexes, each within the capacity; no size may exceed it."""
-    k = -(-sum(sizes) // capacity)
-    while sizes:
-        sets = difference(sizes, k)
-        if _repair(sets, sizes, capacity):
-            return _gather(sets, sizes, capacity)
-        k += 1
-    return []
+    most = min(one_by_one(sizes, capacity), best_fit(sizes, capacity), key=len)
+    for k in range(-(-sum(sizes) // capacity), len(most)):
+        state = _Sets(difference(sizes, k), sizes, capacity)
+        if state.settle():
+            return state.gather()
+    return _Sets(most, sizes, capacity).gather() if most else []
+
+
+#: What tells items apart, in the order in which containers list them.
+ITEM = ("doc_id", "first_token", "digest", "n")
 
 
 def items_of(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, first_token, tokens, n): the items, with a number that tells equal rows apart."""
+    """(doc_id, first_token, digest, n, tokens): the items; ``n`` numbers those that are equal altogether, by their count."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         encode, rows = encoder(tokenizer).encode_ordinary, []
-        for i, (d, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+        for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             n = len(encode(t)) if t else 0
-            rows += [(d, a, min(capacity, n - a), i) for a in range(0, n, capacity)]
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)], names=["doc_id", "first_token", "tokens", "n"])
+            if n:
+                digest = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)
+                rows += [(d, a, digest, min(capacity, n - a)) for a in range(0, n, capacity)]
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)], names=["doc_id", "first_token", "digest", "tokens"])
 
-    return map_batches(documents.select("doc_id", "text").where("text is not null"), count, "doc_id long, first_token int, tokens int, n int")
+    items = map_batches(documents.select("doc_id", "text").where("text <> ''"), count, "doc_id long, first_token int, digest long, tokens int")
+    counted = items.groupBy("doc_id", "first_token", "digest", "tokens").agg(F.count("*").alias("copies"))
+    return counted.select("doc_id", "first_token", "digest", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("n"), "tokens")
 
 
 def containers(documents: DataFrame, capacity: int = CAPACITY, window: int = WINDOW, tokenizer: str = TOKENIZER) -> DataFrame:
     """(container, doc_ids, first_tokens, item_tokens, tokens, fill), one row per container."""
     windows = max(1, -(-documents.count() // window))
-    items = items_of(documents, capacity, tokenizer).withColumn("window", F.pmod(F.xxhash64("doc_id", "n"), F.lit(windows)))
-    shape = "window long, doc_ids array<long>, first_tokens array<int>, item_tokens array<int>, ns array<int>"
-    names = ["window", "doc_ids", "first_tokens", "item_tokens", "ns"]
-
-    def fill(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "first_token", "n"])
-        columns = [frame[c].tolist() for c in ("doc_id", "first_token", "tokens", "n")]
-        loose = [i for i, t in enumerate(columns[2]) if t < capacity]
-        sets = [[i] for i, t in enumerate(columns[2]) if t >= capacity] + [sorted(loose[x] for x in s) for s in pack([columns[2][i] for i in loose], capacity)]
-        return pd.DataFrame([(key[0], *([c[x] for x in s] for c in columns)) for s in sets], columns=names)
+    items = items_of(documents, capacity, tokenizer).withColumn("window", F.pmod(F.xxhash64(*ITEM), F.lit(windows)))
+    lists = {"doc_ids": "doc_id", "first_tokens": "first_token", "digests": "digest", "ns": "n", "item_tokens": "tokens"}
+    names = [*lists]
+    shape = "doc_ids array<long>, first_tokens array<int>, digests array<long>, ns array<int>, item_tokens array<int>"
+
+    def fill(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([*ITEM])
+        columns = [frame[c].tolist() for c in lists.values()]
+        columns[0] = [None if pd.isna(d) else int(d) for d in columns[0]]
+        sizes = columns[-1]
+        loose = [i for i, t in enumerate(sizes) if t < capacity]
+        sets = [[i] for i, t in enumerate(sizes) if t >= capacity] + [sorted(loose[x] for x in s) for s in pack([sizes[i] for i in loose], capacity)]
+        return pd.DataFrame([tuple([c[x] for x in s] for c in columns) for s in sets], columns=names)
 
     total = F.aggregate("item_tokens", F.lit(0), lambda a, x: a + x)
     # the packing is work that the few bytes of sizes don't show, so the number of tasks is given
     tasks = max(1, min(windows, max(documents.sparkSession.sparkContext.defaultParallelism, windows // 16)))
     first = cut(items.repartition(tasks, "window").groupBy("window").applyInPandas(fill, shape).withColumn("tokens", total))
-    rooms = first.where(F.col("tokens") < CLOSED * capacity)
-    again = max(1, -(-rooms.select(F.sum(F.size("doc_ids"))).first()[0] // window)) if windows > 1 and not rooms.isEmpty() else 0
-    packed = first
-    if again:
-        loose = rooms.select("window", F.inline(F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.col("first_tokens").alias("first_token"), F.col("item_tokens").alias("tokens"), F.col("ns").alias("n"))))
-        second = loose.withColumn("window", -1 - F.pmod(F.xxhash64("doc_id", "n", "window"), F.lit(again))).groupBy("window").applyInPandas(fill, shape).withColumn("tokens", total)
-        packed = first.where(F.col("tokens") >= CLOSED * capacity).unionByName(second)
-    least = F.array_min(F.arrays_zip(F.col("doc_ids").alias("d"), F.col("first_tokens").alias("f"), F.col("ns").alias("n")))
-    packed = packed.select(F.concat_ws("-", F.coalesce(least["d"].cast("string"), F.lit("null")), least["f"], least["n"], "window").alias("container"), "doc_ids", "first_tokens", "item_tokens")
-    return packed.withColumn("tokens", total).withColumn("fill", F.round(F.col("tokens") / capacity, 6))
+    roomy = F.col("tokens") < CLOSED * capacity
+    again = max(1, -(-(first.where(roomy).select(F.sum(F.size("doc_ids"))).first()[0] or 0) // window))
+    loose = first.where(roomy).select(F.inline(F.arrays_zip(*(F.col(c).alias(one) for c, one in lists.items()))))
+    second = loose.withColumn("window", F.pmod(F.xxhash64(*ITEM), F.lit(again))).groupBy("window").applyInPandas(fill, shape).withColumn("tokens", total)
+    packed = first.where(~roomy).unionByName(second)
+    least = F.concat_ws("-", F.coalesce(F.get("doc_ids", F.lit(0)).cast("string"), F.lit("null")), F.get("first_tokens", F.lit(0)), F.hex(F.get("digests", F.lit(0))), F.get("ns", F.lit(0)))
+    return packed.select(least.alias("container"), "doc_ids", "first_tokens", "item_tokens", "tokens", F.round(F.col("tokens") / capacity, 6).alias("fill"))
 
 
 def p8_packed(spark: SparkSession, base: str) -> DataFrame:
