@@ -31,10 +31,28 @@ def test_tables(spark):
     assert S.split_turns(events.limit(0)).count() == 0 and S.split_events(events.limit(0)).count() == 0
 
 
-def test_huge_turns_are_packed_in_runs_with_overlap(spark, monkeypatch):
-    monkeypatch.setattr(S, "BLOCK_BYTES", 20_000)
+def brute(texts, limit, overlap, run_bytes):
+    """The same rule event by event, for one turn in one list."""
+    runs, before = {}, 0
+    for t in texts:
+        runs.setdefault(before // run_bytes, []).append(t)
+        before += len(t.encode())
+    out, tail = [], ""
+    for n, run in enumerate(runs[r] for r in sorted(runs)):
+        whole = ("\n\n" if n else "") + "\n\n".join(run)
+        pieces = S.split(whole, limit, overlap, overlap if n else 0)
+        out += [(tail if i == 0 else whole[o:a], whole[a:b]) for i, (o, a, b) in enumerate(pieces)]
+        tail = whole[S._tail(whole, *pieces[-1][1:], overlap) :]
+    return out
+
+
+def test_huge_turns_like_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "RUN_BYTES", 20_000)
     monkeypatch.setattr(S, "BLOCK_SEQS", 8)
-    events = spark.createDataFrame([(i, "s", None, 1, i, f"event {i} " + "word " * 300) for i in range(24)], "event_id long, session_id string, agent_id string, turn_index int, seq long, text string")
-    rows = S.split_turns(events).collect()
-    assert all(r.piece_bytes <= 12_000 for r in rows) and sum(r.piece == 0 for r in rows) == 3 and sum(r.overlap_bytes == 0 for r in rows) == 1
-    assert sum(r.piece_bytes - r.overlap_bytes for r in rows) == sum(len(f"event {i} ") + 1500 for i in range(24)) + 2 * 21
+    texts = [f"event {i} " + ("wörd " * 300 if i % 3 else "ok") for i in range(60)] + ["x" * 45_000]
+    events = spark.createDataFrame([(i, "s", None, 1, i, t) for i, t in enumerate(texts)] + [(900, "s", None, 1, 3, "again")], "event_id long, session_id string, agent_id string, turn_index int, seq long, text string")
+    rows = S.split_turns(events).orderBy("piece").collect()
+    want = brute(texts, 12_000, 200, 20_000)
+    assert [(r.piece_text.encode()[: r.overlap_bytes].decode(), r.piece_text.encode()[r.overlap_bytes :].decode()) for r in rows] == want
+    assert [r.piece for r in rows] == list(range(len(want))) and {r.n_pieces for r in rows} == {len(want)} and all(r.piece_bytes == len(r.piece_text.encode()) <= 12_000 for r in rows)
+    assert "".join(body for _, body in want) == "\n\n".join(texts) and sum(r.overlap_bytes == 0 for r in rows) == 1

@@ -3,18 +3,6 @@
 import pytest
 
 
-def test_pieces_of_huge_turns_are_numbered_through_and_are_the_text(spark, monkeypatch):
-    from tracemill.llm import splitting as S
-
-    monkeypatch.setattr(S, "BLOCK_BYTES", 20_000)
-    monkeypatch.setattr(S, "BLOCK_SEQS", 8)
-    texts = [f"event {i} " + "word " * 300 for i in range(24)]
-    events = spark.createDataFrame([(i, "s", None, 1, i, t) for i, t in enumerate(texts)], "event_id long, session_id string, agent_id string, turn_index int, seq long, text string")
-    rows = S.split_turns(events).orderBy("piece").collect()
-    assert [r.piece for r in rows] == list(range(len(rows))) and {r.n_pieces for r in rows} == {len(rows)} and all(r.piece_bytes <= 12_000 for r in rows)
-    assert "".join(r.piece_text.encode()[r.overlap_bytes :].decode() for r in rows) == "\n\n".join(texts)
-
-
 @pytest.mark.parametrize("address", ["12 Pewter Hill, Dunwick 36998", "7 Holm Mews, Dunwick 36998", "7 Holm View, Dunwick 36998", "3 boulevard Voltaire, 75011 Paris", "9 quai Voltaire, 75007 Paris", "4 chemin Vert, 69001 Lyon", "Kurfürstendamm 21, 10719 Berlin", "Schiffbauerufer 3, 10117 Berlin"])
 def test_every_street_word_anchors_addresses(address):
     from tracemill.llm import pii

@@ -7,14 +7,16 @@ boundary if there is one. Without the overlaps the pieces are exactly the text.
 
 Defined results
 * Null and empty texts, and those within the limit, are not split. No code point is cut.
-* Repeated deliveries (same session, stream and seq) count once: the lowest event_id.
-* Turns are the texts of their events in order of seq, joined by a blank line, which is also the first place to
-  cut. A turn beyond ``BLOCK_BYTES`` is packed in runs of ``BLOCK_SEQS`` seqs, so no task holds an unbounded turn;
-  overlap and the joint are carried across runs, and pieces are numbered through the turn.
+* Repeated deliveries (same session, stream and seq) count once: the lowest event_id, rows without one last.
+* Turns are the texts of their events in order of seq, joined by a blank line, which is also the first place to cut. Above
+  sections stands one more boundary, at every turn alike: where the bytes of the events before pass a multiple of
+  ``RUN_BYTES``, a piece ends. So the runs between are packed apart, no task holds an unbounded turn, and overlap,
+  joint and numbers go on from run to run. An event is never spread over runs.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pandas as pd
@@ -23,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracemill.runtime import map_batches, table
+from tracemill.runtime import cut, map_batches, table
 
 EVENT_LIMIT, TURN_LIMIT, OVERLAP = 4000, 12_000, 200
-BLOCK_BYTES, BLOCK_SEQS = 8 << 20, 1024
+RUN_BYTES, BLOCK_SEQS = 1 << 20, 4096
 JOINT = "\n\n"
 
 #: The hierarchy: a cut is made at the end of each match.
@@ -76,18 +78,16 @@ def _tail(text: str, a: int, b: int, most: int) -> int:
     return at
 
 
-def split(text: str | None, limit: int, overlap: int = OVERLAP, before: str = "") -> list[tuple[int, int, int]]:
-    """(start of overlap, start, end) of each piece; ``before`` is text that precedes and may overlap into the first."""
+def split(text: str | None, limit: int, overlap: int = OVERLAP, reserve: int = 0) -> list[tuple[int, int, int]]:
+    """(start of overlap, start, end) of each piece; the first leaves ``reserve`` bytes for an overlap from elsewhere."""
     if not text:
         return []
-    if _size(text) <= limit and not before:
-        return [(0, 0, len(text))]
     overlap = min(overlap, limit // 2)
+    room = limit - min(reserve, overlap)
+    if _size(text) <= room:
+        return [(0, 0, len(text))]
     pieces: list[tuple[int, int, int]] = []
-    start = lead = 0
-    room = limit - min(overlap, _size(before)) if before else limit
-    end = 0
-    used = 0
+    start = lead = end = used = 0
     for a, b in _atoms(text, 0, len(text), limit - overlap, 0):
         n = _size(text[a:b])
         if used + n > room and end > start:
@@ -104,6 +104,11 @@ def _events(events: DataFrame) -> DataFrame:
     return events.select("event_id", "session_id", F.coalesce("agent_id", F.lit("")).alias("agent_id"), "turn_index", "seq", "text", F.octet_length("text").alias("bytes")).where("text is not null and session_id is not null and seq is not null")
 
 
+def _delivery():
+    """What puts repeated deliveries in order."""
+    return F.struct(F.col("event_id").isNull().alias("unnamed"), "event_id")
+
+
 _OUT = "session_id string, agent_id string, turn_index int, seq long, piece int, n_pieces int, overlap_bytes int, piece_bytes int, piece_text string"
 
 
@@ -111,7 +116,7 @@ def split_events(events: DataFrame, limit: int = EVENT_LIMIT, overlap: int = OVE
     """The pieces of every event text of more than ``limit`` bytes."""
     large = (
         _events(events).where(F.col("bytes") > limit).groupBy("session_id", "agent_id", "seq")
-        .agg(F.min_by(F.struct(F.coalesce("turn_index", F.lit(-1)).alias("turn_index"), "text"), "event_id").alias("e"))
+        .agg(F.min_by(F.struct(F.coalesce("turn_index", F.lit(-1)).alias("turn_index"), "text"), _delivery()).alias("e"))
         .select("session_id", "agent_id", "e.turn_index", "seq", "e.text")
     )
 
@@ -131,44 +136,58 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, types)], names=names)
 
 
-def split_turns(events: DataFrame, limit: int = TURN_LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """The pieces of every turn of more than ``limit`` bytes; ``seq`` is the first event whose text the piece holds."""
-    turn = ["session_id", "agent_id", "turn_index"]
-    sizes = _events(events).where("turn_index is not null").drop("text").groupBy(*turn, "seq").agg(F.min_by(F.struct("event_id", "bytes"), "event_id").alias("e"))
-    long = sizes.groupBy(*turn).agg(F.sum("e.bytes").alias("total")).where(F.col("total") > limit)
-    kept = (
-        _events(events).where("turn_index is not null").join(long, turn).groupBy(*turn, "seq")
-        .agg(F.min_by(F.struct("text", "total"), "event_id").alias("e")).select(*turn, "seq", "e.text", "e.total")
-        .withColumn("blk", F.when(F.col("total") > BLOCK_BYTES, F.floor(F.col("seq") / BLOCK_SEQS)).otherwise(0))
-    )
-    ends = kept.where(F.col("total") > BLOCK_BYTES).groupBy(*turn, "blk").agg(F.max_by(F.right("text", F.lit(overlap)), "seq").alias("tail"))
-    order = W.partitionBy(*turn).orderBy("blk")
-    carried = ends.select(*turn, "blk", F.lag("tail").over(order).alias("before"), (F.row_number().over(order) > 1).alias("later"))
-    rows = kept.join(carried, [*turn, "blk"], "left").select(*turn, "blk", "seq", "text", "before", F.coalesce("later", F.lit(False)).alias("later"))
+TURN = ["session_id", "agent_id", "turn_index"]
+
+
+def runs_of(events: DataFrame, limit: int = TURN_LIMIT) -> DataFrame:
+    """(session_id, agent_id, turn_index, seq, run) of the events of every turn of more than ``limit`` bytes.
+
+    Bytes are summed up within blocks of seqs and then from block to block, so a long turn is many tasks.
+    """
+    sizes = _events(events).where("turn_index is not null").drop("text").groupBy(*TURN, "seq").agg(F.min_by("bytes", _delivery()).alias("bytes")).withColumn("blk", F.floor(F.col("seq") / BLOCK_SEQS))
+    blocks = sizes.groupBy(*TURN, "blk").agg(F.sum("bytes").alias("n"))
+    order = W.partitionBy(*TURN).orderBy("blk").rowsBetween(W.unboundedPreceding, -1)
+    long = blocks.select(*TURN, "blk", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"), F.sum("n").over(W.partitionBy(*TURN)).alias("total")).where(F.col("total") > limit)
+    inside = F.sum("bytes").over(W.partitionBy(*TURN, "blk").orderBy("seq")) - F.col("bytes")
+    return sizes.join(long, [*TURN, "blk"]).select(*TURN, "seq", F.floor((F.col("before") + inside) / RUN_BYTES).alias("run"))
+
+
+def _packed_turns(events: DataFrame, limit: int, overlap: int) -> DataFrame:
+    """The pieces of each run, numbered within it; ``tail`` is what the next run's first piece begins with."""
+    placed = _events(events).where("turn_index is not null").join(runs_of(events, limit), [*TURN, "seq"])
+    kept = placed.groupBy(*TURN, "seq").agg(F.min_by(F.struct("text", "run"), _delivery()).alias("e")).select(*TURN, "seq", "e.text", "e.run")
 
     def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("seq")
-        texts, seqs = frame["text"].tolist(), frame["seq"].tolist()
-        before = next((x for x in frame["before"] if isinstance(x, str)), "")
-        joint = JOINT if frame["later"].any() else ""
-        whole, starts = joint + JOINT.join(texts), []
-        for t in texts:
-            starts.append((starts[-1] + len(texts[len(starts) - 1]) + len(JOINT)) if starts else len(joint))
-        lead = before[_tail(before, 0, len(before), overlap) :] if before else ""
-        out, pieces = [], split(whole, limit, overlap, lead)
+        texts, seqs, later = frame["text"].tolist(), frame["seq"].tolist(), key[3] > 0
+        whole, starts = (JOINT if later else "") + JOINT.join(texts), [len(JOINT) if later else 0]
+        for t in texts[:-1]:
+            starts.append(starts[-1] + len(t) + len(JOINT))
+        pieces = split(whole, limit, overlap, overlap if later else 0)
+        tail = whole[_tail(whole, pieces[-1][1], pieces[-1][2], overlap) :] if pieces else ""
+        out = []
         for i, (o, a, b) in enumerate(pieces):
-            first = max((q for q, s in zip(seqs, starts) if s <= a), default=seqs[0])
-            body = (lead if i == 0 else "") + whole[o:b]
-            out.append((*key[:3], first, i, len(pieces), _size(body) - _size(whole[a:b]), _size(body), body, key[3]))
-        return pd.DataFrame(out, columns=[*(x.split()[0] for x in _OUT.split(", ")), "blk"])
+            first = seqs[max(0, bisect.bisect_right(starts, a) - 1)]
+            out.append((*key[:3], first, i, len(pieces), _size(whole[o:a]), _size(whole[o:b]), whole[o:b], key[3], tail))
+        return pd.DataFrame(out, columns=[*(x.split()[0] for x in _OUT.split(", ")), "run", "tail"])
+
+    return kept.groupBy(*TURN, "run").applyInPandas(pack, f"{_OUT}, run long, tail string")
 
-    packed = rows.groupBy(*turn, "blk").applyInPandas(pack, f"{_OUT}, blk long")
-    # the first piece of each run brings the run's count, so that numbers go through the turn
-    count, turns = F.when(F.col("piece") == 0, F.col("n_pieces")).otherwise(0), W.partitionBy(*turn)
-    earlier = F.coalesce(F.sum(count).over(turns.orderBy("blk").rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
-    numbered = packed.withColumns({"_skip": earlier, "_total": F.sum(count).over(turns)})
-    numbered = numbered.withColumns({"piece": (F.col("piece") + F.col("_skip")).cast("int"), "n_pieces": F.col("_total").cast("int")})
-    return numbered.select(*(x.split()[0] for x in _OUT.split(", ")))
+
+def split_turns(events: DataFrame, limit: int = TURN_LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """The pieces of every turn of more than ``limit`` bytes; ``seq`` is the first event whose text the piece holds."""
+    packed = cut(_packed_turns(events, limit, overlap))
+    turn = W.partitionBy(*TURN)
+    runs = packed.where("piece = 0").select(
+        *TURN, "run", F.coalesce(F.sum("n_pieces").over(turn.orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("skip"), F.sum("n_pieces").over(turn).alias("all"), F.lag("tail", 1, "").over(turn.orderBy("run")).alias("lead")
+    )
+    rows = packed.drop("tail").join(runs, [*TURN, "run"])
+    lead = F.when(F.col("piece") == 0, F.col("lead")).otherwise("")
+    more = F.octet_length(lead)
+    return rows.select(
+        *TURN, "seq", (F.col("skip") + F.col("piece")).cast("int").alias("piece"), F.col("all").cast("int").alias("n_pieces"), (F.col("overlap_bytes") + more).alias("overlap_bytes"),
+        (F.col("piece_bytes") + more).alias("piece_bytes"), F.concat(lead, "piece_text").alias("piece_text"),
+    )
 
 
 def p3_pieces(spark: SparkSession, base: str) -> DataFrame:
@@ -181,5 +200,5 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     """The items that were split."""
     events = table(spark, base, "session_events")
     one = split_events(events).where("piece = 0").select("session_id", "agent_id", "turn_index", "seq")
-    turns = split_turns(events).where("piece = 0").select("session_id", "agent_id", "turn_index", F.lit(-1).cast("long").alias("seq")).distinct()
+    turns = _packed_turns(events, TURN_LIMIT, OVERLAP).where("run = 0 and piece = 0").select(*TURN, F.lit(-1).cast("long").alias("seq"))
     return one.unionByName(turns)
