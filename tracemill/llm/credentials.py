@@ -2,20 +2,28 @@
 
 A keyword automaton (Aho-Corasick) passes only values that hold some cue; of those the text around the
 cues is searched with anchored expressions for issuer formats, key blocks, assignments, headers, URLs, command
-lines and prose; candidates are then validated by their structure. Redaction puts placeholders of the
-same length and the same alphabets in their place, so that the code around them parses as before.
+lines and prose; candidates are then validated: by the checksum of issuers that have one, by decoding (the header of a JSON web
+token, the alphabet of an access key id), else by their variety. Redaction puts placeholders of the same
+length and the same alphabet in their place - hex stays hex, base32 stays base32 - so that the code around them parses as before.
 
 Defined results
 * Null and empty values have no secrets; a value found twice in a field is one row, redacted at each place.
 * ``tool.input`` is JSON text, perhaps cut off: it is searched as its unescaped text, and places are
   mapped back, so secrets come out with their escapes. Very long values are searched whole.
 * Placeholders, masked values, variable references, lookups in stores, public keys, digests and ids are none.
+* Tokens and the names before them may be of any length. Between a cue in a sentence or on a command line and its value may
+  stand as many characters as the patterns say; a quoted value reaches to the end of its line at most.
+* A token whose checksum is wrong still counts where its variety is that of a secret, as tokens are typed and cut wrongly;
+  ``proof`` tells what stands for a secret: ``checksum``, ``structure`` (issuer format, key block) or ``context``.
 * An encrypted private key counts as one. A key block without its end marker is cut off, unusable, and none.
 """
 
 from __future__ import annotations
 
+import base64
+import json
 import re
+import zlib
 from functools import lru_cache
 
 import pyarrow as pa
@@ -34,7 +42,7 @@ CUES = (
 )
 
 #: Words that hold a cue and never name a secret.
-HARMLESS = ("tokenizer", "tokeniser", "tokenize", "token-counter", "token_counter", "tokencounter", "max_tokens", "token_url", "digest", "eyjafjalla")
+HARMLESS = ("tokenizer", "tokeniser", "tokenize", "token-counter", "token_counter", "tokencounter", "max_tokens", "token_url", "digest")
 
 #: Names of settings that hold a secret, as the end of a name in snake, kebab or camel case.
 SECRET_NAMES = (
@@ -46,32 +54,35 @@ SECRET_NAMES = (
 #: Formats of issuers.
 ISSUERS = (
     r"(?:AKIA|ASIA)[A-Z0-9]{16}",
-    r"gh[pousr]_[A-Za-z0-9]{20,255}",
-    r"github_pat_[A-Za-z0-9_]{20,255}",
-    r"glpat-[A-Za-z0-9_-]{16,64}",
-    r"npm_[A-Za-z0-9]{20,64}",
-    r"pypi-[A-Za-z0-9_-]{16,255}",
-    r"xox[abeoprs]-[A-Za-z0-9-]{10,255}",
-    r"sk-(?:[a-z]+-)?[A-Za-z0-9_-]{20,255}",
-    r"[a-z]{0,6}(?:sk|rk)?_?(?:live|test)_[A-Za-z0-9]{16,99}",
-    r"AIza[A-Za-z0-9_-]{30,60}",
-    r"hf_[A-Za-z0-9]{20,64}",
-    r"SG\.[A-Za-z0-9_-]{16,40}\.[A-Za-z0-9_-]{16,80}",
+    r"gh[pousr]_[A-Za-z0-9]{20,}",
+    r"github_pat_[A-Za-z0-9_]{20,}",
+    r"glpat-[A-Za-z0-9_-]{16,}",
+    r"npm_[A-Za-z0-9]{20,}",
+    r"pypi-[A-Za-z0-9_-]{16,}",
+    r"xox[abeoprs]-[A-Za-z0-9-]{10,}",
+    r"sk-(?:[a-z]+-)?[A-Za-z0-9_-]{20,}",
+    r"[a-z]{0,6}(?:sk|rk)?_?(?:live|test)_[A-Za-z0-9]{16,}",
+    r"AIza[A-Za-z0-9_-]{30,}",
+    r"hf_[A-Za-z0-9]{20,}",
+    r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}",
     r"dop_v1_[a-f0-9]{64}",
     r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,}",
 )
+#: Tokens that end in the CRC-32 of what stands between, as six digits to base 62.
+_CHECKED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})")
+_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 _Q = r"\\{0,3}[\"'`]"
 _VALUE = r"[^\s\"'`<>,;\\]{4,}"
 #: A name with the stem of some secret in it; names without one are passed over, so that what stands behind them is still seen.
-_NAME = r"(?<![A-Za-z0-9_.-])(?=[A-Za-z_])[A-Za-z0-9_.-]{0,48}(?:pass|pwd|secret|token|key|credential|contrase|kennwort|senha|jwt|mot_?de_?passe)[A-Za-z0-9_ñ]{0,16}"
+_NAME = r"(?<![A-Za-z0-9_.-])(?=[A-Za-z_])[A-Za-z0-9_.-]*(?:pass|pwd|secret|token|key|credential|contrase|kennwort|senha|jwt|mot_?de_?passe)[A-Za-z0-9_ñ]{0,16}"
 _KEY_BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY((?: BLOCK)?)-----(?P<body>.{16,}?)-----END \1PRIVATE KEY\2-----", re.S)
 _ISSUER = re.compile(r"(?<![A-Za-z0-9_+-])(" + "|".join(ISSUERS) + r")(?![A-Za-z0-9_+=-])")
 _PATTERNS = [
     (kind, re.compile(pattern, re.I if kind not in ("flag_p",) else 0))
     for kind, pattern in (
         # name = value, name: value, "name": "value", name => 'value', NAME=value
-        ("named_quoted", rf"(?P<name>{_NAME}){_Q}?\s{{0,3}}(?::=|=>|=|:)\s{{0,3}}[a-zA-Z]?(?P<q>{_Q})(?P<v>[^\"'`\r\n]{{4,}}?)(?P=q)"),
+        ("named_quoted", rf"(?P<name>{_NAME}){_Q}?\]?\s{{0,3}}(?::=|=>|=|:)\s{{0,3}}[a-zA-Z]?(?P<q>{_Q})(?P<v>[^\"'`\r\n]{{4,}}?)(?P=q)"),
         ("named_bare", rf"(?P<name>{_NAME}){_Q}?\s{{0,3}}(?:=|:)[ \t]{{0,3}}(?P<v>{_VALUE})"),
         ("named_query", rf"[?&;](?P<name>{_NAME}|sig|signature|code)=(?P<v>[^\s\"'`<>&;\\]{{4,}})"),
         ("named_arrow", rf"(?P<name>{_NAME}){_Q}?\s*(?:=>|->|:=)\s*(?P<v>{_VALUE})"),
@@ -79,8 +90,8 @@ _PATTERNS = [
         ("named_pair", rf"{_Q}(?P<name>{_NAME}){_Q}\s*,\s*(?P<q>{_Q})(?P<v>[^\"'`\s]{{4,}}?)(?P=q)"),
         ("named_call", rf"(?:with|set)(?P<name>[A-Za-z]{{0,30}}(?:pass|pwd|secret|token|key|credential)[A-Za-z]{{0,16}})\(\s*(?P<q>{_Q})(?P<v>[^\"'`\s]{{4,}}?)(?P=q)"),
         ("named_flag", rf"--?(?P<name>(?:[a-z]+-){{0,4}}(?:password|passwd|pass|passphrase|pwd|secret|token|key|api-?key|credentials?))[ =]{_Q}?(?P<v>{_VALUE})"),
-        ("flag_p", rf"(?:login|mysql|psql|mysqldump|sshpass|curl|docker)\b[^\n]{{0,80}}? -p ?{_Q}?(?P<v>{_VALUE})"),
-        ("flag_u", rf"\bcurl\b[^\n]{{0,120}}? (?:-u|--user)[ =]{_Q}?[\w.@-]+:(?P<v>{_VALUE})"),
+        ("flag_p", rf"(?:login|mysql|psql|mysqldump|sshpass|curl|docker)\b[^\n]{{0,300}}? -p ?{_Q}?(?P<v>{_VALUE})"),
+        ("flag_u", rf"\bcurl\b[^\n]{{0,300}}? (?:-u|--user)[ =]{_Q}?[\w.@-]+:(?P<v>{_VALUE})"),
         ("netrc", rf"\blogin\s+\S+\s+password\s+(?P<v>{_VALUE})"),
         ("sql", rf"(?:identified\s+by|with\s+password|set\s+password(?:\s+for\s+\S+)?\s*=|\bpassword)\s+(?P<q>{_Q})(?P<v>[^\"'`\s]{{4,}}?)(?P=q)"),
         ("url", r"[a-z][a-z0-9+.-]{1,20}://[^\s/@:\"'`<>]{0,60}:(?P<v>[^\s/@\"'`<>]{3,})@[\w.\[-]"),
@@ -108,7 +119,7 @@ _NOT = re.compile(
     re.I | re.X,
 )
 #: What ``mask`` leaves of a secret.
-_MASKED = re.compile(r"[Xx0\W_]+")
+_MASKED = re.compile(r"(?:[XxAa012\W_]|%58)+")
 _PASSWORDISH = re.compile(r"pass|pwd|contrase|kennwort|senha", re.I)
 _ESCAPE = re.compile(r"\\(?:u[0-9a-fA-F]{4}|[\"\\/bfnrt])")
 _PLAIN = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
@@ -126,6 +137,8 @@ def _automaton():
 
 
 _SPACE = re.compile(r"\s")
+#: How far before and behind a cue a search reaches: to whole words, and behind it to the end of the line if that is within ``LINE``.
+BEFORE, BEHIND, LINE = 90, 260, 4096
 
 
 def cue_windows(value: str) -> list[tuple[int, int]]:
@@ -144,17 +157,23 @@ def cue_windows(value: str) -> list[tuple[int, int]]:
             hits.append((end + 1 - size, end + 1))
     windows: list[tuple[int, int]] = []
     for a, b in hits:
-        a, b = max(0, a - 90), b + 260
+        a = max(0, a - BEFORE)
         if windows and a <= windows[-1][1]:
-            windows[-1] = (windows[-1][0], b)
+            a = windows[-1][0]
+            if b + BEHIND <= windows[-1][1]:
+                continue
+            windows.pop()
         else:
-            windows.append((a, b))
-    whole = []
-    for a, b in windows:
-        if a:
-            a = next((m.end() for m in _SPACE.finditer(value, a, a + 90)), a)
+            while a and not value[a - 1].isspace():
+                a -= 1
+        line = value.find("\n", b, b + LINE)
+        if line < 0 and len(value) - b <= LINE:
+            line = len(value)
+        b = max(b + BEHIND, line)
         m = _SPACE.search(value, b) if b < len(value) else None
-        b = m.start() if m else len(value)
+        windows.append((a, m.start() if m else len(value)))
+    whole: list[tuple[int, int]] = []
+    for a, b in windows:
         if whole and a <= whole[-1][1]:
             whole[-1] = (whole[-1][0], max(b, whole[-1][1]))
         else:
@@ -189,6 +208,34 @@ def secret_name(name: str) -> bool:
     return any(snake == s or snake.endswith("_" + s) or flat.endswith(s.replace("_", "")) and len(s) > 4 for s in SECRET_NAMES) or flat.endswith(("pwd", "password", "passwd"))
 
 
+def checksum(token: str) -> bool | None:
+    """Whether the checksum of a token is right; None if its issuer has none or its length is not the issuer's."""
+    m = _CHECKED.fullmatch(token)
+    if not m:
+        return None
+    crc, said = zlib.crc32(m.group(1).encode()), 0
+    for c in m.group(2):
+        said = said * 62 + _DIGITS.index(c)
+    return crc == said
+
+
+def web_token(value: str) -> bool:
+    """Whether the first part of a JSON web token decodes to an object that names an algorithm or a type."""
+    head = value.split(".", 1)[0]
+    try:
+        found = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+    except ValueError:
+        return False
+    return isinstance(found, dict) and ("alg" in found or "typ" in found or "enc" in found)
+
+
+def proof(secret: str) -> str:
+    """What stands for a secret that was found: its checksum, its structure, or only the text around it."""
+    if checksum(secret):
+        return "checksum"
+    return "structure" if secret.startswith("-----BEGIN") or _ISSUER.fullmatch(secret) else "context"
+
+
 def usable(value: str, kind: str, name: str = "") -> bool:
     """Structure that a real secret has: no placeholder, reference or plain word, enough variety for its length."""
     if len(value) < 6 or _NOT.match(value) or _HEX_ID.fullmatch(value):
@@ -201,6 +248,8 @@ def usable(value: str, kind: str, name: str = "") -> bool:
     if value[0] == "/":  # a path, unless it looks like base64
         return digit and upper and lower and bool(re.fullmatch(r"[A-Za-z0-9+/]{20,}={0,2}", value))
     if kind == "issuer":
+        if value.startswith("eyJ"):
+            return web_token(value)
         return digit or mixed or value.startswith(("AKIA", "ASIA"))
     if kind in ("url", "netrc", "flag_p", "flag_u", "sql"):
         return digit or upper and lower or (upper and other) or len(value) >= 12
@@ -243,13 +292,34 @@ def find_secrets(value: str, is_json: bool = False) -> list[tuple[int, int]]:
     return [(at[a], at[b - 1] + 1 if value[at[b - 1]] != "\\" else at[b]) for a, b in spans] if at else spans
 
 
-def mask(secret: str) -> str:
-    """A placeholder of the same length and alphabets; marker lines of key blocks stay."""
-    def plain(s: str) -> str:
-        return "".join("0" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in s)
+#: Alphabets whose placeholders keep to them, as (all characters, lower-case letter, upper-case letter, digit).
+ALPHABETS = (
+    (re.compile(r"[0-9a-f]+"), "a", "A", "0"),  # hex
+    (re.compile(r"[0-9A-F]+"), "a", "A", "0"),
+    (re.compile(r"[A-Z2-7]+"), "a", "A", "2"),  # base32
+    (re.compile(r"[1-9A-HJ-NP-Za-km-z]+"), "x", "X", "1"),  # base58
+    (re.compile(r".*", re.S), "x", "X", "0"),
+)
+_MARKER = re.compile(r"(-----(?:BEGIN|END) [A-Z0-9 ]+-----)")
+_KEPT = re.compile(r"\\u[0-9a-fA-F]{4}|\\[\"\\/bfnrt]|%[0-9A-Fa-f]{2}")
 
-    parts = re.split(r"(-----(?:BEGIN|END) [A-Z0-9 ]+-----)", secret)
-    return "".join(p if p.startswith("-----") else re.sub(r"(\\u[0-9a-fA-F]{4}|\\[\"\\/bfnrt])|([^\\]+|\\)", lambda m: m.group(1) or plain(m.group(2)), p) for p in parts)
+
+def mask(secret: str) -> str:
+    """A placeholder of the same length and alphabet; marker lines of key blocks and JSON escapes stay, escapes of URLs become another's."""
+    out = []
+    for part in _MARKER.split(secret):
+        if part.startswith("-----"):
+            out.append(part)
+            continue
+        plain = "".join(c for c in _KEPT.sub("", part) if c.isalnum())
+        low, up, digit = next(x[1:] for x in ALPHABETS if x[0].fullmatch(plain))
+        last = 0
+        for m in [*_KEPT.finditer(part), None]:
+            out += [digit if c.isdigit() else up if c.isupper() else low if c.isalpha() else c for c in part[last : m.start() if m else len(part)]]
+            if m:
+                out.append("%58" if m.group(0)[0] == "%" else m.group(0))
+                last = m.end()
+    return "".join(out)
 
 
 def redact(value: str | None, is_json: bool = False) -> str | None:
@@ -268,7 +338,7 @@ def _fields(events: DataFrame) -> DataFrame:
 
 
 def secrets(events: DataFrame) -> DataFrame:
-    """(event_id, field_name, secret_text, n_places), one row per secret value and field."""
+    """(event_id, field_name, secret_text, n_places, proof), one row per secret value and field."""
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, rows = batch.column(0).to_pylist(), []
@@ -278,10 +348,10 @@ def secrets(events: DataFrame) -> DataFrame:
                     counts: dict[str, int] = {}
                     for a, b in spans:
                         counts[v[a:b]] = counts.get(v[a:b], 0) + 1
-                    rows += [(ids[i], field, s, n) for s, n in counts.items()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.string(), pa.string(), pa.int32()))], names=["event_id", "field_name", "secret_text", "n_places"])
+                    rows += [(ids[i], field, s, n, proof(s)) for s, n in counts.items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string()))], names=["event_id", "field_name", "secret_text", "n_places", "proof"])
 
-    return map_batches(_fields(events), find, "event_id long, field_name string, secret_text string, n_places int")
+    return map_batches(_fields(events), find, "event_id long, field_name string, secret_text string, n_places int, proof string")
 
 
 def redacted(events: DataFrame) -> DataFrame:
