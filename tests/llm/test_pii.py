@@ -32,6 +32,45 @@ def test_none(text):
     assert F.find(text) == []
 
 
+@pytest.mark.parametrize("text,value", [("415-867-2390", "415-867-2390"), ("Call 415-867-2390 tomorrow", "415-867-2390"), ("ask 020 7123 4567", "020 7123 4567"), ("or (212) 736-3100.", "(212) 736-3100"), ("T +33 1 42 68 53 00", "+33 1 42 68 53 00")])
+def test_phones_of_any_range(text, value):
+    assert [(k, text[a:b]) for a, b, k in P.Finder(P.Roster([])).find(text)][:1] == [("phone", value)]
+
+
+@pytest.mark.parametrize("text,name", [("reviewer: Maria Gonzalez", "Maria Gonzalez"), ("Signed-off-by: Nguyen, Linh", "Nguyen, Linh"), ("paired with Øyvind Strøm on it", "Øyvind Strøm"), ("thanks to J. Okafor", "J. Okafor"), ("approved by Ana-Lucía O'Neill.", "Ana-Lucía O'Neill")])
+def test_names_behind_cues_need_no_roster(text, name):
+    for people in ([], PEOPLE):
+        assert [(k, text[a:b]) for a, b, k in P.Finder(P.Roster(people)).find(text)] == [("person_name", name)]
+
+
+@pytest.mark.parametrize("text", ["approved by Release Bot", "reviewer: Platform Team", "thanks to The Cache", "order 123-456-7890", "at 2026-03-01 12-30-45", "id 0.123.456.7890", "Maria Gonzalez"])
+def test_no_names_no_phones(text):
+    assert P.Finder(P.Roster([])).find(text) == []
+
+
+def held_out():
+    """Numbers of other ranges and names of other people than the fixtures', in other sentences."""
+    import random
+
+    rng = random.Random(5)
+    digits = lambda n, first="23456789": rng.choice(first) + "".join(rng.choice("0123456789") for _ in range(n - 1))
+    out = []
+    for _ in range(30):
+        a, b, c = digits(3), digits(3), digits(4, "0123456789")
+        out += [(f, "phone") for f in (f"{a}-{b}-{c}", f"({a}) {b}-{c}", f"+1 {a} {b} {c}", f"{a}.{b}.{c}", f"+44 20 {digits(4)} {digits(4)}", f"020 {digits(4, '378')} {digits(4)}", f"+49 30 {digits(8)}", f"+33 {digits(3, '1')} {digits(6)}")]
+    given = ["María", "Jürgen", "Aoife", "Kwame", "Priya", "Tomasz", "Linh", "Søren", "Ngozi", "Pierre"]
+    family = ["González", "Müller", "O'Sullivan", "Mensah", "Iyer", "Kowalski", "Nguyễn", "Kierkegaard", "Adeyemi", "Dubois"]
+    cues = ["reviewer: {}", "Reviewed-by: {}", "Signed-off-by: {}", "Co-authored-by: {}", "TODO({}): fix", "thanks to {} for this", "paired with {} on it", "approved by {}.", "author: {}", "assignee: {}"]
+    out += [(cue.format(f"{g} {f}"), f"{g} {f}") for cue in cues for g, f in zip(rng.sample(given, 8), rng.sample(family, 8))]
+    return [(f"please use {t} there", t, "phone") if k == "phone" else (t, k, "person_name") for t, k in out]
+
+
+def test_recall_on_held_out_forms():
+    finder, cases = P.Finder(P.Roster(PEOPLE)), held_out()
+    missed = [(t, v) for t, v, kind in cases if (kind, v) not in [(k, t[a:b]) for a, b, k in finder.find(t)]]
+    assert len(missed) <= 0.1 * len(cases)
+
+
 def test_tables(spark):
     frame = spark.createDataFrame([(1, "a@b.test or a@b.test", "x"), (2, None, "y"), (None, "", None)], "event_id long, text string, pii_type string")
     people = spark.createDataFrame(PEOPLE, "given_name string, family_name string")

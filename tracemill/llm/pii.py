@@ -1,17 +1,18 @@
 """Personal information in free text (problem 5).
 
 Anchor expansion: one Aho-Corasick pass finds anchors (at-signs and their spellings, identifier cues, street
-words, given names, cues of names and phone numbers); around each, a deterministic parser expands to the
-boundaries of the value and validates it. What stands in a text is found by its own structure, so the
-roster of people only adds given names and word parts of family names; people who are not on it are found by
-those parts and by cues such as ``reviewer:``.
+words, given names, cues of names), one more scan groups of digits long enough for a phone number; around each, a
+deterministic parser expands to the boundaries of the value and validates it, phone numbers by the numbering plan of their
+form. What stands in a text is found by its own structure, so the roster of people only adds given names and word
+parts of family names; people who are not on it are found by those parts, and two capitalised words behind a
+cue such as ``reviewer:`` are a name whoever it is.
 
 Defined results
 * Null and empty texts hold nothing; a value that stands twice in a text is one row, replaced at each place.
 * Very long texts are searched whole. Values don't overlap: e-mail, address, id number, phone, name, in this order.
 * Service logins, shell prompts, package names and URL credentials are no e-mail addresses; numbers of ten digits
   are phone numbers only behind a cue; id numbers only behind their label.
-* An empty or null roster leaves the names behind cues.
+* An empty or null roster leaves the names behind cues. Words of ``NO_NAMES`` are teams and machines, not people.
 """
 
 from __future__ import annotations
@@ -36,11 +37,12 @@ _SPELT = re.compile(r"(?<![\w.+%@-])([\w.+%-]*\w)(?: ?(?:\[at\]|\(at\)|\{at\}|<a
 
 _PHONE = re.compile(
     r"""(?<![\w.+/@-])(?:
-      \+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}
+      \+1[ .-]?\(?[2-9]\d{2}\)?[ .-]?[2-9]\d{2}[ .-]?\d{4}
     | (?:\+|00)44[ -]?(?:\(0\)[ -]?)?\d{2,4}[ -]\d{3,4}[ -]\d{3,4}
     | (?:\+|00)\d{2,3}[ -]?(?:\(0\) ?)?\d{2,5}[ /-]?\d{3,9}(?:[ -]\d{1,4}(?![\d]))?
-    | \(\d{3}\)[ ]?\d{3}[ .-]\d{4}
-    | \d{3}([.-])\d{3}\1\d{4}
+    | (?:\+|00)\d{2,3}(?:[ .-]?\(0\))?(?:[ .-]\d{1,4}){3,6}
+    | \([2-9]\d{2}\)[ ]?[2-9]\d{2}[ .-]\d{4}
+    | [2-9]\d{2}([.-])[2-9]\d{2}\1\d{4}
     | 0\d{2}[ ]\d{4}[ ]\d{4}
     | 0\d{3,4}[ ]\d{3}[ ]\d{3,4}
     | 0\d{2,4}[/]\d{3,9}(?:-\d{1,5})?
@@ -79,7 +81,6 @@ _ADDRESS = re.compile(rf"(?<![\w-])(?:{'|'.join(_STREETS)}){_GAP}{_PLACE}")
 #: Anchors. The first of each pair names the parser, the rest are in lower case.
 ANCHORS = {
     "email": ("@", "(at)", "[at]", "{at}", "<at>", " dot "),
-    "phone": ("+", "(0)", "tel", "phone", "call me", "contact", "t:", "number", "hotline", "support line", "mobile", "fax", "555", "7946", "ring ", "reach", "whatsapp", "sms", ") "),
     "id": ("ssn", "social", "soc.", "sec", "nino", "ni number", "national", "passport", "reisepass", "dni", "nif", "nie", "documento", "identity", "id card", "ausweis", "tax", "steuer", "tin", "utr", "codice"),
     "address": ("road", " rd", "street", " st", "ave", "lane", "close", "gardens", "terrace", "drive", "court", "square", "blvd", "crescent", "straße", "strasse", "str.", "weg ", "platz", "allee", "gasse", "rue ", "calle ", "avenida", "plaza", "paseo", "flat ", " way", "place", "grove", "via ",
                 " ln", " dr", " ct", " pl", "boulevard", " hill", " mews", " row", " walk", " parade", " rise", " view", " quay", "ufer", "ring ", "damm", "chemin", "impasse", "quai", "allée", "c/", "avda", "camino", "viale", "rua "),
@@ -87,6 +88,15 @@ ANCHORS = {
 }
 
 
+#: Digits, with little between them, that are enough for a phone number.
+_DIGITS = re.compile(r"\d(?:[ ./()-]{0,2}\d){8,}")
+#: Words behind the cues of names that are no part of a person's name.
+NO_NAMES = {
+    "bot", "team", "teams", "board", "group", "committee", "council", "crew", "squad", "guild", "desk", "office", "department", "release", "build", "deploy", "service", "services", "system", "systems", "platform", "security",
+    "support", "engineering", "operations", "infrastructure", "backend", "frontend", "design", "product", "quality", "code", "the", "this", "that", "all", "everyone", "nobody", "none", "unknown", "automation", "manager", "owner", "owners", "request", "requests",
+}
+
+
 class Roster:
     """Given names and the word parts that family names are made of."""
 
@@ -117,6 +127,8 @@ _N = rf"{_L}(?:{_L}|['’-](?={_L}))+"
 _I = rf"(?:{_L}\.)"
 _PAIR = re.compile(rf"(?<![\w.@/'-])(?:(?P<a>{_N}|{_I})[ ](?P<b>{_N})|(?P<c>{_N}),[ ](?P<d>{_N}|{_I}))(?![\w@(/]|[.-]\w)")
 _CUE_BEFORE = re.compile(r"(?:(?:report|review|sign(?:ed-off)?|co-author|author|ack|test|suggest|approv)(?:ed)?-by:|review(?:er|ed by):?|author:|assignee:|owner:|approved by|\bper|todo\(|th(?:x|anks) to|paired with|\bcc:?|--\n)[ ]?$", re.I)
+#: Cues that only people follow.
+_PERSON_BEFORE = re.compile(r"(?:(?:report|review|sign(?:ed-off)?|co-author|author|ack|test|suggest|approv)(?:ed)?-by:|review(?:er|ed by):?|author:|assignee:|approved by|todo\(|th(?:x|anks) to|paired with)[ ]?$", re.I)
 _CUE_AFTER = re.compile(r" asked for ")
 
 
@@ -157,6 +169,7 @@ class Finder:
                     spans[-1][1] = b
                 else:
                     spans.append([a, b])
+        near["phone"] = [[m.start(), m.end()] for m in _DIGITS.finditer(text)]
         found: list[tuple[int, int, str]] = []
         for parser, search in (("email", self._emails), ("address", self._addresses), ("id", self._ids), ("phone", self._phones), ("name", self._names)):
             for a, b in near.get(parser, ()):
@@ -202,11 +215,13 @@ class Finder:
         at = a
         while m := _PAIR.search(text, at, b):
             given, family = (m.group("a"), m.group("b")) if m.group("a") else (m.group("d"), m.group("c"))
-            cue = bool(_CUE_BEFORE.search(text[max(0, m.start() - 24) : m.start()]) or _CUE_AFTER.match(text, m.end()))
+            before = text[max(0, m.start() - 24) : m.start()]
+            cue = bool(_CUE_BEFORE.search(before) or _CUE_AFTER.match(text, m.end()))
             cased = family[0].isupper() and given[0].isupper()
             known_given, known_family = self.roster.is_given(given), self.roster.is_family(family)
-            plain = all(re.fullmatch(rf"{_L}\.|[^\W\d_a-z]?[^\W\d_A-Z'’-]+(?:['’-]{_L}+)?", w) for w in (given, family))
-            if known_given and known_family and (cased or cue) or cue and cased and plain and (known_given or known_family):
+            plain = all(re.fullmatch(rf"{_L}\.|(?:[^\W\d_a-z][^\W\d_A-Z'’-]*|[^\W\d_A-Z'’-]+)(?:['’-]{_L}+)?", w) for w in (given, family))
+            person = cased and plain and bool(_PERSON_BEFORE.search(before)) and not {given.lower(), family.lower()} & NO_NAMES
+            if known_given and known_family and (cased or cue) or cue and cased and plain and (known_given or known_family) or person:
                 yield m.start(), m.end(), "person_name"
                 at = m.end()
             else:
