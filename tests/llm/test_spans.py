@@ -18,7 +18,7 @@ def brute(docs, span):
     return {d: len(c) for d, c in out.items() if c}
 
 
-@pytest.mark.parametrize("hot", [1000, 3])
+@pytest.mark.parametrize("hot", [1000, 3, 1])
 def test_like_brute_force(spark, hot):
     rng = random.Random(hot)
     word = lambda: "".join(rng.choices("abcdefgé漢😀 ", k=rng.randrange(1, 9)))
@@ -47,9 +47,27 @@ def test_repeats_within_a_document_and_equal_ids(spark):
     assert S.shared_spans(frame.limit(0)).count() == 0
 
 
-def test_borders_do_not_shift():
+def test_chunks_do_not_shift(monkeypatch):
     rng = random.Random(2)
     text = "".join(rng.choices("abcdefghij ", k=3000))
-    a, b = S.borders(S.code_points(text)), S.borders(S.code_points("inserted " + text)) - 9
+    texts = [text, "inserted " + text, "short", "", text[:301]]
+    which, keys, starts, ends = S.chunk_pairs(texts)
+    of = lambda i: [(int(k), int(a), int(b)) for t, k, a, b in zip(which, keys, starts, ends) if t == i]
     w = S.near(300)
-    assert set(a[a > 2 * w]) == set(b[b > 2 * w]) and max(b2 - b1 for b1, b2 in zip(a, a[1:])) <= w
+    late = lambda rows, n: {(k, a - n, b - n) for k, a, b in rows if a > 2 * w + n}
+    assert late(of(0), 0) == late(of(1), 9) and max(b - a for _, a, b in of(0)) <= 2 * w and not of(2) and not of(3)
+    # one by one as together, and the first 301 characters have a pair that the whole text has too
+    assert all(of(i) == [(int(k), int(a), int(b)) for _, k, a, b in zip(*S.chunk_pairs([t]))] for i, t in enumerate(texts)) and set(of(4)) & set(of(0))
+    monkeypatch.setattr(S, "SLICE", 10)
+    assert S.slices(["aaaa", "b" * 20, "c", ""]) == [(0, 2), (2, 4)] and S.slices([]) == []
+
+
+def test_a_group_is_bounded_and_rows_of_one_id_stay_apart(spark):
+    rng = random.Random(4)
+    text = "".join(rng.choices("abcdefghij ", k=60_000))
+    rows = [(1, text), *((d, text[a : a + 900]) for d, a in enumerate(range(0, 59_000, 700), 2)), (500, "x" + text[100:700]), (500, "y" + text[30_000:30_600]), (500, "z" * 400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", S.F.hash("text"))
+    groups = S.carved(frame, S.marked(frame), 1000, 300).groupBy("least", "reach").agg(S.F.sum(S.F.length("part")).alias("n")).collect()
+    assert len(groups) > 5 and max(g.n for g in groups) < 6 * S.REACH
+    got = {r.doc_id: r.n for r in S.shared_spans(frame).groupBy("doc_id").agg(S.F.sum(S.F.col("end") - S.F.col("start")).alias("n")).collect()}
+    assert got == brute(rows, 300)

@@ -8,10 +8,13 @@ them: at least one pair of consecutive chunks is the same in all copies. So docu
 the digests of chunk pairs without losing any span, and only text around digests of two or more
 documents is compared, exactly.
 
-Comparing is linear, never by pairs: a digest's documents send the text around it to one task, named by their least
-doc_id, that sorts the hashes of all windows of ``SPAN`` characters there and then compares the characters themselves.
-A digest of more than ``HOT`` documents is compared by a distributed aggregation over the window hashes instead,
-so no task holds an unbounded group.
+Each text is chunked once; digests and places are kept in the checkpoint folder, one row a document, and what is
+carved from the texts later goes by those places. Comparing is linear, never by pairs: a digest's documents send the text around it to the group
+of digests that begin in the same ``REACH`` characters of the least document that has it. So overlapping text goes
+once, and a group is bounded: by the digests of that stretch, of ``HOT`` documents each at most. It sorts the hashes of all
+windows of ``SPAN`` characters there and then compares the characters themselves. A digest of more than ``HOT`` documents is
+compared by distributed aggregations instead: texts around it that several documents have are shared as a whole, and
+each distinct one of the others goes through an aggregation over the hashes of its windows.
 
 Defined results
 * Characters are Unicode code points, compared as they are. Null texts and texts shorter than ``SPAN`` share nothing.
@@ -23,13 +26,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.runtime import map_batches, table
+from tracemill.runtime import cut, map_batches, table
 
-SPAN, GEAR, HOT = 300, 32, 1000
+SPAN, GEAR, HOT, REACH = 300, 32, 200, 8192
+#: Characters that are chunked together.
+SLICE = 1 << 20
 _BASES = (np.uint64(6364136223846793005), np.uint64(0x9E3779B97F4A7C15))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -56,30 +60,53 @@ def gear(codes: np.ndarray) -> np.ndarray:
     return h
 
 
-def borders(codes: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """Where chunks begin: places of least hashes, as indexes of the last character hashed."""
+def chunk_pairs(texts: list[str], span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, digest, start, end) of each two consecutive chunks of the texts, all in one array.
+
+    Chunks begin at places of least hashes: of each window of hashes within a text the rightmost least one.
+    """
     w = near(span)
-    if len(codes) < GEAR + w - 1:
-        return np.zeros(0, np.int64)
-    h = gear(codes).astype(np.uint64)
+    none = np.zeros(0, np.int64)
+    codes = [code_points(t) for t in texts]
+    ends = np.cumsum([len(c) for c in codes])
+    whole = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+    if len(whole) < GEAR + w - 1:
+        return none, none, none, none
+    owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+    h = gear(whole).astype(np.uint64)
     # the place is part of the value, so that the rightmost of equal hashes is the least
     v = (h << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - np.arange(len(h), dtype=np.uint64))
-    least, done = v, 1
+    done = 1
     while done < w:
         step = min(done, w - done)
-        least = np.minimum(least[step:], least[:-step])
+        v = np.minimum(v[step:], v[:-step])
         done += step
-    picked = (np.uint64(0xFFFFFFFF) - (least & np.uint64(0xFFFFFFFF))).astype(np.int64)
-    return np.unique(picked) + GEAR - 1
-
-
-def chunk_pairs(text: str, span: int = SPAN) -> list[tuple[int, int, int]]:
-    """(digest, start, end) of each two consecutive chunks."""
-    if len(text) < span:
-        return []
-    codes = code_points(text)
-    at, raw = borders(codes, span).tolist(), memoryview(codes.tobytes())
-    return [(xxhash.xxh3_64_intdigest(raw[4 * a : 4 * b]) - (1 << 63), a, b) for a, b in zip(at, at[2:])]
+    inside = owner[: len(v)] == owner[GEAR + w - 2 : GEAR + w - 2 + len(v)]
+    place = (np.uint64(0xFFFFFFFF) - (v[inside] & np.uint64(0xFFFFFFFF))).astype(np.int64)
+    # windows slide, so places never fall
+    at = place[np.concatenate([[True], place[1:] != place[:-1]])] + GEAR - 1 if len(place) else none
+    if len(at) < 3:
+        return none, none, none, none
+    step = np.diff(np.append(at, at[-1] + 1))
+    up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(w + 1, _BASES[0], np.uint64)]))
+    power = up[np.minimum(np.arange(at[0], at[-1] + 1) - np.repeat(at, step), w + 1)]
+    one = np.add.reduceat((whole[at[0] : at[-1] + 1].astype(np.uint64) + np.uint64(7)) * power, at - at[0])
+    both = one[:-2] + up[np.minimum(step[:-2], w + 1)] * one[1:-1]
+    both = (both ^ (both >> np.uint64(31))) * _BASES[1]
+    same = owner[at[:-2]] == owner[at[2:]]
+    text, first = owner[at[:-2]][same], np.concatenate([[0], ends[:-1]])
+    return text, (both ^ (both >> np.uint64(29))).view(np.int64)[same], at[:-2][same] - first[text], at[2:][same] - first[text]
+
+
+def slices(texts: list[str]) -> list[tuple[int, int]]:
+    """Runs of texts of about ``SLICE`` characters together."""
+    out, start, n = [], 0, 0
+    for i, t in enumerate(texts):
+        n += len(t)
+        if n >= SLICE or i == len(texts) - 1:
+            out.append((start, i + 1))
+            start, n = i + 1, 0
+    return out
 
 
 def _ladder(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,67 +178,100 @@ def _table(names: str, rows: list, types: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names=names.split())
 
 
-def shared_spans(documents: DataFrame, span: int = SPAN, hot: int = HOT) -> DataFrame:
-    """(doc_id, start, end), the stretches of each document, apart from each other, that lie in spans shared with others."""
-    texts = documents.select("doc_id", "text").where("doc_id is not null").where(F.length("text") >= span)
-    i64, i32 = pa.int64(), pa.int32()
-
-    def chunk(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, owners = [], []
-        for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = {k for k, _, _ in chunk_pairs(t, span)}
-            keys += own
-            owners += [d] * len(own)
-        return pa.RecordBatch.from_arrays([pa.array(keys, i64), pa.array(owners, i64)], names=["key", "doc_id"])
-
-    keys = map_batches(texts, chunk, "key long, doc_id long")
-    groups = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least <> most")
-
-    def marked(chosen: DataFrame) -> DataFrame:
-        """The texts that hold some of the chosen digests, with those. A document has no more of them than characters."""
-        member = keys.join(chosen, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "gid")).alias("marks"))
-        return texts.join(member, "doc_id")
-
-    def around(text: str, marks: list[dict]) -> list[tuple[int | None, int, int]]:
-        gid_of = {m["key"]: m["gid"] for m in marks}
-        ranges: dict[int | None, list[list[int]]] = {}
-        for k, a, b in chunk_pairs(text, span):
-            if k in gid_of:
-                lo, hi = max(0, b - span), min(len(text), a + span)
-                own = ranges.setdefault(gid_of[k], [])
-                if own and lo <= own[-1][1] - span + 1:
-                    own[-1][1] = max(hi, own[-1][1])
-                else:
-                    own.append([lo, hi])
-        return [(g, lo, hi) for g, own in ranges.items() for lo, hi in own if hi - lo >= span]
+def marked(texts: DataFrame, span: int = SPAN) -> DataFrame:
+    """(doc_id, row, keys, starts, ends): the chunk pairs of each text. ``row`` tells the rows of one doc_id apart."""
+
+    def chunk(batch: pa.RecordBatch) -> pa.Table:
+        docs, rows, every, out = batch.column(0), batch.column(1), batch.column(2).to_pylist(), []
+        for lo, hi in slices(every):
+            part = every[lo:hi]
+            text, key, start, end = chunk_pairs(part, span)
+            at = pa.array(np.searchsorted(text, np.arange(len(part) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x, kind)) for x, kind in ((key, pa.int64()), (start.astype(np.int32), pa.int32()), (end.astype(np.int32), pa.int32()))]
+            out.append(pa.RecordBatch.from_arrays([docs.slice(lo, hi - lo), rows.slice(lo, hi - lo), *lists], names=["doc_id", "row", "keys", "starts", "ends"]))
+        return pa.Table.from_batches(out)
+
+    return map_batches(texts.select("doc_id", "row", "text"), chunk, "doc_id long, row int, keys array<long>, starts array<int>, ends array<int>")
+
+
+def carved(texts: DataFrame, marks: DataFrame, hot: int, span: int) -> DataFrame:
+    """(least, reach, doc_id, start, part): the text around digests of several documents, for the group that compares it; crowded ones have no group."""
+    each = marks.select("doc_id", "row", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("starts").alias("start"), F.col("ends").alias("end"))))
+    groups = each.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("first.doc_id <> most")
+    usual = F.col("n") <= hot
+    chosen = groups.select("key", F.when(usual, F.col("first.doc_id")).alias("least"), F.when(usual, F.floor(F.col("first.start") / REACH).cast("int")).alias("reach"))
+    # a document has no more of them than characters
+    member = each.join(chosen, "key").groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("least", "reach", "start", "end"))).alias("marks"))
+
+    def around(text: str, found: list[dict]) -> list[tuple[int | None, int | None, int, str]]:
+        out: list[list] = []
+        for m in found:
+            lo, hi = max(0, m["end"] - span), min(len(text), m["start"] + span)
+            if out and out[-1][0] == m["least"] and out[-1][1] == m["reach"] and lo <= out[-1][3] - span + 1:
+                out[-1][3] = max(hi, out[-1][3])
+            else:
+                out.append([m["least"], m["reach"], lo, hi])
+        return [(g, r, lo, text[lo:hi]) for g, r, lo, hi in out if hi - lo >= span]
 
     def carve(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(g, d, lo, t[lo:hi]) for d, t, m in zip(*(c.to_pylist() for c in batch.columns)) for g, lo, hi in around(t, m)]
-        return _table("gid doc_id start part", rows, (i64, i64, i32, pa.string()))
+        rows = []
+        for d, t, found in zip(*(c.to_pylist() for c in batch.columns)):
+            rows += [(g, r, d, lo, part) for g, r, lo, part in around(t, found)]
+        return _table("least reach doc_id start part", rows, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string()))
 
-    def parts(chosen: DataFrame) -> DataFrame:
-        return map_batches(marked(chosen), carve, "gid long, doc_id long, start int, part string")
+    joined = texts.join(member, ["doc_id", "row"]).select("doc_id", "text", "marks")
+    return map_batches(joined, carve, "least long, reach int, doc_id long, start int, part string")
 
-    def compare(group: pa.Table) -> pa.Table:
-        docs, starts, pieces = (group.column(c).to_pylist() for c in ("doc_id", "start", "part"))
-        rows = shared_stretches(docs, starts, pieces, span) if len(set(docs)) > 1 else []
-        return pa.Table.from_batches([_table("doc_id start end", rows, (i64, i32, i32))])
 
-    usual = parts(groups.where(F.col("n") <= hot).select("key", F.col("least").alias("gid"))).groupBy("gid").applyInArrow(compare, "doc_id long, start int, end int")
+def crowded_stretches(parts: DataFrame, span: int) -> DataFrame:
+    """(doc_id, start, end) of what parts (doc_id, start, part) of any number of documents have in common, as aggregations.
+
+    Parts that several documents have are shared as they are. Of each distinct one windows are compared with those of all others.
+    """
+    keyed = parts.withColumn("id", F.xxhash64("part", F.lit(1))).withColumn("check", F.xxhash64("part", F.lit(2)))
+    one = ["id", "check"]
+    distinct = keyed.groupBy(*one).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("part").alias("part"))
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list[np.ndarray]] = [[], [], [], []]
-        for d, o, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "part"))):
+        cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(6)]
+        for i, c, a, b, t in zip(*(batch.column(x).to_pylist() for x in (*one, "least", "most", "part"))):
             codes = code_points(t)
-            h, g = (window_hashes(codes, span, b).view(np.int64) for b in (0, 1))
-            for c, x in zip(cols, (h, g, np.full(len(h), d), o + np.arange(len(h), dtype=np.int32))):
-                c.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["h", "g", "doc_id", "at"])
-
-    every = map_batches(parts(groups.where(F.col("n") > hot).select("key", F.lit(None).cast("long").alias("gid"))), windows, "h long, g long, doc_id long, at int")
-    common = every.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("h", "g")
-    crowded = every.join(common, ["h", "g"]).select("doc_id", F.col("at").alias("start"), (F.col("at") + span).alias("end"))
-    return merge(usual.unionByName(crowded))
+            h, g = (window_hashes(codes, span, base).view(np.int64) for base in (0, 1))
+            for col, x in zip(cols, (h, g, np.full(len(h), i), np.full(len(h), c), np.full(len(h), a), np.arange(len(h)))):
+                col.append(x)
+            if a != b:  # a second document has them all
+                for col, x in zip(cols, (h, g, np.full(len(h), i), np.full(len(h), c), np.full(len(h), b), np.full(len(h), -1))):
+                    col.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["h", "g", *one, "doc_id", "at"])
+
+    every = map_batches(distinct, windows, "h long, g long, id long, check long, doc_id long, at long")
+    common = every.groupBy("h", "g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("h", "g")
+    flags = every.where("at >= 0").join(common, ["h", "g"]).groupBy(*one, F.floor(F.col("at") / REACH).alias("blk")).agg(F.array_sort(F.collect_set("at")).alias("places"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for i, c, places in zip(*(batch.column(x).to_pylist() for x in (*one, "places"))):
+            at = np.array(places)
+            cuts = np.flatnonzero(np.diff(at) > span)
+            rows += [(i, c, int(a), int(b) + span) for a, b in zip(at[np.concatenate([[0], cuts + 1])], at[np.concatenate([cuts, [len(at) - 1]])])]
+        return _table("id check from to", rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))
+
+    runs = map_batches(flags, run, "id long, check long, `from` int, `to` int")
+    return keyed.drop("part").join(runs, one).select("doc_id", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to")).alias("end"))
+
+
+def shared_spans(documents: DataFrame, span: int = SPAN, hot: int = HOT) -> DataFrame:
+    """(doc_id, start, end), the stretches of each document, apart from each other, that lie in spans shared with others."""
+    texts = documents.where("doc_id is not null").where(F.length("text") >= span).select("doc_id", F.hash("text").alias("row"), "text")
+    parts = carved(texts, cut(marked(texts, span)), hot, span)
+
+    def compare(group: pa.Table) -> pa.Table:
+        docs, starts, pieces = (group.column(c).to_pylist() for c in ("doc_id", "start", "part"))
+        rows = shared_stretches(docs, starts, pieces, span) if len(set(docs)) > 1 else []
+        return pa.Table.from_batches([_table("doc_id start end", rows, (pa.int64(), pa.int32(), pa.int32()))])
+
+    usual = parts.where("least is not null").groupBy("least", "reach").applyInArrow(compare, "doc_id long, start int, end int")
+    return merge(usual.unionByName(crowded_stretches(parts.where("least is null").select("doc_id", "start", "part"), span)))
 
 
 def merge(stretches: DataFrame) -> DataFrame:
