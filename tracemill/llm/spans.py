@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tracemill.runtime import cut, map_batches, table
 
-SPAN, GEAR, HOT, REACH = 300, 32, 200, 8192
+SPAN, GEAR, HOT, REACH = 300, 32, 1000, 8192
 #: Characters that are chunked together.
 SLICE = 1 << 20
 _BASES = (np.uint64(6364136223846793005), np.uint64(0x9E3779B97F4A7C15))
