@@ -179,34 +179,44 @@ def _table(names: str, rows: list, types: tuple) -> pa.RecordBatch:
 
 
 def marked(texts: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, row, keys, starts, ends): the chunk pairs of each text. ``row`` tells the rows of one doc_id apart."""
+    """(doc_id, keys, places): the chunk pairs of each text.
+
+    A place is one number, of which the lowest bit tells a key's first time in the text, then come 16 bits of length, 31 of the start and
+    15 of ``row``, which tells the rows of one doc_id apart (were two alike, each would be searched around the places of both).
+    """
 
     def chunk(batch: pa.RecordBatch) -> pa.Table:
-        docs, rows, every, out = batch.column(0), batch.column(1), batch.column(2).to_pylist(), []
+        docs, rows, every, out = batch.column(0), np.array(batch.column(1)).astype(np.int64) & 0x7FFF, batch.column(2).to_pylist(), []
         for lo, hi in slices(every):
-            part = every[lo:hi]
-            text, key, start, end = chunk_pairs(part, span)
-            at = pa.array(np.searchsorted(text, np.arange(len(part) + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(at, pa.array(x, kind)) for x, kind in ((key, pa.int64()), (start.astype(np.int32), pa.int32()), (end.astype(np.int32), pa.int32()))]
-            out.append(pa.RecordBatch.from_arrays([docs.slice(lo, hi - lo), rows.slice(lo, hi - lo), *lists], names=["doc_id", "row", "keys", "starts", "ends"]))
+            text, key, start, end = chunk_pairs(every[lo:hi], span)
+            order = np.lexsort((start, key, text))
+            first = np.ones(len(order), np.int64)
+            first[order[1:][(key[order[1:]] == key[order[:-1]]) & (text[order[1:]] == text[order[:-1]])]] = 0
+            place = rows[lo:hi][text] << 48 | start << 17 | (end - start) << 1 | first
+            at = pa.array(np.searchsorted(text, np.arange(hi - lo + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (key, place)]
+            out.append(pa.RecordBatch.from_arrays([docs.slice(lo, hi - lo), *lists], names=["doc_id", "keys", "places"]))
         return pa.Table.from_batches(out)
 
-    return map_batches(texts.select("doc_id", "row", "text"), chunk, "doc_id long, row int, keys array<long>, starts array<int>, ends array<int>")
+    return map_batches(texts.select("doc_id", "row", "text"), chunk, "doc_id long, keys array<long>, places array<long>")
 
 
 def carved(texts: DataFrame, marks: DataFrame, hot: int, span: int) -> DataFrame:
     """(least, reach, doc_id, start, part): the text around digests of several documents, for the group that compares it; crowded ones have no group."""
-    each = marks.select("doc_id", "row", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("starts").alias("start"), F.col("ends").alias("end"))))
-    groups = each.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("first.doc_id <> most")
+    each = marks.select("doc_id", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("place"))))
+    start = lambda place: F.shiftright(place, 17).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    groups = each.where(F.col("place").bitwiseAND(F.lit(1)) == 1).groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"), F.min_by("place", "doc_id").alias("place")).where("least <> most")
     usual = F.col("n") <= hot
-    chosen = groups.select("key", F.when(usual, F.col("first.doc_id")).alias("least"), F.when(usual, F.floor(F.col("first.start") / REACH).cast("int")).alias("reach"))
+    chosen = groups.select("key", F.when(usual, F.col("least")).alias("least"), F.when(usual, F.floor(start(F.col("place")) / REACH).cast("int")).alias("reach"))
     # a document has no more of them than characters
-    member = each.join(chosen, "key").groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("least", "reach", "start", "end"))).alias("marks"))
+    row = F.shiftright("place", 48).cast("int")
+    marks_of = F.array_sort(F.collect_list(F.struct("least", "reach", start(F.col("place")).alias("start"), F.shiftright("place", 1).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("n"))))
+    member = each.join(chosen, "key").groupBy("doc_id", row.alias("row")).agg(marks_of.alias("marks"))
 
     def around(text: str, found: list[dict]) -> list[tuple[int | None, int | None, int, str]]:
         out: list[list] = []
         for m in found:
-            lo, hi = max(0, m["end"] - span), min(len(text), m["start"] + span)
+            lo, hi = max(0, m["start"] + m["n"] - span), min(len(text), m["start"] + span)
             if out and out[-1][0] == m["least"] and out[-1][1] == m["reach"] and lo <= out[-1][3] - span + 1:
                 out[-1][3] = max(hi, out[-1][3])
             else:
@@ -219,7 +229,7 @@ def carved(texts: DataFrame, marks: DataFrame, hot: int, span: int) -> DataFrame
             rows += [(g, r, d, lo, part) for g, r, lo, part in around(t, found)]
         return _table("least reach doc_id start part", rows, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string()))
 
-    joined = texts.join(member, ["doc_id", "row"]).select("doc_id", "text", "marks")
+    joined = texts.withColumn("row", F.col("row").bitwiseAND(F.lit(0x7FFF))).join(member, ["doc_id", "row"]).select("doc_id", "text", "marks")
     return map_batches(joined, carve, "least long, reach int, doc_id long, start int, part string")
 
 
