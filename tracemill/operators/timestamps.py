@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracemill.runtime import table
+from tracemill.runtime import cut, table
 
 #: Hours east of Greenwich of the zone abbreviations that are understood.
 ABBREVIATIONS = {
@@ -162,17 +162,18 @@ def descriptors(sessions: DataFrame) -> DataFrame:
 
 
 def normalise_events(events: DataFrame, sessions: DataFrame) -> DataFrame:
-    """(event_id, ts, canonical, utc_micros, ambiguous, skipped) for every event; ``utc_micros`` is null where ``ts`` names no instant."""
-    parsed = parse(events.select("event_id", "session_id", "seq", "ts"), "ts")
-    is_local = F.col("utc").isNull() & F.coalesce("wall", "wall_mdy").isNotNull()
-    local = localise(parsed.where(is_local).join(descriptors(sessions), "session_id", "left"))
-    zoned = parsed.where(~is_local).select("event_id", "session_id", "seq", "ts", "canonical", F.col("utc").alias("early"), F.lit(None).cast("long").alias("late"), F.lit(False).alias("skipped"))
-    every = local.select(*zoned.columns).unionByName(zoned)
-    choice = settle(every.select("session_id", "seq", "early", "late"))
-    twice = every.where("late is not null").join(choice, ["session_id", "seq"], "left")
-    done = every.where("late is null").withColumn("use_late", F.lit(False)).unionByName(twice.select(*every.columns, "use_late"))
-    instant = F.when(F.coalesce("use_late", F.lit(False)), F.col("late")).otherwise(F.col("early"))
-    return done.select("event_id", "ts", "canonical", instant.alias("utc_micros"), F.col("late").isNotNull().alias("ambiguous"), "skipped")
+    """(event_id, canonical, utc_micros, ambiguous, skipped) for every event; ``utc_micros`` is null where ``ts`` names no instant.
+
+    Values are parsed once; what they came to is kept in the checkpoint folder, and only sessions that hold a local time which occurs
+    twice are gone through in order.
+    """
+    parsed = parse(events.select("event_id", "session_id", "seq", "ts"), "ts").drop("ts")
+    every = cut(localise(parsed.join(descriptors(sessions), "session_id", "left")).select("event_id", "session_id", "seq", "canonical", "early", "late", "skipped"))
+    twice = every.where("late is not null")
+    affected = every.select("session_id", "seq", "early", "late").join(twice.select("session_id").distinct(), "session_id", "left_semi")
+    settled = twice.join(settle(affected), ["session_id", "seq"], "left").withColumn("utc_micros", F.when(F.coalesce("use_late", F.lit(False)), F.col("late")).otherwise(F.col("early")))
+    done = every.where("late is null").withColumn("utc_micros", F.col("early")).unionByName(settled.drop("use_late"))
+    return done.select("event_id", "canonical", "utc_micros", F.col("late").isNotNull().alias("ambiguous"), "skipped")
 
 
 def normalise_sessions(sessions: DataFrame) -> DataFrame:
