@@ -32,6 +32,8 @@ def check(spark, links):
     rows = resolved.collect()
     assert {r.node: (r.root, r.depth, r.path) for r in rows} == want and len(rows) == len(want)
     assert {r.node: r.size for r in rows if r.size is not None} == dict(sizes)
+    plain = H.resolve(frame, sizes=False, paths=False).collect()
+    assert {r.node: (r.root, r.depth) for r in plain} == {n: w[:2] for n, w in want.items()} and all(r.path is None and r.size is None for r in plain)
     pairs = {(r.ancestor, r.node, r.distance) for r in H.descendants(resolved).collect()}
     assert pairs == {(a, n, len(p) - 1 - i) for n, (_, _, p) in want.items() if p for i, a in enumerate(p[:-1])}
 

@@ -4,8 +4,9 @@ Bottom-up leaf peeling: each round takes off the nodes without children and send
 As a chain would take a round per node, each round also splices out nodes with one child left, picked by a coin per node
 and round so that no two neighbours go at once: the child then hangs on the grandparent by a longer link. So the rounds
 grow with the logarithm of the nodes. What can't be taken off at last are nodes that hang on themselves: each
-stands for a cycle. In reverse order of peeling every node gets root, depth and path from its parent; nodes
-that end in a cycle get none. All descendants of all nodes are the pairs of a path's nodes.
+stands for a cycle. In reverse order of peeling every node gets root and depth from its parent, and its path where paths
+are asked for; nodes that end in a cycle get none. All descendants of all nodes are the pairs of a path's nodes:
+a list of them travels to no parent, as that of a root is the whole tree and would be one value in one task.
 
 Defined results
 * A parent that is null or not a node makes a root. A node listed twice with different parents keeps the
@@ -57,15 +58,15 @@ def _rooted(links: DataFrame) -> DataFrame:
     return rooted.join(counts, "node", "left").select("node", "parent", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def peel(given: DataFrame, rounds: int = 200) -> tuple[list[DataFrame], DataFrame]:
+def peel(given: DataFrame, paths: bool = True, rounds: int = 200) -> tuple[list[DataFrame], DataFrame]:
     """The nodes of each round, and what is left of cycles.
 
-    A node's row holds the node it hangs on by then (``up``), the nodes of that link with itself (``seg``), the number of nodes
-    gathered below it (``own``) and within the link (``extra``), and of its children the number left (``n``).
+    A node's row holds the node it hangs on by then (``up``), of the link's nodes with itself the highest (``top``), their number (``long``)
+    and, with ``paths``, all (``seg``), the number of nodes gathered below it (``own``) and within the link (``extra``), and of its children the number left (``n``).
     Every round is two exchanges of messages, up to the parents and down to the children of spliced nodes.
     """
-    state = given.select("node", F.col("parent").alias("up"), F.array("node").alias("seg"), F.lit(1).cast("long").alias("own"), F.lit(0).cast("long").alias("extra"), "n")
-    keep = ("up", "seg", "own", "extra", "n")
+    state = given.select("node", F.col("parent").alias("up"), F.col("node").alias("top"), F.lit(1).alias("long"), (F.array("node") if paths else F.lit(None).cast("array<string>")).alias("seg"), F.lit(1).cast("long").alias("own"), F.lit(0).cast("long").alias("extra"), "n")
+    keep = ("up", "top", "long", "seg", "own", "extra", "n")
     only = lambda c: F.first(c, ignorenulls=True)  # of one row that has it
     off: list[DataFrame] = []
     for k in range(rounds):
@@ -77,14 +78,15 @@ def peel(given: DataFrame, rounds: int = 200) -> tuple[list[DataFrame], DataFram
         merged = state.select("node", F.struct(*keep).alias("s")).unionByName(sent, allowMissingColumns=True).groupBy("node").agg(
             only("s").alias("s"), F.sum("sent").alias("sent"), F.count("sent").alias("leaves"), F.max("child").alias("child"), F.max("child_extra").alias("child_extra")
         )
-        now = merged.select("node", "s.up", "s.seg", (F.col("s.own") + F.coalesce("sent", F.lit(0))).alias("own"), "s.extra", F.col("s.n").alias("before"), (F.col("s.n") - F.col("leaves")).alias("n"), "child", "child_extra")
+        now = merged.select("node", "s.up", "s.top", "s.long", "s.seg", (F.col("s.own") + F.coalesce("sent", F.lit(0))).alias("own"), "s.extra", F.col("s.n").alias("before"), (F.col("s.n") - F.col("leaves")).alias("n"), "child", "child_extra")
         # out goes a leaf, or a node with one child and that no leaf, whose coin is heads while its parent's is tails
         chained = (F.col("before") == 1) & (F.col("n") == 1) & F.col("up").isNotNull() & (F.col("up") != F.col("node")) & heads("node") & ~heads("up")
         now = now.withColumn("go", F.when(F.col("before") == 0, "leaf").when(chained, "chain"))
-        down = now.where("go = 'chain'").select(F.col("child").alias("node"), F.struct("up", "seg", (F.col("own") + F.col("extra")).alias("more")).alias("over"))
+        down = now.where("go = 'chain'").select(F.col("child").alias("node"), F.struct("up", "top", "long", "seg", (F.col("own") + F.col("extra")).alias("more")).alias("over"))
         carried = now.select("node", F.struct(*keep, "go", "child", "child_extra").alias("s")).unionByName(down, allowMissingColumns=True)
         state = carried.groupBy("node").agg(only("s").alias("s"), only("over").alias("o")).select(
-            "node", F.coalesce("o.up", "s.up").alias("up"), F.when(F.col("o").isNotNull(), F.concat("o.seg", "s.seg")).otherwise(F.col("s.seg")).alias("seg"),
+            "node", F.coalesce("o.up", "s.up").alias("up"), F.coalesce("o.top", "s.top").alias("top"), (F.col("s.long") + F.coalesce("o.long", F.lit(0))).alias("long"),
+            F.when(F.col("o").isNotNull(), F.concat("o.seg", "s.seg")).otherwise(F.col("s.seg")).alias("seg"),
             "s.own", (F.col("s.extra") + F.coalesce("o.more", F.lit(0))).alias("extra"), "s.n", "s.go", "s.child", "s.child_extra", F.lit(k).alias("peeled"),
         )
         state = cut(state)
@@ -95,36 +97,38 @@ def peel(given: DataFrame, rounds: int = 200) -> tuple[list[DataFrame], DataFram
     raise RuntimeError(f"the hierarchy did not peel in {rounds} rounds")
 
 
-def resolve(links: DataFrame, sizes: bool = True) -> DataFrame:
+def resolve(links: DataFrame, sizes: bool = True, paths: bool = True) -> DataFrame:
     """(node, parent, root, depth, path, size, peeled) of every node of ``links`` (node, parent).
 
     ``size`` is that of the node's subtree, itself included; ``peeled`` the round that took it off, null for
-    what is left of cycles. Nodes in and below cycles have root '', depth -1 and path and size null.
+    what is left of cycles. Nodes in and below cycles have root '', depth -1 and path and size null. Without ``paths`` (and ``sizes``)
+    these are null, and no row grows with the depth of its tree.
     """
     given = cut(_rooted(links))
-    off, rest = peel(given)
+    off, rest = peel(given, paths)
     none = F.lit(None)
     done = rest.select("node", F.lit("").alias("root"), F.lit(-1).alias("depth"), none.cast("array<string>").alias("path"), none.cast("long").alias("size"), none.cast("int").alias("peeled"))
     lost = F.coalesce(F.col("depth") == -1, F.lit(False))
     for gone in reversed(off):
-        now = gone.join(done.select(F.col("node").alias("up"), "root", "depth", "path"), "up", "left")
+        above = ("root", "depth", "path") if paths else ("root", "depth")
+        now = gone.join(done.select(F.col("node").alias("up"), *above), "up", "left")
         if sizes:
             now = now.join(done.select(F.col("node").alias("child"), F.col("size").alias("child_size")), "child", "left")
         else:
             now = now.withColumn("child_size", none.cast("long"))
+        path = F.when(lost, none).when(F.col("up").isNull(), F.col("seg")).otherwise(F.concat("path", "seg")) if paths else none.cast("array<string>")
         fresh = now.select(
             "node",
-            F.when(lost, "").when(F.col("up").isNull(), F.col("seg")[0]).otherwise(F.col("root")).alias("root"),
-            F.when(lost, -1).when(F.col("up").isNull(), F.size("seg") - 1).otherwise(F.col("depth") + F.size("seg")).alias("depth"),
-            F.when(lost, none).when(F.col("up").isNull(), F.col("seg")).otherwise(F.concat("path", "seg")).alias("path"),
-            F.when(lost, none).otherwise(F.col("own") + F.when(F.col("go") == "chain", F.col("child_extra") + F.col("child_size")).otherwise(0)).alias("size"), "peeled",
+            F.when(lost, "").when(F.col("up").isNull(), F.col("top")).otherwise(F.col("root")).alias("root"),
+            F.when(lost, -1).when(F.col("up").isNull(), F.col("long") - 1).otherwise(F.col("depth") + F.col("long")).alias("depth"), path.alias("path"),
+            none.cast("long").alias("size") if not sizes else F.when(lost, none).otherwise(F.col("own") + F.when(F.col("go") == "chain", F.col("child_extra") + F.col("child_size")).otherwise(0)).alias("size"), "peeled",
         )
         done = done.unionByName(cut(fresh))
     return done.join(given.select("node", "parent"), "node")
 
 
-def hierarchy(sessions: DataFrame, events: DataFrame, sizes: bool = True) -> DataFrame:
-    return resolve(session_links(sessions).unionByName(stream_links(events)), sizes)
+def hierarchy(sessions: DataFrame, events: DataFrame, sizes: bool = True, paths: bool = True) -> DataFrame:
+    return resolve(session_links(sessions).unionByName(stream_links(events)), sizes, paths)
 
 
 def descendants(resolved: DataFrame) -> DataFrame:
@@ -133,12 +137,12 @@ def descendants(resolved: DataFrame) -> DataFrame:
     return up.where("ancestor <> node").select("ancestor", "node", (F.col("n") - 1 - F.col("at")).alias("distance"))
 
 
-def _of(spark: SparkSession, base: str, sizes: bool = False) -> DataFrame:
-    return hierarchy(table(spark, base, "sessions"), table(spark, base, "session_events"), sizes)
+def _of(spark: SparkSession, base: str, sizes: bool = False, paths: bool = True) -> DataFrame:
+    return hierarchy(table(spark, base, "sessions"), table(spark, base, "session_events"), sizes, paths)
 
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
-    return _of(spark, base).select(F.col("node").alias("node_key"), F.col("root").alias("root_key"), F.col("depth").alias("tree_depth"))
+    return _of(spark, base, paths=False).select(F.col("node").alias("node_key"), F.col("root").alias("root_key"), F.col("depth").alias("tree_depth"))
 
 
 def p6_tree(spark: SparkSession, base: str) -> DataFrame:
