@@ -1,14 +1,16 @@
 """Evaluation items that leak into training documents (problem 9).
 
-A BM25 inverted index of the items, with the highest score of each word in each block of items, is queried with every
-passage of every document. As in block-max WAND, a passage is left as soon as the bounds of its words cannot reach
-the threshold: first against the whole index, then block by block, then item by item. The threshold of an item is
-the least score that any ``SPAN`` consecutive words of it have, and scores only add up, so no leak is lost. What
-is retrieved is verified exactly: ``SPAN`` consecutive words of the item's own text, and how many of its words
-and of its answer's the document holds.
-
-All steps are vectorised over the passages of a document. The index is sent to the executors in parts of about ``PART``
-items, each with a pass of its own over the documents, so it is bounded however many items there are.
+A BM25 inverted index of the items is queried with every passage of ``SPAN`` consecutive words of every document. For each word it has
+the items that hold it, with their weights, and the blocks of items, with the highest weight in each. As in block-max
+WAND, a passage is left as soon as the bounds of its words cannot reach the threshold: first against the whole index; then
+only the blocks of its pivot, the word that the fewest blocks hold, are looked up, each against its bound; then the items of the
+blocks that are left. The threshold of an item is the least score that any ``SPAN`` consecutive words of it have, and
+scores only add up, so no leak is lost. What is retrieved is verified exactly: ``SPAN`` consecutive words of the
+item's own text, and how many of its words and of its answer's the document holds.
+
+Postings are sorted arrays, looked up for all passages of a document at once. Executors get the items' words, at most ``PART``
+items at a time, and build the index themselves, each worker once: 20,000 items of 60 words take about 100 MB there. More items
+take more passes over the documents, so memory is bounded however many there are.
 
 Defined results
 * Words are runs of letters and digits after NFKC, HTML unescaping, removal of invisible characters and lower-casing.
@@ -19,6 +21,7 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import unicodedata
@@ -79,46 +82,93 @@ def own_texts(items: list[tuple[int, str | None, str | None]], shared: set[str])
     return out
 
 
+class Postings:
+    """(word, holder, weight) in order, found by word and holder."""
+
+    def __init__(self, word: np.ndarray, holder: np.ndarray, weight: np.ndarray, n_words: int, n_holders: int):
+        key = word.astype(np.int64) * n_holders + holder
+        order = np.argsort(key, kind="stable")
+        key, weight = key[order], weight[order]
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.n, self.key = n_holders, key[head]
+        self.weight = np.maximum.reduceat(weight, head) if len(key) else weight
+        self.start = np.searchsorted(self.key, np.arange(n_words + 2, dtype=np.int64) * n_holders)
+        self.counts = np.diff(self.start)
+
+    def holders(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the words, holder) of all their postings."""
+        n = self.counts[words]
+        which = np.repeat(np.arange(len(words)), n)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[words], n)
+        return which, self.key[at] % self.n
+
+    def sums(self, passages: np.ndarray, holders: np.ndarray) -> np.ndarray:
+        """The weights of each passage's words at its holder, added up."""
+        want = passages.astype(np.int64) * self.n + holders[:, None]
+        at = np.minimum(np.searchsorted(self.key, want), max(0, len(self.key) - 1))
+        return np.where(self.key[at] == want, self.weight[at], np.float32(0)).sum(1)
+
+
 class Index:
-    """Postings of the items' words with BM25 weights, block maxima, thresholds and the spans to verify."""
+    """Postings of items and of blocks of them, thresholds, and the places of all spans to verify."""
 
     def __init__(self, items: list[tuple[int, list[str], list[str]]], span: int = SPAN):
         items = [x for x in items if len(x[1]) >= span]
         self.span, self.ids = span, [i for i, _, _ in items]
         self.vocabulary = {w: n for n, w in enumerate(sorted({w for _, ws, _ in items for w in ws}))}
         n, v = len(items), len(self.vocabulary)
-        self.weights = np.zeros((v + 1, n), np.float32)  # the last row is of unknown words
+        self.unknown, self.answers = v, [set(a) for _, _, a in items]
         mean = np.mean([len(ws) for _, ws, _ in items]) if items else 1.0
-        df = Counter(w for _, ws, _ in items for w in set(ws))
-        self.spans: dict[bytes, list[int]] = {}
+        self.coded = np.array([self.vocabulary[w] for _, ws, _ in items for w in ws], np.int32)
+        ends = np.cumsum([len(ws) for _, ws, _ in items]).astype(np.int64)
+        bag = [Counter(self.coded[a:b].tolist()) for a, b in zip(np.concatenate([[0], ends[:-1]]).astype(int), ends)] if items else []
+        word = np.array([w for c in bag for w in c], np.int64)
+        holder = np.repeat(np.arange(n), [len(c) for c in bag]) if items else np.zeros(0, np.int64)
+        tf = np.array([x for c in bag for x in c.values()], np.float64)
+        df = np.bincount(word, minlength=v) if v else np.zeros(0)
+        norm = K1 * (1 - B + B * np.array([len(ws) for _, ws, _ in items]) / mean) if items else np.zeros(0)
+        weight = (np.log(1 + (n - df[word] + 0.5) / (df[word] + 0.5)) * tf * (K1 + 1) / (tf + norm[holder])).astype(np.float32) if items else np.zeros(0, np.float32)
+        self.items = Postings(word, holder, weight, v, max(1, n))
+        self.blocks = Postings(word, holder // BLOCK, weight, v, max(1, -(-n // BLOCK)))
+        self.word_max = np.zeros(v + 1, np.float32)
+        np.maximum.at(self.word_max, word, weight)
+        # every span of every item: its place, its hash together with the item, and its score
+        item = np.repeat(np.arange(n), np.maximum(0, np.array([len(ws) - span + 1 for _, ws, _ in items], np.int64))) if items else np.zeros(0, np.int64)
+        size = np.array([len(ws) - span + 1 for _, ws, _ in items], np.int64)
+        first = np.concatenate([[0], ends[:-1]]).astype(np.int64) if items else np.zeros(0, np.int64)
+        place = np.arange(len(item)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size) if items else np.zeros(0, np.int64)
         self.threshold = np.full(n, np.inf, np.float32)
-        for k, (_, ws, _) in enumerate(items):
-            norm = K1 * (1 - B + B * len(ws) / mean)
-            for w, tf in Counter(ws).items():
-                idf = np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
-                self.weights[self.vocabulary[w], k] = idf * tf * (K1 + 1) / (tf + norm)
-            coded = np.array([self.vocabulary[w] for w in ws], np.int32)
-            for a in range(len(ws) - span + 1):
-                window = coded[a : a + span]
-                self.threshold[k] = min(self.threshold[k], self.weights[np.unique(window), k].sum())
-                held = self.spans.setdefault(window.tobytes(), [])
-                if k not in held:
-                    held.append(k)
+        for a in range(0, len(place), 65_536):
+            at = place[a : a + 65_536]
+            scores = self.items.sums(self._distinct(self.coded[at[:, None] + np.arange(span)]), item[a : a + 65_536])
+            np.minimum.at(self.threshold, item[a : a + 65_536], scores)
         self.threshold -= 1e-3
-        self.blocks = [(a, min(a + BLOCK, n)) for a in range(0, n, BLOCK)]
-        self.block_max = np.stack([self.weights[:, a:b].max(1) for a, b in self.blocks], 1) if n else np.zeros((1, 0), np.float32)
-        self.block_threshold = np.array([self.threshold[a:b].min() for a, b in self.blocks], np.float32)
-        self.word_max = self.weights.max(1) if n else np.zeros(1, np.float32)
+        self.block_threshold = np.minimum.reduceat(self.threshold, np.arange(0, n, BLOCK)) if n else np.zeros(0, np.float32)
         self.least = float(self.threshold.min()) if n else np.inf
-        self.answers = [set(a) for _, _, a in items]
-        self.unknown = v
+        named = self._hash(self.coded[place[:, None] + np.arange(span)], item) if n else np.zeros(0, np.uint64)
+        order = np.argsort(named, kind="stable")
+        self.named, self.place = named[order], place[order]
+
+    def _distinct(self, passages: np.ndarray) -> np.ndarray:
+        """The passages' words, each once; in place of the others the unknown word, which nothing holds."""
+        passages = np.sort(passages, 1)
+        first = np.concatenate([np.ones((len(passages), 1), bool), passages[:, 1:] != passages[:, :-1]], 1)
+        return np.where(first, passages, self.unknown)
+
+    @staticmethod
+    def _hash(passages: np.ndarray, item: np.ndarray) -> np.ndarray:
+        h = item.astype(np.uint64) + np.uint64(1)
+        for j in range(passages.shape[1]):
+            h = (h ^ (passages[:, j].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+        return h
 
     def encode(self, text: str) -> np.ndarray:
         get, unknown = self.vocabulary.get, self.unknown
         return np.array([get(w, unknown) for w in _WORD.findall(normalise(text))], np.int32)
 
-    def retrieve(self, coded: np.ndarray) -> list[tuple[int, int]]:
-        """(start, item) of the passages of ``span`` consecutive words that reach an item's threshold."""
+    def retrieve(self, coded: np.ndarray, most: int = 4096) -> list[tuple[int, int]]:
+        """(start, item) of the passages of ``span`` consecutive words that reach an item's threshold, looked up ``most`` passages at a time."""
         span, n = self.span, len(coded) - self.span + 1
         if n < 1 or not self.ids:
             return []
@@ -129,20 +179,33 @@ class Index:
             return []
         total = np.concatenate([[0.0], np.cumsum(self.word_max[coded].astype(np.float64))])
         starts = starts[total[starts + span] - total[starts] >= self.least - 1e-3]
-        if not len(starts):
-            return []
-        passages = np.sort(coded[starts[:, None] + np.arange(span)], 1)
-        first = np.concatenate([np.ones((len(passages), 1), bool), passages[:, 1:] != passages[:, :-1]], 1)
-        passages = np.where(first, passages, self.unknown)
         out = []
-        bounds = self.block_max[passages].sum(1)
-        for k in np.flatnonzero((bounds >= self.block_threshold).any(0)):
-            a, b = self.blocks[k]
-            near = np.flatnonzero(bounds[:, k] >= self.block_threshold[k])
-            scores = self.weights[:, a:b][passages[near]].sum(1)
-            out += [(int(starts[near[p]]), a + int(i)) for p, i in zip(*np.nonzero(scores >= self.threshold[a:b]))]
+        for a in range(0, len(starts), most):
+            out += self._look_up(coded, starts[a : a + most])
         return out
 
+    def _look_up(self, coded: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
+        passages = coded[starts[:, None] + np.arange(self.span)]
+        pivot = passages[np.arange(len(passages)), np.argmin(self.blocks.counts[passages], 1)]
+        passages = self._distinct(passages)
+        which, block = self.blocks.holders(pivot)
+        near = self.blocks.sums(passages[which], block) >= self.block_threshold[block]
+        which, block = which[near], block[near]
+        item = (block[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        which = np.repeat(which, BLOCK)[item < len(self.ids)]
+        item = item[item < len(self.ids)]
+        good = self.items.sums(passages[which], item) >= self.threshold[item]
+        return list(zip(starts[which[good]].tolist(), item[good].tolist()))
+
+    def holds(self, item: int, passage: np.ndarray) -> bool:
+        """Whether the item has exactly these words one after the other."""
+        h = self._hash(passage[None, :], np.array([item]))[0]
+        for at in range(np.searchsorted(self.named, h), np.searchsorted(self.named, h, "right")):
+            p = self.place[at]
+            if np.array_equal(self.coded[p : p + self.span], passage):
+                return True
+        return False
+
     def leaks(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item, words of its spans found, words of its answer found) of each item that leaks into the text."""
         if not text:
@@ -150,7 +213,7 @@ class Index:
         coded = self.encode(text)
         shared: dict[int, set[int]] = {}
         for start, item in self.retrieve(coded):
-            if item in self.spans.get(coded[start : start + self.span].tobytes(), ()):
+            if self.holds(item, coded[start : start + self.span]):
                 shared.setdefault(item, set()).update(range(start, start + self.span))
         if not shared:
             return []
@@ -165,10 +228,23 @@ def leaked(documents: DataFrame, items: DataFrame, span: int = SPAN, closing: in
     return reduce(DataFrame.unionByName, found)
 
 
+#: The index that this worker has built last, by what it is made of.
+_built: dict[str, Index] = {}
+
+
+def index_of(name: str, held: list, span: int) -> Index:
+    if name not in _built:
+        _built.clear()
+        _built[name] = Index(held, span)
+    return _built[name]
+
+
 def _leaked(documents: DataFrame, items: DataFrame, shared: set[str], span: int) -> DataFrame:
-    index = Index(own_texts([tuple(r) for r in items.select("item_id", "text", "answer").orderBy("item_id").collect()], shared), span)
+    held = own_texts([tuple(r) for r in items.select("item_id", "text", "answer").orderBy("item_id").collect()], shared)
+    name = hashlib.sha256(repr((span, held)).encode("utf-8", "surrogatepass")).hexdigest()
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:
+        index = index_of(name, held, span)
         found = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in index.leaks(t)]
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 4, types)], names=["doc_id", "item_id", "shared_words", "answer_words"])
