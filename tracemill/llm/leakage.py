@@ -95,12 +95,14 @@ class Postings:
         self.start = np.searchsorted(self.key, np.arange(n_words + 2, dtype=np.int64) * n_holders)
         self.counts = np.diff(self.start)
 
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Where all postings of the words are, word by word."""
+        n = self.counts[words]
+        return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[words], n)
+
     def holders(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of the words, holder) of all their postings."""
-        n = self.counts[words]
-        which = np.repeat(np.arange(len(words)), n)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[words], n)
-        return which, self.key[at] % self.n
+        return np.repeat(np.arange(len(words)), self.counts[words]), self.key[self.places(words)] % self.n
 
     def sums(self, passages: np.ndarray, holders: np.ndarray) -> np.ndarray:
         """The weights of each passage's words at its holder, added up."""
@@ -167,7 +169,7 @@ class Index:
         get, unknown = self.vocabulary.get, self.unknown
         return np.array([get(w, unknown) for w in _WORD.findall(normalise(text))], np.int32)
 
-    def retrieve(self, coded: np.ndarray, most: int = 4096) -> list[tuple[int, int]]:
+    def retrieve(self, coded: np.ndarray, most: int = 1024) -> list[tuple[int, int]]:
         """(start, item) of the passages of ``span`` consecutive words that reach an item's threshold, looked up ``most`` passages at a time."""
         span, n = self.span, len(coded) - self.span + 1
         if n < 1 or not self.ids:
@@ -185,40 +187,56 @@ class Index:
         return out
 
     def _look_up(self, coded: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
-        passages = coded[starts[:, None] + np.arange(self.span)]
-        pivot = passages[np.arange(len(passages)), np.argmin(self.blocks.counts[passages], 1)]
-        passages = self._distinct(passages)
-        which, block = self.blocks.holders(pivot)
-        near = self.blocks.sums(passages[which], block) >= self.block_threshold[block]
+        at = starts[:, None] + np.arange(self.span)
+        # the block postings of the words that occur here, as a table that is read by place
+        here, local = np.unique(coded[at], return_inverse=True)
+        local = local.reshape(at.shape)
+        word, holder = self.blocks.holders(here)
+        table = np.zeros((len(here), self.blocks.n), np.float32)
+        table[word, holder] = self.blocks.weight[self.blocks.places(here)]
+        pivot = local[np.arange(len(local)), np.argmin(self.blocks.counts[here][local], 1)]
+        n = self.blocks.counts[here]
+        first = np.cumsum(n) - n
+        which = np.repeat(np.arange(len(starts)), n[pivot])
+        block = holder[np.arange(len(which)) - np.repeat(np.cumsum(n[pivot]) - n[pivot], n[pivot]) + np.repeat(first[pivot], n[pivot])]
+        # repeated words count each time, which only raises the bound
+        bound = table[local[which, 0], block]
+        for j in range(1, self.span):
+            bound += table[local[which, j], block]
+        near = bound >= self.block_threshold[block]
         which, block = which[near], block[near]
         item = (block[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         which = np.repeat(which, BLOCK)[item < len(self.ids)]
         item = item[item < len(self.ids)]
-        good = self.items.sums(passages[which], item) >= self.threshold[item]
+        good = self.items.sums(self._distinct(coded[at])[which], item) >= self.threshold[item]
         return list(zip(starts[which[good]].tolist(), item[good].tolist()))
 
-    def holds(self, item: int, passage: np.ndarray) -> bool:
-        """Whether the item has exactly these words one after the other."""
-        h = self._hash(passage[None, :], np.array([item]))[0]
-        for at in range(np.searchsorted(self.named, h), np.searchsorted(self.named, h, "right")):
-            p = self.place[at]
-            if np.array_equal(self.coded[p : p + self.span], passage):
-                return True
-        return False
+    def held(self, items: np.ndarray, passages: np.ndarray) -> np.ndarray:
+        """Whether each item has exactly the words of its passage one after the other."""
+        h = self._hash(passages, items)
+        low, high = np.searchsorted(self.named, h), np.searchsorted(self.named, h, "right")
+        out = np.zeros(len(h), bool)
+        while (open := np.flatnonzero((low < high) & ~out)).size:
+            at = self.place[low[open]]
+            out[open] = (self.coded[at[:, None] + np.arange(self.span)] == passages[open]).all(1)
+            low[open] += 1
+        return out
 
     def leaks(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item, words of its spans found, words of its answer found) of each item that leaks into the text."""
         if not text:
             return []
         coded = self.encode(text)
+        found = np.array(self.retrieve(coded), np.int64).reshape(-1, 2)
+        if not len(found):
+            return []
         shared: dict[int, set[int]] = {}
-        for start, item in self.retrieve(coded):
-            if self.holds(item, coded[start : start + self.span]):
-                shared.setdefault(item, set()).update(range(start, start + self.span))
+        for start, item in found[self.held(found[:, 1], coded[found[:, :1] + np.arange(self.span)])].tolist():
+            shared.setdefault(item, set()).update(range(start, start + self.span))
         if not shared:
             return []
-        held = set(words(text))
-        return [(self.ids[k], len(places), len(self.answers[k] & held)) for k, places in sorted(shared.items())]
+        said = set(words(text))
+        return [(self.ids[k], len(places), len(self.answers[k] & said)) for k, places in sorted(shared.items())]
 
 
 def leaked(documents: DataFrame, items: DataFrame, span: int = SPAN, closing: int = CLOSING) -> DataFrame:
