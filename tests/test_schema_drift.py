@@ -36,11 +36,13 @@ def test_objects_in_place_of_values_fractions_and_order(spark):
     assert said(spark, files) == {("/d", "0.10.0", "type_changed", "meta.model", ""), ("/d", "0.10.0", "type_changed", "tool.duration_ms", "")}
 
 
-def test_unknown_names_are_renamed_only_when_alone_and_alike(spark):
-    base = {"/d/a.jsonl": [meta("1.0.0"), {"speed": 1}], "/d/b.jsonl": [meta("1.0.1"), {"velocity": 2}]}
-    assert said(spark, base) == {("/d", "1.0.1", "renamed", "velocity", "speed")}
-    base["/d/b.jsonl"].append({"height": 3})
-    assert {c[2] for c in said(spark, base)} == {"removed", "added"}
+def test_unknown_names_are_renamed_by_their_content(spark):
+    old = [meta("1.0.0"), *({"speed": 40 + i % 20, "site": f"rack-{i % 7}", "memo": "a sentence of some words " * (1 + i % 3), "gone": "g" * 30} for i in range(60))]
+    new = [meta("1.0.1"), *({"velocity": 41 + i % 19, "place": f"rack-{i % 5}", "remark": "other words in a sentence " * (1 + i % 3), "height": i % 3, "fresh": str(i) * 4} for i in range(60))]
+    got = {c[2:] for c in said(spark, {"/d/a.jsonl": old, "/d/b.jsonl": new})}
+    assert got == {("renamed", "velocity", "speed"), ("renamed", "place", "site"), ("renamed", "remark", "memo"), ("added", "height", ""), ("added", "fresh", ""), ("removed", "gone", "")}
+    # another type or other content is no heir
+    assert {c[2] for c in said(spark, {"/d/a.jsonl": [meta("1.0.0"), {"speed": 1}], "/d/b.jsonl": [meta("1.0.1"), {"velocity": "fast"}]})} == {"removed", "added"}
 
 
 def test_consistent_table(spark):

@@ -12,8 +12,9 @@ Defined results
 * ``tool``, ``meta`` and ``usage`` are containers when they are objects; any other object is one field.
 * A field that has several types in a release counts with the one most of its values have (ties: first by name).
 * A field that goes is renamed to one that comes in the same container if both are names of the same column of
-  ``FIELDS``, or the same words in another case style; or, for names that ``FIELDS`` doesn't know, if they
-  are the only ones left over in the container and of one type. What is left is removed and added.
+  ``FIELDS``, or the same words in another case style; or, for names that ``FIELDS`` doesn't know, if the one takes over the
+  other's content: of one type, each the other's nearest in the container by what their values are like (length, digits,
+  blanks, size of numbers, least hashes of the values), and no farther than ``FARTHEST``. What is left is removed and added.
 * A value that a cast can't take becomes null, and the line is listed in ``failed``.
 * A value without a column, or whose column another name of the record holds already (names of ``FIELDS`` go first), is kept
   in ``extra`` as JSON, under the earliest name that the renames of its directory lead back to.
@@ -23,7 +24,7 @@ Defined results
 from __future__ import annotations
 
 import json
-from collections import Counter
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,10 @@ FIELDS = {
 DEFAULTS = {"is_error": False, "truncated": False, "retries": 0}
 COLUMN_OF = {path: column for column, (_, paths) in FIELDS.items() for path in paths}
 ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+#: What is known of the values of a path: sums over them, and least hashes, which agree as often as two sets of values do.
+SUMS, LEAST = ("n", "chars", "digits", "blanks", "total"), ("h0", "h1", "h2", "h3")
+FARTHEST = 0.25
+_NO_DIGITS = str.maketrans("", "", "0123456789")
 VERSION = r"(\d+)\.(\d+)\.(\d+)"
 
 
@@ -191,24 +196,41 @@ def _number(version: str):
     return F.when(part(1).isNotNull(), F.struct(part(1).alias("a"), part(2).alias("b"), part(3).alias("c")))
 
 
+def portrait(value) -> tuple:
+    """What ``SUMS`` and ``LEAST`` take from one value."""
+    said = value if isinstance(value, str) else as_json(value)
+    h = zlib.crc32(said.encode("utf-8", "surrogatepass"))
+    number = float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else 0.0
+    return 1, len(said), len(said) - len(said.translate(_NO_DIGITS)), said.count(" "), number, h, *((h * x + 1 & 0xFFFFFFFF) for x in (2654435761, 2246822519, 3266489917))
+
+
 def observed(lines: DataFrame) -> DataFrame:
-    """(source_path, path, type, n, version) of the leaves of each file, counted within batches."""
+    """(source_path, path, type, version, and ``SUMS`` and ``LEAST`` of the values) of the leaves of each file, within batches."""
+    shape = "source_path string, path string, type string, version string, n long, chars long, digits long, blanks long, total double, " + ", ".join(f"{h} long" for h in LEAST)
+    types = (*(pa.string(),) * 4, *(pa.int64(),) * 4, pa.float64(), *(pa.int64(),) * 4)
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts: Counter = Counter()
+        seen: dict[tuple, list] = {}
         versions: dict[str, str] = {}
         for source, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             rec = record(line)
             if rec is not None:
                 for path, value in leaves(rec):
-                    counts[(source, path, json_type(value))] += 1
+                    new, own = portrait(value), seen.get(key := (source, path, json_type(value)))
+                    if own is None:
+                        seen[key] = list(new)
+                    else:
+                        for i in range(5):
+                            own[i] += new[i]
+                        for i in range(5, 9):
+                            if new[i] < own[i]:
+                                own[i] = new[i]
                     if COLUMN_OF.get(path) == "cli_version" and isinstance(value, str):
                         versions[source] = max(versions.get(source, ""), value)
-        rows = [(s, p, t, n, versions.get(s)) for (s, p, t), n in counts.items()]
-        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=["source_path", "path", "type", "n", "version"])
+        rows = [(*key, versions.get(key[0]), *own) for key, own in seen.items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names=["source_path", "path", "type", "version", *SUMS, *LEAST])
 
-    return map_batches(lines.select("source_path", "line_text").where("source_path is not null and line_text is not null"), scan, "source_path string, path string, type string, n long, version string")
+    return map_batches(lines.select("source_path", "line_text").where("source_path is not null and line_text is not null"), scan, shape)
 
 
 def _releases(seen: DataFrame) -> DataFrame:
@@ -217,20 +239,32 @@ def _releases(seen: DataFrame) -> DataFrame:
 
 
 def fingerprints(lines: DataFrame) -> DataFrame:
-    """(source_dir, release, fields) with fields an array of (path, type, meaning), one row per release of a directory."""
-    seen = observed(lines).groupBy("source_path", "path", "type").agg(F.sum("n").alias("n"), F.max("version").alias("version"))
-    release = _releases(seen)
+    """(source_dir, release, fields) with fields an array of (path, type, meaning, box and averages of the values), one row per release of a directory."""
+    together = lambda: (*(F.sum(c).alias(c) for c in SUMS), *(F.min(c).alias(c) for c in LEAST))
+    first = observed(lines)
+    seen = first.groupBy("source_path", "path", "type").agg(*together())
+    each = lambda c: (F.col(c) / F.col("n")).alias(c)
+    like = F.struct("type", *(each(c) for c in SUMS[1:]), *LEAST)
     typed = (
-        seen.join(release, "source_path").groupBy(_directory("source_path").alias("source_dir"), "release", "path", "type").agg(F.sum("n").alias("n"))
-        .groupBy("source_dir", "release", "path").agg(F.min_by("type", F.struct(-F.col("n"), F.col("type"))).alias("type"))
+        seen.join(_releases(first), "source_path").groupBy(_directory("source_path").alias("source_dir"), "release", "path", "type").agg(*together())
+        .groupBy("source_dir", "release", "path").agg(F.min_by(like, F.struct(-F.col("n"), F.col("type"))).alias("v"))
     )
     known = F.create_map(*(F.lit(x) for path, column in COLUMN_OF.items() for x in (path, column)))
     box, name = F.regexp_extract("path", r"^(.*)\.[^.]*$", 1), F.regexp_extract("path", r"([^.]*)$", 1)
     same_words = F.concat(F.lit("?"), box, F.lit("."), F.lower(F.regexp_replace(name, "[_-]", "")))
-    fields = F.array_sort(F.collect_list(F.struct("path", "type", F.coalesce(F.try_element_at(known, F.col("path")), same_words).alias("meaning"), box.alias("box"))))
+    meaning = F.coalesce(F.try_element_at(known, F.col("path")), same_words)
+    fields = F.array_sort(F.collect_list(F.struct("path", F.col("v.type").alias("type"), meaning.alias("meaning"), box.alias("box"), *(F.col(f"v.{c}").alias(c) for c in (*SUMS[1:], *LEAST)))))
     return typed.groupBy("source_dir", "release").agg(fields.alias("fields"))
 
 
+def distance(c, g):
+    """How unlike the values of two paths are, from 0 to 1: the means of length, digits, blanks and numbers; none if their least hashes agree."""
+    part = lambda x: F.abs(c[x] - g[x]) / F.greatest(F.abs(c[x]), F.abs(g[x]), F.lit(1.0))
+    share = lambda x: F.abs(c[x] / F.greatest(c["chars"], F.lit(1.0)) - g[x] / F.greatest(g["chars"], F.lit(1.0)))
+    alike = sum((F.when(c[h] == g[h], 1.0).otherwise(0.0) for h in LEAST), F.lit(0.0)) / len(LEAST)
+    return (1 - alike) * F.greatest(part("chars"), part("total"), share("digits"), share("blanks"))
+
+
 def changes(prints: DataFrame) -> DataFrame:
     """(source_dir, cli_version, change_type, field_path, old_field_path) between consecutive releases of a directory."""
     pairs = prints.withColumn("old", F.lag("fields").over(W.partitionBy("source_dir").orderBy("release"))).where("old is not null")
@@ -246,10 +280,10 @@ def changes(prints: DataFrame) -> DataFrame:
     step = step.select(
         "*", F.filter("come", lambda c: ~F.exists("gone", lambda g: twin(c, g))).alias("come_alone"), F.filter("gone", lambda g: ~F.exists("come", lambda c: twin(c, g))).alias("gone_alone"),
     )
-    # names that FIELDS doesn't know, alone in their container and of one type
-    single = lambda fields, c: F.size(F.filter(fields, lambda x: x["box"] == c["box"])) == 1
-    strange = lambda c: c["meaning"].startswith("?")
-    heir = lambda c, g: (c["box"] == g["box"]) & (c["type"] == g["type"]) & (strange(c) | strange(g)) & single(F.col("come_alone"), c) & single(F.col("gone_alone"), g)
+    # names that FIELDS doesn't know: each other's nearest in their container
+    may = lambda c, g: (c["box"] == g["box"]) & (c["type"] == g["type"]) & (c["meaning"].startswith("?") | g["meaning"].startswith("?"))
+    nearest = lambda fields, pair, d: F.coalesce(F.array_min(F.transform(F.filter(fields, lambda x: may(*pair(x))), lambda x: distance(*pair(x)))) >= d, F.lit(False))
+    heir = lambda c, g: may(c, g) & (distance(c, g) <= FARTHEST) & nearest(F.col("gone_alone"), lambda x: (c, x), distance(c, g)) & nearest(F.col("come_alone"), lambda x: (x, g), distance(c, g))
     said = lambda kind, new_path, old_path: F.struct(F.lit(kind).alias("change_type"), new_path.alias("field_path"), old_path.alias("old_field_path"))
     none = F.lit("")
     rows = F.concat(
