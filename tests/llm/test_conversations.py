@@ -32,10 +32,15 @@ def test_reasons_in_blocks_of_any_size(spark, monkeypatch):
 
 
 def test_rows_without_identifier_are_joined(spark):
-    rows = [(1, None, "/f", 1, U, 1, None, None, "q", None), (2, " ", "/f", 2, A, 1, None, None, "a", ("c",)), (3, None, "/g", 3, U, 2, None, "c", "q", None), (4, None, "/h", 1, A, 1, None, None, "a", None), (5, "s", "/s", 1, "meta", 0, None, None, None, None)]
+    asked = "Why does the importer drop the last row of each file?"
+    rows = [
+        (1, None, "/f", 1, U, 1, None, None, asked, None), (2, " ", "/f", 2, A, 1, None, None, f"> {asked}\nBecause of the trailing newline.", ("c",)), (3, None, "/g", 3, U, 2, None, "c", "q", None),
+        (4, None, "/h", 1, A, 1, None, None, f"> > {asked}\r\nsee there", None), (5, "s", "/s", 1, "meta", 0, None, None, None, None), (6, None, "/f", 1, U, 1, None, None, "ok", None), (7, None, "/f", 2, A, 1, None, None, "> ok\nyes", None), (8, None, None, 3, A, 1, None, None, None, None),
+    ]
     frame = spark.createDataFrame(rows, COLS)
-    assert {(r.event_id, r.session_id) for r in C.identify(frame).collect()} == {(1, "unnamed:1"), (2, "unnamed:1"), (3, "unnamed:1"), (4, "unnamed:4"), (5, "s")}
-    assert {tuple(r) for r in C.validate(frame).collect()} == {("unnamed:1", "missing_reply"), ("unnamed:4", "no_opening"), ("s", "empty")}
+    assert {(r.event_id, r.session_id) for r in C.identify(frame).collect()} == {*((i, "unnamed:1") for i in (1, 2, 3, 4)), (5, "s"), *((i, f"unnamed:{i}") for i in (6, 7, 8))}
+    reasons = {tuple(r) for r in C.validate(frame).collect()}
+    assert ("unnamed:1", "missing_reply") in reasons and ("unnamed:7", "no_opening") in reasons and ("s", "empty") in reasons and ("unnamed:6", "missing_reply") in reasons
 
 
 def test_components_like_union_find(spark):

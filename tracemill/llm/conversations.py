@@ -1,14 +1,16 @@
 """Ordered conversations from message rows, and those to drop (problem 7).
 
 Rows that lack their conversation's identifier are first given one: they are connected components over links
-of reply and quotation (the transcript they came from, the call they answer), found by alternating large-star and
-small-star joins. Then messages are put in order and each conversation is validated.
+of reply (the call that both name) and of quotation (a line of the one stands, marked with ``>``, in the other), found by alternating
+large-star and small-star joins. Then messages are put in order and each conversation is validated.
 
 Defined results
 * A message is a ``user_message`` or ``assistant_message`` of a main stream (no agent_id) whose text isn't blank;
   kinds are compared without letter case and surrounding blanks; repeated deliveries (same seq) count once.
 * Messages without a turn count for ``empty`` and ``no_opening``, not for the turns.
 * Rows without seq can't be ordered and are left out.
+* Only lines of ``QUOTED`` characters or more link by quotation, as shorter ones stand in many conversations; rows of one transcript
+  file are not linked by that alone. A row that nothing links is a conversation of its own.
 * Long conversations are validated in blocks of ``BLOCK`` seqs with carried edges; no task gets a whole one.
 """
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tracemill.runtime import clean_kind, cut, table
 
-BLOCK = 4096
+BLOCK, QUOTED = 4096, 20
 BLANK = r"^[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*$"
 
 
@@ -63,9 +65,12 @@ def identify(events: DataFrame) -> DataFrame:
     lost = events.where(~named)
     if lost.isEmpty():
         return events
-    keys = lost.select("event_id", F.explode(F.array_compact(F.array(
-        F.concat(F.lit("file "), F.nullif(F.trim("source_path"), F.lit(""))), F.concat(F.lit("call "), F.col("parent_call_id")), F.concat(F.lit("call "), F.col("tool.call_id")),
-    ))).alias("key"))
+    calls = lost.select("event_id", F.explode(F.array_compact(F.array("parent_call_id", "tool.call_id"))).alias("call")).select("event_id", F.concat(F.lit("call "), "call").alias("key"))
+    # a quoted line, without its marks, and the line itself have one digest
+    lines = lost.select("event_id", F.explode(F.split("text", r"\r?\n")).alias("line")).select("event_id", F.col("line").rlike(r"^\s*>").alias("quotes"), F.trim(F.regexp_replace("line", r"^\s*(?:>\s*)+", "")).alias("line"))
+    said = lines.where(F.length("line") >= QUOTED).select("event_id", "quotes", F.concat(F.lit("line "), F.xxhash64("line").cast("string")).alias("key")).distinct()
+    quoted = said.groupBy("key").agg(F.bool_or("quotes").alias("q")).where("q").select("key")
+    keys = calls.unionByName(said.join(quoted, "key").select("event_id", "key"))
     hubs = keys.groupBy("key").agg(F.min("event_id").alias("hub"))
     edges = keys.join(hubs, "key").select(F.col("event_id").alias("u"), F.col("hub").alias("v"))
     found = lost.select("event_id").join(connected_components(edges), F.col("event_id") == F.col("node"), "left").select("event_id", F.concat(F.lit("unnamed:"), F.coalesce("component", "event_id")).alias("_id"))
