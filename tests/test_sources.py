@@ -44,8 +44,8 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(2, "b", None), (1, "a", "x")], "seq int, k string, n string")
     jsonl.write_jsonl(rows, str(tmp_path / "o"), order=["seq"])
     assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "o")).collect()] == [{"seq": 1, "k": "a", "n": "x"}, {"seq": 2, "k": "b"}]
-    jsonl.write_chunks(spark.createDataFrame([("c1", 2, "y"), ("c1", 1, "x"), ("c2", 1, "z")], "chunk_id string, place int, line string"), str(tmp_path / "c"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "c/chunk_id=c1")).collect()] == ["x", "y"]
+    jsonl.write_chunks(spark.createDataFrame([("s", "c1", 2, "y\n"), ("s", "c1", 1, "x"), ("s", "c2", 1, "z"), ("t", "c1", 1, "w")], "session_id string, chunk_id string, place int, line string"), str(tmp_path / "c"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "c/session_id=s/chunk_id=c1")).collect()] == ["x", "y"] and jsonl.read_chunks(spark, str(tmp_path / "c")).where("session_id = 't'").count() == 1
 
 
 def test_strict_export_and_manifest(spark, tmp_path):
@@ -55,5 +55,6 @@ def test_strict_export_and_manifest(spark, tmp_path):
     assert jsonl.load_export(spark, good).count() == 1
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         jsonl.load_export(spark, bad).collect()
-    jsonl.write_manifest(spark.createDataFrame([("chunk-002", 5), ("chunk-001", 7)], "chunk_id string, byte_size int"), str(tmp_path / "m"))
-    assert [json.loads(r.value)["chunk_id"] for r in spark.read.text(str(tmp_path / "m")).collect()] == ["chunk-001", "chunk-002"]
+    jsonl.write_manifest(spark.createDataFrame([("s", "chunk-002", 5), ("s", "chunk-001", 7)], "session_id string, chunk_id string, byte_size int"), str(tmp_path / "m"), "x.jsonl", 6000)
+    head, *entries = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "m")).collect()]
+    assert head == {"source": "x.jsonl", "target_bytes": 6000} and [e["chunk_id"] for e in entries] == ["chunk-001", "chunk-002"]

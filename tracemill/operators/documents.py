@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.functions.text import base_name, route_tokens, slug, strip
 from tracemill.operators.links import first_last_roles
+from tracemill.runtime import cut
 
 GLOSSARY_CHARS, GLOSSARY_ENTRIES = 300, 50
 #: Words of routes and words that mean as much in a step.
@@ -73,10 +76,11 @@ def match_routes(routes: DataFrame, steps: DataFrame, limit: int = 10_000) -> Da
     """(route, step_no): the step that fits a route best, ties to the first; else the one that names its commits; else the
     last; the root goes to the first. ``routes``: route, commits; ``steps``: step_no, narrative, files, commands, all in lower case.
 
-    A report's routes are few, more than ``limit`` are refused; there is no key to join them by.
+    There is no key to join routes by, so they go to the steps in blocks of ``limit``, and each comes back as one row.
     """
-    if routes.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} routes")
+    blocks = -(-routes.count() // limit)
+    if blocks > 1:
+        return reduce(DataFrame.unionByName, (match_routes(cut(routes.where(F.pmod(F.xxhash64("route"), F.lit(blocks)) == b)), steps, 4 * limit) for b in range(blocks)))
     steps = steps.withColumn("everything", F.concat_ws(" ", "narrative", "files", "commands"))
     pairs = steps.join(F.broadcast(routes)).withColumn("fit", route_score("route", "narrative", "files", "commands", "everything"))
     named = F.aggregate(F.coalesce("commits", F.array().cast("array<string>")), F.lit(0), lambda n, c: n + F.when((c != "") & F.contains(F.col("everything"), F.lower(c)), 10).otherwise(0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,10 +11,11 @@ from pyspark.sql import functions as F
 FAR = "9999"
 
 
-def unpaired(events: DataFrame) -> DataFrame:
-    """Call ids of tool_uses without any tool_result, compared by call id alone."""
-    ids = lambda kind: events.where((F.col("kind") == kind) & (F.col("tool.call_id") != "")).select(F.col("tool.call_id").alias("call_id"))
-    return ids("tool_use").groupBy("call_id").agg(F.count("*").alias("n_uses")).join(ids("tool_result"), "call_id", "left_anti")
+def unpaired(events: DataFrame, *scope: str) -> DataFrame:
+    """Call ids of tool_uses without any tool_result, compared by call id alone, or within ``scope``, the columns in which ids are unique."""
+    key = [*scope, "call_id"]
+    ids = lambda kind: events.where((F.col("kind") == kind) & (F.col("tool.call_id") != "")).select(*scope, F.col("tool.call_id").alias("call_id"))
+    return ids("tool_use").groupBy(*key).agg(F.count("*").alias("n_uses")).join(ids("tool_result").distinct(), key, "left_anti")
 
 
 def split_pairs(rows: DataFrame, *chunk: str) -> DataFrame:
@@ -65,11 +68,12 @@ def pending_attach(diffs: DataFrame, answers: DataFrame) -> DataFrame:
 def best_match(queries: DataFrame, steps: DataFrame, score: Column, limit: int = 10_000) -> DataFrame:
     """Each query's best step by ``score``, ties to the lowest step.
 
-    There is no key to join by; the queries are a report's routes, and more than ``limit`` of them are refused.
+    There is no key to join by, and every query has a best step whatever it scores. So the queries, a report's routes, go to
+    the steps in blocks of ``limit``: each block is small enough to send, and what it finds is one row a query.
     """
-    if queries.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} queries")
-    scored = steps.join(F.broadcast(queries)).withColumn("score", score)
+    blocks = max(1, -(-queries.count() // limit))
+    some = lambda b: queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+    scored = reduce(DataFrame.unionByName, (steps.join(F.broadcast(some(b))).withColumn("score", score).groupBy("query").agg(F.max_by("step_no", F.struct("score", -F.col("step_no"))).alias("step_no"), F.max("score").alias("score")) for b in range(blocks)))
     return scored.groupBy("query").agg(F.max_by("step_no", F.struct("score", -F.col("step_no"))).alias("step_no"), F.max("score").alias("score"))
 
 

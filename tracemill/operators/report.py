@@ -116,11 +116,6 @@ def cap_per(rows: DataFrame, key: list[str], order: str, cap: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy(order))).where(F.col("rank") <= cap)
 
 
-def height(title: str, body: str, items: str) -> Column:
-    """An estimate of rendered height: fixed costs and wrapped lines."""
-    return 96 + 24 * F.ceil(F.length(F.col(body)) / 80) + 28 * F.col(items) + 16 * F.ceil(F.length(F.col(title)) / 40)
-
-
 def skim(steps: DataFrame) -> DataFrame:
     """One text per report: the numbered titles and takeaways of its steps in order."""
     line = F.concat(F.col("step_no").cast("string"), F.lit(". "), F.col("title"), F.when(F.col("takeaway") != "", F.concat(F.lit(" - "), F.col("takeaway"))).otherwise(""))

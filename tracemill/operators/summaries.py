@@ -82,3 +82,18 @@ def report(steps: DataFrame, sources: DataFrame, meta: DataFrame) -> DataFrame:
     listed = sources.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("first_ts", F.lit("9999-12-31T23:59:59Z")).alias("first_ts"), F.col("source_path").alias("path"), "provider"))).alias("sources"))
     info = meta.select("session_id", F.struct(*(c for c in meta.columns if c != "session_id")).alias("meta"))
     return ordered.join(listed, "session_id", "left").join(info, "session_id", "left")
+
+
+def providers(chunks: DataFrame, events: DataFrame) -> DataFrame:
+    """(session_id, provider): that of the first event of a session's first chunk, ``unknown`` if there is none."""
+    first = chunks.groupBy("session_id").agg(F.min_by(F.struct("line_start", "line_end"), "chunk_id").alias("c"))
+    inside = events.join(first, "session_id").where("source_line between c.line_start and c.line_end").groupBy("session_id").agg(F.min_by("provider", "seq").alias("provider"))
+    return first.select("session_id").join(inside, "session_id", "left").withColumn("provider", F.coalesce(F.nullif("provider", F.lit("")), F.lit("unknown")))
+
+
+def merged_cards(*cards: DataFrame) -> DataFrame:
+    """Cards from several runs as one table, ordered by name; of cards without a session nothing is kept."""
+    out = cards[0]
+    for more in cards[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out.where("session_id is not null").sort("session_id")

@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracemill.functions import text as T
-from tracemill.operators import cards, checks, clean, documents as D, events as E, grouping, links, projection, report, summaries
-from tracemill.runtime import clean_kind, table
+from tracemill.operators import cards, checks, clean, documents as D, events as E, gate, grouping, links, projection, report, summaries
+from tracemill.runtime import clean_kind, scratch, table
+from tracemill.sources import jsonl
 
 TARGET = 6000
 QUERIES: dict = {}
@@ -126,11 +127,6 @@ def chunk_manifest(spark: SparkSession, base: str) -> DataFrame:
     return grouping.manifest(grouping.refine(grouping.chunk_rows(_grouped(spark, base), TARGET), TARGET))
 
 
-@query
-def tool_pair_orphans(spark: SparkSession, base: str) -> DataFrame:
-    return links.unpaired(E.load(spark, base, "tool"))
-
-
 def _chunk_lines(spark: SparkSession, base: str) -> DataFrame:
     """Events of all streams with the listed chunk whose lines hold them."""
     rows = E.load(spark, base, "tool", "source_line")
@@ -284,13 +280,7 @@ def pending_diff_attach(spark: SparkSession, base: str) -> DataFrame:
 
 @query
 def normalized_checks(spark: SparkSession, base: str) -> DataFrame:
-    return checks.normalized(E.load(spark, base, "turn_index", "ts", "provider", "source_path", "agent_id", "tool"))
-
-
-@query
-def projected_checks(spark: SparkSession, base: str) -> DataFrame:
-    rows = E.load(spark, base, "tool", "turn_index")
-    return checks.projected(projection.drop_noise(rows), projection.compress(projection.name_results(rows)))
+    return checks.normalized(E.load(spark, base, "turn_index", "ts", "provider", "source_path", "source_line", "agent_id", "tool"))
 
 
 @query
@@ -460,12 +450,6 @@ def displayable_refs(spark: SparkSession, base: str) -> DataFrame:
     return _changed(spark, base).select("event_id", report.displayable("path", "root", overview=True).alias("shown"))
 
 
-@query
-def ref_bounds(spark: SparkSession, base: str) -> DataFrame:
-    refs = table(spark, base, "chunks").join(latest_sessions(spark, base).select("session_id", F.col("line_count").alias("n_lines")), "session_id", "left")
-    return report.ref_bounds(refs).select("chunk_key", "fault")
-
-
 @query
 def shared_ranges(spark: SparkSession, base: str) -> DataFrame:
     return report.shared_ranges(table(spark, base, "chunks").withColumn("source_path", F.col("chunk_id")))
@@ -476,32 +460,12 @@ def text_lints(spark: SparkSession, base: str) -> DataFrame:
     return report.lints(table(spark, base, "documents"))
 
 
-@query
-def monoculture(spark: SparkSession, base: str) -> DataFrame:
-    """Repositories with 20 or more documents that are all of one language."""
-    per = table(spark, base, "documents").where("source is not null").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct(F.lower("lang")).alias("n_langs"))
-    return per.select("source", "n", "n_langs", ((F.col("n") >= 20) & (F.col("n_langs") == 1)).alias("uniform"))
-
-
 @query
 def glossary_dead_terms(spark: SparkSession, base: str) -> DataFrame:
     terms = table(spark, base, "contributors").select(F.col("handle").alias("term")).unionByName(table(spark, base, "eval_items").select(F.col("suite").alias("term")).distinct()).distinct()
     return links.word_matches(table(spark, base, "documents").where("text is not null").select(F.col("doc_id").alias("text_id"), "text"), terms)
 
 
-@query
-def density_estimate(spark: SparkSession, base: str) -> DataFrame:
-    items = F.size(F.split("body", "\n- ")) - 1
-    per = steps(spark, base).withColumn("items", items).withColumn("height", report.height("title", "body", "items"))
-    return per.groupBy("report").agg(F.sum("height").cast("long").alias("height"), F.count("*").alias("n_steps"))
-
-
-@query
-def quality_gate(spark: SparkSession, base: str) -> DataFrame:
-    per = steps(spark, base).groupBy("report").agg(F.count("*").alias("n_steps"), F.count_distinct("title").alias("n_titles"), F.count_if(F.col("title").rlike(report.LINTS["generic"])).alias("n_generic"), F.count_if(F.length("body") > 3000).alias("n_long"))
-    return per.withColumn("ok", (F.col("n_titles") == F.col("n_steps")) & (F.col("n_generic") == 0))
-
-
 @query
 def diff_counts(spark: SparkSession, base: str) -> DataFrame:
     rows = E.load(spark, base, "file_change").where("file_change.diff is not null")
@@ -588,3 +552,167 @@ def json_tree_strip(spark: SparkSession, base: str) -> DataFrame:
 def kinds_seen(spark: SparkSession, base: str) -> DataFrame:
     """Spelling variants of the kinds, and what they are."""
     return table(spark, base, "session_events").groupBy(F.col("kind").alias("spelling"), clean_kind().alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query
+def tool_pair_orphans(spark: SparkSession, base: str) -> DataFrame:
+    """Calls whose result isn't in the same listed chunk."""
+    return links.unpaired(_chunk_lines(spark, base), "session_id", "chunk_id")
+
+
+@query
+def ref_bounds(spark: SparkSession, base: str) -> DataFrame:
+    refs = table(spark, base, "chunks").join(latest_sessions(spark, base).select("session_id", F.col("line_count").alias("n_lines")), "session_id", "left")
+    return report.ref_bounds(refs, widest=30).select("chunk_key", "fault")
+
+
+@query
+def projected_checks(spark: SparkSession, base: str) -> DataFrame:
+    """The checks of a projection, over events before and after it."""
+    rows = E.load(spark, base, "tool", "turn_index")
+    small = projection.compress(projection.name_results(rows))
+    before, after = checks.projected(rows, small.limit(0)), checks.projected(projection.drop_noise(rows), small)
+    return before.withColumn("stage", F.lit("before")).unionByName(after.withColumn("stage", F.lit("after")))
+
+
+@query
+def manifest_checks(spark: SparkSession, base: str) -> DataFrame:
+    """The manifest of the chunks that are packed here against their lines, hashes and sizes computed anew."""
+    rows = grouping.refine(grouping.chunk_rows(_grouped(spark, base), TARGET), TARGET)
+    chunks = grouping.manifest(rows)
+    number = F.dense_rank().over(W.partitionBy("session_id").orderBy("chunk", "half"))
+    lines = rows.withColumn("line", grouping.line()).withColumn("chunk_id", F.format_string("chunk-%03d", number))
+    return checks.chunked(chunks, lines)
+
+
+# --- the gate ---------------------------------------------------------------
+
+
+def gate_steps(spark: SparkSession, base: str) -> DataFrame:
+    """Report steps with takeaways and claims: a claim is a listed line, grounded if it holds a digit, its full stops are its references."""
+    listed = F.transform(F.filter(F.split("body", "\n"), lambda x: x.startswith("- ")), lambda x: F.substring(x, 3, 1 << 30))
+    claim = lambda x: F.struct(x.alias("text"), F.when(x.rlike("[0-9]"), "Grounded ").otherwise("inferred").alias("confidence"), (F.length(x) - F.length(F.replace(x, F.lit("."), F.lit("")))).alias("n_refs"))
+    none = F.lit(None)
+    return steps(spark, base).select(
+        "doc_id", "report", "step_no", "title", T.first_sentence("body").alias("takeaway"), F.get(listed, F.lit(0)).alias("intent"), F.transform(listed, claim).alias("claims"), none.cast("array<struct<decision:string,rationale:string,alternatives:array<string>>>").alias("decisions"),
+        none.cast("array<struct<error:string,resolution:string>>").alias("errors"), F.col("body").contains("```").alias("has_diagram"), F.lit(False).alias("has_video"), F.col("body").contains("/").alias("has_files"), none.cast("boolean").alias("has_evidence"),
+    )
+
+
+def gate_reports(spark: SparkSession, base: str) -> DataFrame:
+    """Their reports: the first title is the goal, the first five titles are the summary."""
+    first = gate_steps(spark, base).where("step_no <= 5").groupBy("report").agg(F.array_sort(F.collect_list(F.struct("step_no", "title"))).alias("l"))
+    none = F.lit(None)
+    return first.select("report", F.col("l")[0]["title"].alias("goal"), F.transform("l", lambda x: x["title"]).alias("summary"), F.transform("l", lambda x: F.concat(F.when(x["title"].contains("/"), "/tmp/").otherwise("src/"), F.lit("x"))).alias("key_files"), none.cast("string").alias("end_goal"), none.cast("array<string>").alias("end_summary"))
+
+
+@query
+def density_estimate(spark: SparkSession, base: str) -> DataFrame:
+    """Pixels of each step and what they come to in screens, tenths cut off."""
+    px = gate.step_height()
+    return gate_steps(spark, base).select("doc_id", F.round(px * 100).cast("long").alias("hundredths"), (px > gate.SCREEN * gate.STEP_SCREENS).alias("too_tall"))
+
+
+@query
+def overview_density(spark: SparkSession, base: str) -> DataFrame:
+    return gate_reports(spark, base).select("report", F.round(gate.overview_height() * 100).cast("long").alias("hundredths"))
+
+
+@query
+def gate_faults(spark: SparkSession, base: str) -> DataFrame:
+    return gate.report_faults(gate_reports(spark, base), gate_steps(spark, base)).groupBy("report", "severity", "fault").agg(F.count("*").alias("n"))
+
+
+@query
+def quality_gate(spark: SparkSession, base: str) -> DataFrame:
+    reports = gate_reports(spark, base)
+    return gate.gate(reports, gate.report_faults(reports, gate_steps(spark, base)))
+
+
+@query
+def grounded_refs(spark: SparkSession, base: str) -> DataFrame:
+    return gate_steps(spark, base).select("doc_id", gate.grounded().alias("grounded"))
+
+
+@query
+def fault_examples(spark: SparkSession, base: str) -> DataFrame:
+    """The first titles of each repository."""
+    return gate.examples(steps(spark, base), "report", "title", "step_no")
+
+
+@query
+def monoculture(spark: SparkSession, base: str) -> DataFrame:
+    """Reports with 20 claims or more that are all grounded."""
+    claims = gate_steps(spark, base).select("report", F.explode("claims").alias("c")).select("report", F.lower(F.trim("c.confidence")).alias("confidence"))
+    per = claims.groupBy("report").agg(F.count("*").alias("n"), F.count_distinct("confidence").alias("n_kinds"), F.min("confidence").alias("least"))
+    return per.select("report", "n", "n_kinds", ((F.col("n") >= 20) & (F.col("n_kinds") == 1) & (F.col("least") == "grounded")).alias("uniform"))
+
+
+@query
+def media_lints(spark: SparkSession, base: str) -> DataFrame:
+    """Steps show the first path of their text as a diagram, the last as a video; what is there are changed paths. Terms are readmes."""
+    paths = report.path_links("body")
+    none = F.lit(None).cast("string")
+    nodes = steps(spark, base).select("report", F.col("doc_id").cast("string").alias("label"), F.get(paths, F.lit(0)).alias("diagram"), none.alias("live_script"), none.alias("live_view"), F.element_at(F.when(F.size(paths) > 0, paths), -1).alias("video"), none.alias("poster"), F.lit(True).alias("embed"))
+    files = E.load(spark, base, "file_change").where("file_change.path is not null").groupBy(F.col("file_change.path").alias("path")).agg((F.count("*") * 8_000_000).alias("size_bytes"))
+    terms = table(spark, base, "documents").where("source is not null").groupBy(F.col("source").alias("report")).agg(F.count_if(F.col("doc_kind") == "readme").alias("n_terms"))
+    return gate.media_faults(terms, nodes, files)
+
+
+@query
+def glossary_shapes(spark: SparkSession, base: str) -> DataFrame:
+    """The roster as a glossary that is a list, and as one that is a map."""
+    people = table(spark, base, "contributors").where("handle is not null and given_name is not null")
+    listed = people.agg(F.to_json(F.collect_list(F.struct(F.col("handle").alias("term"), F.col("given_name").alias("definition")))).alias("j")).select(F.lit("list").alias("report"), "j")
+    mapped = people.groupBy("handle").agg(F.min("given_name").alias("g")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("handle", "g")))).alias("j")).select(F.lit("map").alias("report"), "j")
+    docs = listed.unionByName(mapped).select("report", F.parse_json("j").alias("doc"))
+    return gate.glossary_entries(docs).select("report", "term", "definition").distinct()
+
+
+@query
+def search_steps(spark: SparkSession, base: str) -> DataFrame:
+    return gate.search(steps(spark, base), " Cache ", "title", "body").select("doc_id")
+
+
+@query
+def view_totals(spark: SparkSession, base: str) -> DataFrame:
+    """Items and words of each view."""
+    rows = table(spark, base, "documents").where("text is not null").withColumn("mode", F.when(F.col("doc_kind") == "plan", " Journey").when(F.col("doc_kind") == "readme", "end-state"))
+    words = F.sum(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))).cast("long")
+    per = [D.visible(rows, v).agg(F.count("*").alias("n_items"), words.alias("n_words")).withColumn("view", F.lit(v)) for v in ("journey", "end-state")]
+    return per[0].unionByName(per[1])
+
+
+@query
+def chunk_providers(spark: SparkSession, base: str) -> DataFrame:
+    return summaries.providers(table(spark, base, "chunks"), E.load(spark, base, "provider", "source_line"))
+
+
+# --- files written and read again -------------------------------------------
+
+
+@query
+def jsonl_roundtrip(spark: SparkSession, base: str) -> DataFrame:
+    """Events written as JSON lines, scanned again as records of variants."""
+    path = scratch(spark, "events")
+    jsonl.write_jsonl(E.load(spark, base, "text", "turn_index"), path)
+    get = lambda p, kind: F.expr(f"try_variant_get(rec, '$.{p}', '{kind}')").alias(p)
+    return jsonl.scan_jsonl(spark, path).select(get("event_id", "long"), get("kind", "string"), get("turn_index", "int"), F.md5(F.expr("try_variant_get(rec, '$.text', 'string')")).alias("text_md5"))
+
+
+@query
+def chunk_files(spark: SparkSession, base: str) -> DataFrame:
+    """The listed chunks as folders of lines, and what they hold when read again."""
+    path = scratch(spark, "chunks")
+    rows = _chunk_lines(spark, base).select("session_id", "chunk_id", F.col("source_line").alias("place"), F.concat_ws("|", F.col("seq").cast("string"), "kind").alias("line"))
+    jsonl.write_chunks(rows, path)
+    return jsonl.read_chunks(spark, path).groupBy("session_id", "chunk_id").agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("value")).cast("long").alias("n_bytes"))
+
+
+@query
+def capture_manifest(spark: SparkSession, base: str) -> DataFrame:
+    """Changed files as shots of their repository, failed ones skipped; how many shots each has, in order."""
+    rows = E.load(spark, base, "file_change", "repo_root").where("file_change.path is not null and repo_root is not null")
+    shots = rows.select(F.col("event_id").alias("place"), F.col("repo_root").alias("commit"), F.col("file_change.path").alias("route"), F.col("file_change.path").alias("path"), F.when(F.col("file_change.kind") == "delete", "gone").alias("skip"))
+    made = jsonl.captures(shots)
+    return made.select(F.posexplode("order").alias("at", "commit"), "commits", "skipped").select("at", "commit", F.size(F.element_at("commits", F.col("commit"))).cast("long").alias("n_shots"), F.size("skipped").cast("long").alias("n_skipped"))

@@ -74,6 +74,33 @@ TREE = r"""WITH RECURSIVE s AS (SELECT session_id, arg_max(struct_pack(p := pare
         u AS (SELECT node, node AS above FROM n UNION SELECT u.node, n.parent FROM u JOIN n ON n.node = u.above WHERE n.parent IS NOT NULL),
         t AS (SELECT u.node, max(CASE WHEN n.parent IS NULL THEN u.above END) AS root, count(*) - 1 AS depth FROM u JOIN n ON n.node = u.above GROUP BY 1)"""
 
+GATE = f"""{STEPS}, b AS (SELECT *, {strip('body')} AS stripped, list_transform(list_filter(string_split(body, chr(10)), lambda x: starts_with(x, '- ')), lambda x: substr(x, 3)) AS claims FROM steps),
+    st AS (SELECT doc_id, report, step_no, {strip('title')} AS title, {strip(f"({sentence('stripped', 120)})")} AS takeaway, {strip("coalesce(claims[1], '')")} AS intent, claims, contains(body, '```') AS pic, contains(body, '/') AS files FROM b),
+    h AS (SELECT *, 30000 + 100 * length(title) + 45 * (length(takeaway) + length(intent)) + list_sum(list_transform(claims, lambda x: 1600 + 34 * length({strip('x')}))) AS base FROM st),
+    px AS (SELECT *, coalesce(base, 30000 + 100 * length(title) + 45 * (length(takeaway) + length(intent))) + CASE WHEN pic THEN 56000 ELSE 0 END + CASE WHEN files THEN 9000 ELSE 0 END AS hundredths,
+        coalesce(list_bool_or(list_transform(claims, lambda x: regexp_matches(x, '[0-9]') AND contains(x, '.'))), false) AS grounded FROM h),
+    ov AS (SELECT report, arg_min(title, step_no) AS goal, list(title ORDER BY step_no) FILTER (step_no <= 5) AS bullets, list(title ORDER BY step_no) FILTER (step_no <= 5 AND title <> '') AS told, count(*) AS n_steps FROM st GROUP BY 1),
+    oh AS (SELECT *, 26000 + length(goal) * CASE WHEN length(goal) > 140 THEN 130 ELSE 220 END + list_sum(list_transform(bullets, lambda x: 1200 + 45 * length(x))) AS hundredths FROM ov)"""
+
+_RAW = r"(regexp_matches({0}, '(?i)^\s*chunk-\d+\b') OR regexp_matches({0}, '(?i)\b\d+\s+events\b'))"
+_CONTROL = r"regexp_matches({0}, '(?i)<(?:environment_context|local-command-caveat)>|#\s*AGENTS\b|continued from a previous conversation')"
+_DULL = r"(regexp_matches({0}, '(?i)^\s*(this chunk|chunk-\d+|n/a|none|todo)\b') OR regexp_matches({0}, '(?i)\b\d+\s+events\b'))"
+
+
+def _said(severity: str, fault: str, rows: str, where: str) -> str:
+    return f"SELECT report, '{severity}' AS severity, '{fault}' AS fault FROM {rows} WHERE {where}"
+
+
+FAULTS = f"""{GATE}, ft AS ({' UNION ALL '.join((
+    _said('error', 'no_title', 'px', "title = ''"), _said('error', 'raw_title', 'px', _RAW.format('title')), _said('error', 'control_title', 'px', _CONTROL.format('title')), _said('error', 'no_takeaway', 'px', "takeaway = ''"),
+    _said('error', 'generic_takeaway', 'px', "takeaway <> '' AND " + _DULL.format('takeaway')), _said('error', 'raw_intent', 'px', _RAW.format('intent')), _said('error', 'control_intent', 'px', 'NOT ' + _RAW.format('intent') + ' AND ' + _CONTROL.format('intent')),
+    _said('error', 'not_grounded', 'px', 'NOT grounded'), _said('warning', 'takeaway_is_title', 'px', "title <> '' AND takeaway <> '' AND rtrim(title, '.') = rtrim(takeaway, '.')"), _said('warning', 'too_tall', 'px', 'hundredths > 180000'),
+    _said('error', 'no_goal', 'ov', "goal = ''"), _said('error', 'raw_goal', 'ov', _RAW.format('goal')), _said('error', 'raw_bullet', 'ov', f"len(told) >= 3 AND list_bool_or(list_transform(told, lambda x: {_RAW.format('x')} OR {_CONTROL.format('x')}))"),
+    _said('error', 'noisy_key_file', 'ov', "list_bool_or(list_transform(bullets, lambda x: contains(x, '/')))"), _said('error', 'too_many_steps', 'ov', 'n_steps > 12'), _said('warning', 'few_bullets', 'ov', 'coalesce(len(told), 0) < 3'),
+    _said('warning', 'same_takeaways', f"(SELECT report, takeaway, count(*) AS n FROM px WHERE takeaway <> '' AND NOT {_DULL.format('takeaway')} GROUP BY 1, 2 HAVING count(*) > 1)", 'true').replace('SELECT report', 'SELECT DISTINCT report', 1),
+    _said('warning', 'no_end_state', 'ov', 'true'), _said('warning', 'tall_overview', 'oh', 'hundredths > 108000'),
+))})"""
+
 SQL: dict[str, str] = {
     "p6_found": f"""{TREE}
         SELECT node AS node_key, coalesce(root, '') AS root_key, CAST(CASE WHEN root IS NULL THEN -1 ELSE depth END AS INTEGER) AS tree_depth FROM t""",
@@ -110,8 +137,6 @@ SQL: dict[str, str] = {
     "chunk_manifest": f"""WITH RECURSIVE {EV}, {REFINE} SELECT session_id, min(source_line) AS line_start, max(source_line) AS line_end, CAST(sum(strlen({LINE})) AS BIGINT) AS byte_size, count(*) AS event_count,
         min(nullif(ts, '')) AS range_start, max(nullif(ts, '')) AS range_end, sha256(string_agg({LINE}, '' ORDER BY place)) AS sha256,
         'chunk-' || lpad(CAST(row_number() OVER (PARTITION BY session_id ORDER BY chunk, half) AS VARCHAR), 3, '0') AS chunk_id FROM h GROUP BY session_id, chunk, half""",
-    "tool_pair_orphans": f"""WITH {EV} SELECT tool.call_id AS call_id, count(*) AS n_uses FROM ev WHERE kind = 'tool_use' AND tool.call_id <> ''
-        AND tool.call_id NOT IN (SELECT tool.call_id FROM ev WHERE kind = 'tool_result' AND tool.call_id <> '') GROUP BY 1""",
     "split_pairs": f"""WITH {EV}, {CHUNKED} SELECT DISTINCT session_id, chunk_id, tool.call_id AS call_id FROM cl a WHERE kind = 'tool_result' AND tool.call_id <> ''
         AND NOT EXISTS (SELECT 1 FROM cl b WHERE b.kind = 'tool_use' AND b.session_id = a.session_id AND b.chunk_id = a.chunk_id AND b.tool.call_id = a.tool.call_id)""",
     "session_card_scalars": f"""WITH {EV} SELECT session_id, arg_min(nullif(provider, ''), seq) FILTER (provider <> '') AS provider, coalesce(arg_min(meta.model, seq) FILTER (kind = 'meta' AND meta.model <> ''), '') AS model,
@@ -175,12 +200,10 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'first_user_turn', count(*) FROM (SELECT turn_index, row_number() OVER ({STREAM}) AS r FROM ev WHERE kind = 'user_message') WHERE r = 1 AND turn_index <> 1
         UNION ALL SELECT 'turn_regression', count(*) FILTER (fell) FROM (SELECT turn_index < lag(turn_index) OVER ({STREAM}) AS fell FROM ev)
         UNION ALL SELECT 'orphan_tool_use', count(*) FROM (SELECT tool.call_id AS i FROM ev WHERE kind = 'tool_use' AND tool.call_id <> '' EXCEPT SELECT tool.call_id FROM ev WHERE kind = 'tool_result' AND tool.call_id <> '')
+        UNION ALL SELECT 'empty_input', CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM ev
+        UNION ALL SELECT 'seq_not_rising', count(*) FILTER (bad) FROM (SELECT seq <= lag(seq) OVER (PARTITION BY source_path ORDER BY source_line, seq) AS bad FROM ev)
         UNION ALL SELECT 'not_contiguous', count(*) FROM (SELECT session_id FROM ev GROUP BY 1 HAVING max(event_id) - min(event_id) + 1 <> count(*)))
         SELECT "check", n_bad, n_bad = 0 AS passed FROM c""",
-    "projected_checks": """SELECT * FROM (VALUES ('kept_file_snapshot', CAST(0 AS BIGINT), true), ('kept_turn_context', 0, true), ('kept_compaction', 0, true), ('uncompressed_result', 0, true), ('compressed_error', 0, true)) t("check", n_bad, passed)""",
-    "chunk_checks": f"""WITH {EV}, {CHUNKED}, n AS (SELECT session_id, chunk_id, count(*) AS n FROM cl GROUP BY 1, 2), b AS (SELECT c.*, n.n FROM chunks c LEFT JOIN n USING (session_id, chunk_id)),
-        c("check", n_bad) AS (SELECT 'missing_hash', count(*) FILTER (sha256 IS NULL) FROM b UNION ALL SELECT 'bad_range', count(*) FILTER (line_start > line_end) FROM b UNION ALL SELECT 'no_rows', count(*) FILTER (n IS NULL) FROM b
-        UNION ALL SELECT 'wrong_count', count(*) FILTER (n <> event_count) FROM b) SELECT "check", n_bad, n_bad = 0 AS passed FROM c""",
     "strip_text": """SELECT event_id, CASE WHEN length(text) > 1000 AND regexp_full_match(text, '[A-Za-z0-9+/=\\n\\r]+') THEN '[BASE64: ' || length(text) || ' bytes, source: ' || source_path || ':' || source_line || ']'
         WHEN length(text) > 4000 THEN left(text, 4000) || '... [TRUNCATED at ' || length(text) || ' bytes, source: ' || source_path || ':' || source_line || ']' ELSE text END AS text FROM session_events WHERE text IS NOT NULL""",
     "json_tree_strip": """WITH t AS (SELECT e.event_id, j.id, json_extract_string(j.atom, '$') AS v, ' bytes, source: ' || e.source_path || ':' || e.source_line || ']' AS tail
@@ -217,18 +240,12 @@ SQL: dict[str, str] = {
         i AS (SELECT *, root <> '' AND starts_with(full_path, root || '/') AS inside, CASE WHEN root <> '' AND starts_with(full_path, root || '/') THEN substr(full_path, length(root) + 2) ELSE regexp_replace(path, '^\\./', '') END AS label FROM p)
         SELECT event_id, NOT (path = '' OR starts_with(lower(regexp_replace(label, '^.*/', '')), '.env') OR (contains(lower(regexp_replace(label, '^.*/', '')), 'worklog') AND ends_with(lower(label), '.md')) OR starts_with(label, 'e2e-test-results/')
         OR (starts_with(full_path, '/tmp/') AND NOT inside) OR (root <> '' AND starts_with(full_path, '/') AND NOT inside) OR (inside AND split_part(label, '/', 1) NOT IN ('src', 'e2e', 'scripts', 'docs', 'db', 'repos', 'likec4'))) AS shown FROM i""",
-    "ref_bounds": f"""WITH {LATEST}, b AS (SELECT chunk_key, CASE WHEN l.line_count IS NULL THEN 'undeclared' WHEN line_start < 1 OR line_start > line_end OR line_end > l.line_count THEN 'out_of_bounds' WHEN line_end - line_start > 200 THEN 'too_wide' END AS fault
-        FROM chunks c LEFT JOIN latest l USING (session_id)) SELECT * FROM b WHERE fault IS NOT NULL""",
     "shared_ranges": "SELECT chunk_id AS source_path, line_start, line_end, count(*) AS n_refs FROM chunks GROUP BY ALL HAVING count(*) >= 3",
     "text_lints": """SELECT count(*) FILTER (regexp_matches(text, '(?i)^\\s*chunk-\\d+\\b')) AS chunk_title, count(*) FILTER (regexp_matches(text, '(?i)\\b\\d+\\s+events\\b')) AS event_count,
         count(*) FILTER (regexp_matches(text, '(?i)<(?:environment_context|local-command-caveat)>|#\\s*AGENTS\\b|continued from a previous conversation')) AS raw_intent,
         count(*) FILTER (regexp_matches(text, '(?i)^\\s*(this chunk|chunk-\\d+|n/a|none|todo)\\b')) AS generic FROM documents""",
-    "monoculture": "SELECT source, count(*) AS n, count(DISTINCT lower(lang)) AS n_langs, count(*) >= 20 AND count(DISTINCT lower(lang)) = 1 AS uniform FROM documents WHERE source IS NOT NULL GROUP BY 1",
     "glossary_dead_terms": r"""WITH t AS (SELECT handle AS term FROM contributors UNION SELECT suite FROM eval_items), w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')) AS word FROM documents WHERE text IS NOT NULL)
         SELECT term, count(doc_id) AS n_texts FROM t LEFT JOIN w ON word = lower(term) GROUP BY 1""",
-    "density_estimate": f"""WITH {STEPS} SELECT report, CAST(sum(96 + 24 * ((length(body) + 79) // 80) + 28 * (len(string_split(body, chr(10) || '- ')) - 1) + 16 * ((length(title) + 39) // 40)) AS BIGINT) AS height, count(*) AS n_steps FROM steps GROUP BY 1""",
-    "quality_gate": f"""WITH {STEPS}, q AS (SELECT report, count(*) AS n_steps, count(DISTINCT title) AS n_titles, count(*) FILTER (regexp_matches(title, '(?i)^\\s*(this chunk|chunk-\\d+|n/a|none|todo)\\b')) AS n_generic, count(*) FILTER (length(body) > 3000) AS n_long FROM steps GROUP BY 1)
-        SELECT *, n_titles = n_steps AND n_generic = 0 AS ok FROM q""",
     "diff_counts": f"""WITH {EV}, l AS (SELECT file_change.path AS path, unnest(string_split(file_change.diff, chr(10))) AS x FROM ev WHERE file_change.diff IS NOT NULL)
         SELECT path, count(*) FILTER (starts_with(x, '+') AND NOT starts_with(x, '+++')) AS n_added, count(*) FILTER (starts_with(x, '-') AND NOT starts_with(x, '---')) AS n_removed FROM l GROUP BY 1""",
     "view_stats": """WITH w AS (SELECT doc_kind, len(list_filter(regexp_split_to_array(text, '[\\s\\x0b]+'), lambda x: x <> '')) AS n FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_kind, count(*) AS n, CAST(sum(w.n) AS BIGINT) AS n_words FROM w GROUP BY 1)
@@ -260,4 +277,41 @@ SQL: dict[str, str] = {
         SELECT DISTINCT provider AS report, source_path AS path FROM ev WHERE provider IN (SELECT provider FROM n) AND (provider, source_path) NOT IN (SELECT (provider, name) FROM n) AND (provider, regexp_replace(source_path, '^.*/', '')) NOT IN (SELECT (provider, name) FROM n)""",
     "visible_items": "SELECT doc_kind, count(*) AS n FROM documents WHERE doc_kind IS NULL OR doc_kind <> 'readme' GROUP BY 1",
     "kinds_seen": "SELECT kind AS spelling, lower(trim(kind)) AS kind, count(*) AS n FROM session_events GROUP BY 1, 2",
+    "tool_pair_orphans": f"""WITH {EV}, {CHUNKED} SELECT session_id, chunk_id, tool.call_id AS call_id, count(*) AS n_uses FROM cl a WHERE kind = 'tool_use' AND tool.call_id <> ''
+        AND NOT EXISTS (SELECT 1 FROM cl b WHERE b.kind = 'tool_result' AND b.session_id = a.session_id AND b.chunk_id = a.chunk_id AND b.tool.call_id = a.tool.call_id) GROUP BY 1, 2, 3""",
+    "ref_bounds": f"""WITH {LATEST}, b AS (SELECT chunk_key, CASE WHEN l.line_count IS NULL THEN 'undeclared' WHEN line_start < 1 OR line_start > line_end OR line_end > l.line_count THEN 'out_of_bounds' WHEN line_end - line_start > 30 THEN 'too_wide' END AS fault
+        FROM chunks c LEFT JOIN latest l ON l.session_id = c.session_id) SELECT chunk_key, fault FROM b WHERE fault IS NOT NULL""",
+    "projected_checks": f"""WITH {EV}, k AS (SELECT *, kind IN ('file_snapshot', 'turn_context', 'compaction') AS noise, coalesce(tool.is_error, false) AS failed FROM ev),
+        c("check", n_bad, stage) AS (SELECT 'kept_' || x, (SELECT count(*) FROM k WHERE kind = x), 'before' FROM (VALUES ('file_snapshot'), ('turn_context'), ('compaction')) t(x)
+            UNION ALL SELECT 'kept_' || x, (SELECT count(*) FROM k WHERE kind = x AND NOT noise), 'after' FROM (VALUES ('file_snapshot'), ('turn_context'), ('compaction')) t(x)
+            UNION ALL SELECT 'uncompressed_result', count(*) FILTER (kind = 'tool_result' AND NOT failed), 'before' FROM k UNION ALL SELECT 'uncompressed_result', count(*) FILTER (kind = 'tool_result' AND NOT failed AND noise), 'after' FROM k
+            UNION ALL SELECT x, 0, y FROM (VALUES ('compressed_error'), ('kept_data')) t(x), (VALUES ('before'), ('after')) u(y)
+            UNION ALL SELECT 'empty_input', (SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM k), y FROM (VALUES ('before'), ('after')) u(y)) SELECT "check", CAST(n_bad AS BIGINT) AS n_bad, n_bad = 0 AS passed, stage FROM c""",
+    "chunk_checks": f"""WITH {EV}, {CHUNKED}, n AS (SELECT session_id, chunk_id, count(*) AS n FROM cl GROUP BY 1, 2), b AS (SELECT c.*, n.n FROM chunks c LEFT JOIN n USING (session_id, chunk_id)),
+        sp AS (SELECT DISTINCT session_id, chunk_id, tool.call_id AS i FROM cl a WHERE kind = 'tool_result' AND tool.call_id <> '' AND NOT EXISTS (SELECT 1 FROM cl b WHERE b.kind = 'tool_use' AND b.session_id = a.session_id AND b.chunk_id = a.chunk_id AND b.tool.call_id = a.tool.call_id)),
+        c("check", n_bad) AS (SELECT 'missing_hash', count(*) FILTER (sha256 IS NULL) FROM b UNION ALL SELECT 'bad_range', count(*) FILTER (line_start > line_end) FROM b UNION ALL SELECT 'no_rows', count(*) FILTER (n IS NULL) FROM b
+        UNION ALL SELECT 'wrong_count', count(*) FILTER (n <> event_count) FROM b UNION ALL SELECT 'split_pair', count(*) FROM sp UNION ALL SELECT 'empty_input', CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM b) SELECT "check", n_bad, n_bad = 0 AS passed FROM c""",
+    "density_estimate": f"WITH {GATE} SELECT doc_id, CAST(hundredths AS BIGINT) AS hundredths, hundredths > 180000 AS too_tall FROM px",
+    "overview_density": f"WITH {GATE} SELECT report, CAST(hundredths AS BIGINT) AS hundredths FROM oh",
+    "gate_faults": f"WITH {FAULTS} SELECT report, severity, fault, count(*) AS n FROM ft GROUP BY ALL",
+    "quality_gate": f"WITH {FAULTS}, n AS (SELECT report, count(*) FILTER (severity = 'error') AS n_errors, count(*) FILTER (severity = 'warning') AS n_warnings FROM ft GROUP BY 1) SELECT ov.report, coalesce(n_errors, 0) AS n_errors, coalesce(n_warnings, 0) AS n_warnings, coalesce(n_errors, 0) = 0 AS ok FROM ov LEFT JOIN n USING (report)",
+    "grounded_refs": f"WITH {GATE} SELECT doc_id, grounded FROM px",
+    "fault_examples": f"""WITH {STEPS}, d AS (SELECT report, title, min(step_no) AS f FROM steps GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY report ORDER BY f, title) AS k FROM d)
+        SELECT report, string_agg(title, ', ' ORDER BY k) FILTER (k <= 3) || CASE WHEN max(k) > 3 THEN ', ...' ELSE '' END AS examples FROM r GROUP BY 1""",
+    "monoculture": f"WITH {GATE}, c AS (SELECT report, CASE WHEN regexp_matches(x, '[0-9]') THEN 'grounded' ELSE 'inferred' END AS k FROM (SELECT report, unnest(claims) AS x FROM px)) SELECT report, count(*) AS n, count(DISTINCT k) AS n_kinds, count(*) >= 20 AND count(DISTINCT k) = 1 AND min(k) = 'grounded' AS uniform FROM c GROUP BY 1",
+    "media_lints": f"""WITH {EV}, {STEPS}, n AS (SELECT report, CAST(doc_id AS VARCHAR) AS label, regexp_extract_all(body, '{PATHS}') AS p FROM steps), f AS (SELECT file_change.path AS path, count(*) * 8000000 AS size FROM ev WHERE file_change.path IS NOT NULL GROUP BY 1),
+        v AS (SELECT report, label, p[1] AS pic, list_sort(list_distinct(p)) AS q, p FROM n), w AS (SELECT report, label, list_filter(p, lambda x, i: list_position(p, x) = i)[-1] AS film FROM v),
+        t AS (SELECT source AS report, count(*) FILTER (doc_kind = 'readme') AS terms FROM documents WHERE source IS NOT NULL GROUP BY 1)
+        SELECT report, label, 'video_not_found' AS fault FROM w WHERE film IS NOT NULL AND film NOT IN (SELECT path FROM f) UNION ALL SELECT report, label, 'video_too_large_to_embed' FROM w JOIN f ON film = path WHERE size > 15728640
+        UNION ALL SELECT report, 'report', 'no_glossary' FROM t WHERE terms = 0 UNION ALL SELECT report, 'report', 'no_diagram' FROM t WHERE report NOT IN (SELECT report FROM v WHERE pic IS NOT NULL)""",
+    "glossary_shapes": "SELECT DISTINCT 'list' AS report, handle AS term, given_name AS definition FROM contributors WHERE handle IS NOT NULL AND given_name IS NOT NULL UNION ALL SELECT 'map', handle, min(given_name) FROM contributors WHERE handle IS NOT NULL AND given_name IS NOT NULL GROUP BY handle",
+    "search_steps": f"WITH {STEPS} SELECT doc_id FROM steps WHERE contains(lower(title), 'cache') OR contains(lower(body), 'cache')",
+    "view_totals": r"""WITH d AS (SELECT doc_kind, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS w FROM documents WHERE text IS NOT NULL)
+        SELECT 'journey' AS view, count(*) AS n_items, CAST(sum(w) AS BIGINT) AS n_words FROM d WHERE coalesce(doc_kind, '') <> 'readme' UNION ALL SELECT 'end-state', count(*), CAST(sum(w) AS BIGINT) FROM d WHERE coalesce(doc_kind, '') <> 'plan'""",
+    "chunk_providers": f"""WITH {EV}, c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY chunk_id) AS k FROM chunks) WHERE k = 1)
+        SELECT c.session_id, coalesce(nullif(arg_min(ev.provider, ev.seq), ''), 'unknown') AS provider FROM c LEFT JOIN ev ON ev.session_id = c.session_id AND source_line BETWEEN line_start AND line_end GROUP BY 1""",
+    "jsonl_roundtrip": f"WITH {EV} SELECT event_id, kind, turn_index, md5(text) AS text_md5 FROM ev",
+    "chunk_files": f"WITH {EV}, {CHUNKED} SELECT session_id, chunk_id, count(*) AS n_lines, CAST(sum(strlen(seq || '|' || kind)) AS BIGINT) AS n_bytes FROM cl GROUP BY 1, 2",
+    "capture_manifest": f"""WITH {EV}, s AS (SELECT event_id, repo_root AS r, coalesce(file_change.kind = 'delete', false) AS gone FROM ev WHERE file_change.path IS NOT NULL AND repo_root IS NOT NULL), c AS (SELECT r, min(event_id) AS f, count(*) AS n FROM s WHERE NOT gone GROUP BY 1)
+        SELECT CAST(row_number() OVER (ORDER BY f) - 1 AS INTEGER) AS at, r AS "commit", n AS n_shots, (SELECT count(*) FROM s WHERE gone) AS n_skipped FROM c""",
 }

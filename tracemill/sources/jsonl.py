@@ -63,16 +63,33 @@ def flatten_export(docs: DataFrame) -> DataFrame:
 
 
 def write_jsonl(events: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """One JSON object a line, nulls left out; with ``order`` a single sorted file, else one per task."""
+    """One JSON object a line, nulls left out; with ``order`` the files, by name, hold the lines in that order: ranges of it, sorted, so no task gets all."""
     rows = events.select(F.to_json(F.struct("*")).alias("value"), *(order or []))
-    (rows.coalesce(1).sortWithinPartitions(*order) if order else rows).select("value").write.mode("overwrite").text(path)
+    (rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows).select("value").write.mode("overwrite").text(path)
 
 
 def write_chunks(rows: DataFrame, path: str) -> None:
-    """A folder per chunk with its lines in order. ``rows``: chunk_id, place, line."""
-    rows.repartition("chunk_id").sortWithinPartitions("chunk_id", "place").select("chunk_id", "line").write.mode("overwrite").partitionBy("chunk_id").text(path)
+    """A folder per session, therein one per chunk with its lines in order. ``rows``: session_id, chunk_id (unique within a session), place, line."""
+    ordered = rows.repartition("session_id", "chunk_id").sortWithinPartitions("session_id", "chunk_id", "place")
+    ordered.select("session_id", "chunk_id", F.regexp_replace("line", "\n$", "").alias("value")).write.mode("overwrite").partitionBy("session_id", "chunk_id").text(path)
 
 
-def write_manifest(chunks: DataFrame, path: str) -> None:
-    """The chunks' entries as JSON lines in order."""
-    write_jsonl(chunks, path, order=["chunk_id"])
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """(session_id, chunk_id, value) of the lines that ``write_chunks`` wrote."""
+    return spark.read.text(path).select("session_id", "chunk_id", "value")
+
+
+def write_manifest(chunks: DataFrame, path: str, source: str = "", target_bytes: int = 0) -> None:
+    """The manifest as JSON lines: a head with the source and the target size, then the chunks' entries in order."""
+    rows = chunks.select("session_id", "chunk_id", F.lit(1).alias("_part"), F.to_json(F.struct(*chunks.columns)).alias("value"))
+    head = chunks.sparkSession.createDataFrame([(source, target_bytes)], "source string, target_bytes long").select(F.lit("").alias("session_id"), F.lit("").alias("chunk_id"), F.lit(0).alias("_part"), F.to_json(F.struct("source", "target_bytes")).alias("value"))
+    order = ("_part", "session_id", "chunk_id")
+    head.unionByName(rows).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
+
+
+def captures(shots: DataFrame) -> DataFrame:
+    """A manifest of captures, one row: the shots of each commit, those that were skipped, and the commits in order. ``shots``: place, commit, route, path, skip."""
+    kept = shots.where("skip is null").groupBy("commit").agg(F.min("place").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("place", "route", "path"))), lambda x: F.struct(x["route"].alias("route"), x["path"].alias("path"))).alias("shots"))
+    commits = kept.agg(F.map_from_entries(F.collect_list(F.struct("commit", "shots"))).alias("commits"), F.transform(F.array_sort(F.collect_list(F.struct("first", "commit"))), lambda x: x["commit"]).alias("order"))
+    skipped = shots.where("skip is not null").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "route", "skip"))), lambda x: F.struct(x["route"].alias("route"), x["skip"].alias("reason"))).alias("skipped"))
+    return commits.join(skipped)
