@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracemill.runtime import map_batches, table
+from tracemill.runtime import cut, map_batches, table
 
 CONTAINERS = ("tool", "meta", "usage")
 
@@ -241,12 +241,12 @@ def _releases(seen: DataFrame) -> DataFrame:
 def fingerprints(lines: DataFrame) -> DataFrame:
     """(source_dir, release, fields) with fields an array of (path, type, meaning, box and averages of the values), one row per release of a directory."""
     together = lambda: (*(F.sum(c).alias(c) for c in SUMS), *(F.min(c).alias(c) for c in LEAST))
-    first = observed(lines)
-    seen = first.groupBy("source_path", "path", "type").agg(*together())
+    # the lines are read once: what is known of a file's paths is small, and both the releases and the fields come from it
+    seen = cut(observed(lines).groupBy("source_path", "path", "type").agg(*together(), F.max("version").alias("version")))
     each = lambda c: (F.col(c) / F.col("n")).alias(c)
     like = F.struct("type", *(each(c) for c in SUMS[1:]), *LEAST)
     typed = (
-        seen.join(_releases(first), "source_path").groupBy(_directory("source_path").alias("source_dir"), "release", "path", "type").agg(*together())
+        seen.join(_releases(seen), "source_path").groupBy(_directory("source_path").alias("source_dir"), "release", "path", "type").agg(*together())
         .groupBy("source_dir", "release", "path").agg(F.min_by(like, F.struct(-F.col("n"), F.col("type"))).alias("v"))
     )
     known = F.create_map(*(F.lit(x) for path, column in COLUMN_OF.items() for x in (path, column)))
